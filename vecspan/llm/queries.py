@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, media, packing, quality, toxicity, url_filter
+from . import exact_dedup, licenses, media, packing, quality, substrings, toxicity, url_filter
 from .common import table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licence_scan(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_license_scans": op3_license_scans,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
