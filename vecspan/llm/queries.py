@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, licenses, media, packing, quality, substrings, toxicity, url_filter
+from . import bpe, exact_dedup, jaccard, licenses, media, packing, quality, substrings, toxicity, url_filter
 from .common import table
 
 
@@ -52,6 +52,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -69,6 +75,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_media_columns": op6_media_columns,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_url_filters": op10_url_filters,
 }
