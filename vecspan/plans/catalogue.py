@@ -1,6 +1,354 @@
-"""Registered queries over the test tables, with DuckDB SQL for each that SQL can express."""
+"""Registered queries over the test tables, with DuckDB SQL for each that SQL can express.
+
+Vectors of the table ``embeddings`` have length 1; where metrics should differ they are scaled by 1 + label.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import metrics, sq8
+from ..operators import filters, live, quantised, search
+from ..operators.filters import ColumnSource, Filter
+from . import planner
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+K = 10
+
+
+def query(oracle: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return keep
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def embeddings(spark: SparkSession, d: str, scaled: bool = False) -> DataFrame:
+    t = _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), metrics.doubles(F.col("embedding")).alias("vector"), "label")
+    return t.withColumn("vector", F.transform("vector", lambda x: x * (F.lit(1.0) + F.col("label")))) if scaled else t
+
+
+def first_vector(spark: SparkSession, d: str, scaled: bool = False, unit: bool = False) -> list[float]:
+    """The vector of id 0, as a query."""
+    v = embeddings(spark, d, scaled).where("id = 0").first()["vector"]
+    return metrics.prepared(v, len(v), "cosine" if unit else "l2")
+
+
+def described(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings with the metadata of documents; labels cover some, so their keys are missing elsewhere."""
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", F.col("n_chars"))
+    marks = _table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    return embeddings(spark, d).join(docs, "id", "left").join(marks, "id", "left")
+
+
+def oplog(spark: SparkSession, d: str) -> DataFrame:
+    """events as operations on users: an error deletes, anything else upserts its value."""
+    e = _table(spark, d, "events")
+    op = F.when(F.col("event_type") == "error", "delete").otherwise("upsert")
+    return e.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), "ts", op.alias("op"), "value", "event_type")
+
+
+# DuckDB text that the oracles share. Sums run in the order of the lists, like ours.
+_E = "e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings)"
+_S = "e AS (SELECT vec_id AS id, label, list_transform(embedding::DOUBLE[], lambda x: x * (1.0 + label)) AS v FROM embeddings)"
+_U = "u AS (SELECT id, label, list_transform(v, lambda x: x * (1.0 / sqrt(list_sum(list_transform(list_zip(v, v), lambda z: z[1] * z[2]))))) AS v FROM e)"
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
+_L2 = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_D = """d AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label, lang, source, n_chars, quality, toxic FROM embeddings
+         LEFT JOIN documents ON documents.doc_id = vec_id LEFT JOIN labels ON labels.doc_id = vec_id)"""
+_OPS = "ops AS (SELECT user_id AS id, event_id AS seq, ts, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op, value, event_type FROM events)"
+_LAST = "last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS n FROM ops) WHERE n = 1)"
+
+
+def _top(prefix: str, table: str, key: str, score: str) -> str:
+    return f"""WITH {prefix}, q AS (SELECT v AS qv FROM {table} WHERE id = 0), k AS (SELECT id, {key} AS key FROM {table}, q)
+        SELECT CAST(row_number() OVER (ORDER BY key, id) AS INTEGER) AS rank, id, {score} AS score FROM k ORDER BY key, id LIMIT {K}"""
+
+
+@query(_top(f"{_S}, {_U}", "u", f"-{_DOT.format(a='v', b='qv')}", "-key"))
+def topk_cosine(spark: SparkSession, d: str) -> DataFrame:
+    unit = embeddings(spark, d, True).withColumn("vector", metrics.normalise(F.col("vector")))
+    return search.nearest(unit, first_vector(spark, d, True, True), K, "cosine")
+
+
+@query(_top(_S, "e", _L2.format(a="v", b="qv"), "sqrt(key)"))
+def topk_l2(spark: SparkSession, d: str) -> DataFrame:
+    return search.nearest(embeddings(spark, d, True), first_vector(spark, d, True), K, "l2")
+
+
+@query(_top(_S, "e", f"-{_DOT.format(a='v', b='qv')}", "-key"))
+def topk_dot(spark: SparkSession, d: str) -> DataFrame:
+    return search.nearest(embeddings(spark, d, True), first_vector(spark, d, True), K, "dot")
+
+
+@query(f"""WITH {_S}, q AS (SELECT v AS qv FROM e WHERE id = 0), k AS (SELECT id, label, {_L2.format(a='v', b='qv')} AS key FROM e, q),
+    t AS (SELECT CAST(row_number() OVER (ORDER BY key, id) AS INTEGER) AS rank, id, sqrt(key) AS score, label FROM k ORDER BY key, id LIMIT {K}) SELECT * FROM t""")
+def topk_with_metadata(spark: SparkSession, d: str) -> DataFrame:
+    t = embeddings(spark, d, True)
+    return search.with_rows(search.nearest(t, first_vector(spark, d, True), K, "l2"), t, ["label"])
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE false")
+def topk_none(spark: SparkSession, d: str) -> DataFrame:
+    return search.nearest(embeddings(spark, d), first_vector(spark, d), 0, "l2").select("id")
+
+
+def _batch(key: str, score: str) -> str:
+    return f"""WITH {_S}, q AS (SELECT id AS qid, v AS qv FROM e WHERE id % 10 = 0),
+        k AS (SELECT qid, id, {key} AS key, row_number() OVER (PARTITION BY qid ORDER BY {key}, id) AS rank FROM e, q)
+        SELECT qid, CAST(rank AS INTEGER) AS rank, id, {score} AS score FROM k WHERE rank <= {K}"""
+
+
+def _every_tenth(spark: SparkSession, d: str, metric: str) -> DataFrame:
+    t = embeddings(spark, d, True)
+    return search.nearest_of_each(t.where("id % 10 = 0").withColumnRenamed("id", "qid"), t, K, metric)
+
+
+@query(_batch(_L2.format(a="v", b="qv"), "sqrt(key)"))
+def batch_knn_l2(spark: SparkSession, d: str) -> DataFrame:
+    return _every_tenth(spark, d, "l2")
+
+
+@query(_batch(f"-{_DOT.format(a='v', b='qv')}", "-key"))
+def batch_knn_dot(spark: SparkSession, d: str) -> DataFrame:
+    return _every_tenth(spark, d, "dot")
+
+
+@query(f"""WITH {_S}, {_U} SELECT e.id, sqrt({_DOT.format(a='e.v', b='e.v')}) AS norm_before, sqrt({_DOT.format(a='u.v', b='u.v')}) AS norm_after FROM e JOIN u ON e.id = u.id""")
+def normalize_vectors(spark: SparkSession, d: str) -> DataFrame:
+    t = embeddings(spark, d, True).withColumn("unit", metrics.normalise(F.col("vector")))
+    return t.select("id", metrics.norm(F.col("vector")).alias("norm_before"), metrics.norm(F.col("unit")).alias("norm_after"))
+
+
+@query(f"""WITH {_S}, q AS (SELECT v AS qv FROM e WHERE id = 0)
+    SELECT id, {_L2.format(a='v', b='qv')} AS l2_key, -{_DOT.format(a='v', b='qv')} AS dot_key, sqrt({_L2.format(a='v', b='qv')}) AS l2_score,
+           sqrt({_L2.format(a='v', b='qv')}) * sqrt({_L2.format(a='v', b='qv')}) AS l2_key_again FROM e, q""")
+def distance_keys(spark: SparkSession, d: str) -> DataFrame:
+    q = metrics.literal(first_vector(spark, d, True))
+    t = embeddings(spark, d, True).select("id", metrics.key("l2", F.col("vector"), q).alias("l2_key"), metrics.key("dot", F.col("vector"), q).alias("dot_key"))
+    score = metrics.score("l2", F.col("l2_key"))
+    return t.select("id", "l2_key", "dot_key", score.alias("l2_score"), metrics.key_of_score("l2", score).alias("l2_key_again"))
+
+
+@query("""SELECT count(*) FILTER (len(embedding) <> 64) AS wrong_dim, count(*) FILTER (len(list_filter(embedding, lambda x: NOT isfinite(x))) > 0) AS not_finite,
+    count(*) FILTER (list_sum(list_transform(embedding, lambda x: x * x)) = 0) AS zero, count(*) AS valid FROM embeddings""")
+def validate_vectors(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("vector")
+    count = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    return embeddings(spark, d).agg(count(F.size(v) != 64, "wrong_dim"), count(~metrics.finite(v), "not_finite"), count(metrics.norm(v) == 0, "zero"), count(metrics.valid(v, 64, "cosine"), "valid"))
+
+
+_FILTERS: dict[str, tuple[Filter, str]] = {
+    "filter_eq": (filters.eq("lang", "en"), "lang = 'en'"),
+    "filter_in": (filters.is_in("source", ["src1", "src2", "src19"]), "source IN ('src1', 'src2', 'src19')"),
+    "filter_gt": (filters.gt("label", 4), "label > 4"),
+    "filter_gte": (filters.gte("label", 4), "label >= 4"),
+    "filter_lt": (filters.lt("n_chars", 1000), "n_chars < 1000"),
+    "filter_lte": (filters.lte("label", 4), "label <= 4"),
+    "filter_and": (filters.all_of(filters.eq("lang", "en"), filters.gt("label", 4)), "lang = 'en' AND label > 4"),
+    "filter_or": (filters.any_of(filters.eq("lang", "fr"), filters.eq("quality", 0)), "coalesce(lang = 'fr', false) OR coalesce(quality = 0, false)"),
+    "filter_not": (filters.negate(filters.eq("lang", "en")), "NOT coalesce(lang = 'en', false)"),
+    "filter_empty_and": (filters.all_of(), "true"),
+    "filter_empty_or": (filters.any_of(), "false"),
+    "filter_missing_key_not": (filters.negate(filters.eq("quality", 1)), "NOT coalesce(quality = 1, false)"),
+    "filter_cross_type": (filters.gt("label", 2.5), "CAST(label AS DOUBLE) > 2.5"),
+    "filter_nested": (
+        filters.parse({"and": [{"not": {"or": [{"eq": ["toxic", 1]}, {"lt": ["n_chars", 500]}]}}, {"in": ["lang", ["en", "de"]]}]}),
+        "NOT (coalesce(toxic = 1, false) OR coalesce(n_chars < 500, false)) AND lang IN ('en', 'de')",
+    ),
+    "filter_type_mismatch": (filters.any_of(filters.eq("lang", 7), filters.gt("lang", 1), filters.eq("label", "3")), "false"),
+}
+
+
+def _filtered(f: Filter):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        t = described(spark, d)
+        return t.where(f.where(ColumnSource(t))).select("id")
+
+    return run
+
+
+for _name, (_filter, _sql) in _FILTERS.items():
+    QUERIES[_name] = _filtered(_filter)
+    ORACLES[_name] = f"WITH {_D} SELECT id FROM d WHERE {_sql}"
+
+
+@query(f"""WITH {_D}, q AS (SELECT v AS qv FROM d WHERE id = 0), k AS (SELECT id, {_L2.format(a='v', b='qv')} AS key FROM d, q WHERE lang = 'en' AND label > 4)
+    SELECT CAST(row_number() OVER (ORDER BY key, id) AS INTEGER) AS rank, id, sqrt(key) AS score FROM k ORDER BY key, id LIMIT {K}""")
+def filtered_topk(spark: SparkSession, d: str) -> DataFrame:
+    t = described(spark, d)
+    return search.nearest(t, first_vector(spark, d), K, "l2", _FILTERS["filter_and"][0], ColumnSource(t))
+
+
+_EN = filters.eq("lang", "en")
+_SAMPLE_SQL = "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n, coalesce(lang = 'en', false) AS hit FROM documents"
+_SELECTIVITY = f"SELECT avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS selectivity FROM ({_SAMPLE_SQL}) WHERE r % greatest(n // 1000, 1) = 0"
+
+
+def _selectivity(spark: SparkSession, d: str) -> DataFrame:
+    t = _table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
+    return planner.sample(t, _EN.compile(ColumnSource(t)), t.count())
+
+
+@query(_SELECTIVITY)
+def selectivity_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _selectivity(spark, d)
+
+
+@query(f"""SELECT CASE WHEN selectivity < 0.05 THEN 'exact' ELSE 'index' END AS strategy,
+    CAST(CASE WHEN selectivity < 0.05 THEN 64 ELSE ceil(64.0 * least(greatest(1.0 / selectivity, 1.0), 4.0)) END AS INTEGER) AS ef FROM ({_SELECTIVITY})""")
+def plan_choice(spark: SparkSession, d: str) -> DataFrame:
+    name, ef = planner.strategy(F.col("selectivity"), 64)
+    return _selectivity(spark, d).select(name.alias("strategy"), ef.alias("ef"))
+
+
+@query(f"WITH {_OPS}, {_LAST} SELECT id, seq, value, event_type FROM last WHERE op = 'upsert'")
+def live_records(spark: SparkSession, d: str) -> DataFrame:
+    return live.live(oplog(spark, d)).select("id", "seq", "value", "event_type")
+
+
+@query(f"WITH {_OPS}, {_LAST} SELECT count(*) AS len FROM last WHERE op = 'upsert'")
+def live_len(spark: SparkSession, d: str) -> DataFrame:
+    return live.live_count(oplog(spark, d))
+
+
+@query(f"WITH {_OPS}, {_LAST} SELECT id, seq, value FROM last WHERE op = 'upsert' AND id = 7")
+def point_get(spark: SparkSession, d: str) -> DataFrame:
+    return live.live(oplog(spark, d).where("id = 7")).select("id", "seq", "value")
+
+
+@query(f"WITH {_OPS}, {_LAST} SELECT id, seq FROM last WHERE op = 'delete'")
+def deleted_ids(spark: SparkSession, d: str) -> DataFrame:
+    return live.deleted(oplog(spark, d)).select("id", "seq")
+
+
+def segments(spark: SparkSession, d: str) -> DataFrame:
+    """The log cut into segments of 1000 operations, each with the last operation of an id."""
+    ops = oplog(spark, d).withColumn("seg_id", F.floor(F.col("seq") / 1000).cast("long"))
+    return live.newest(ops, ("seg_id", "id"))
+
+
+_SEG = f"""{_OPS}, seg AS (SELECT * FROM (SELECT *, seq // 1000 AS seg_id, row_number() OVER (PARTITION BY seq // 1000, id ORDER BY seq DESC) AS n FROM ops) WHERE n = 1)"""
+
+
+@query(f"WITH {_SEG} SELECT seg_id, count(*) FILTER (op = 'upsert') AS record_count, count(*) FILTER (op = 'delete') AS tombstone_count FROM seg GROUP BY seg_id")
+def segment_stats(spark: SparkSession, d: str) -> DataFrame:
+    return live.segment_stats(segments(spark, d))
+
+
+@query(f"WITH {_SEG} SELECT id, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS m FROM seg) WHERE m = 1 AND op = 'upsert'")
+def compact_full(spark: SparkSession, d: str) -> DataFrame:
+    return live.merge_run(segments(spark, d), False).select("id", "seq", "value")
+
+
+@query(f"""WITH {_SEG} SELECT id, seq, op FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS m FROM seg
+    WHERE seg_id >= (SELECT max(seg_id) FROM seg) - 3) WHERE m = 1""")
+def compact_partial(spark: SparkSession, d: str) -> DataFrame:
+    s = segments(spark, d)
+    newest = s.agg(F.max("seg_id").alias("m")).first()["m"]
+    return live.merge_run(s.where(F.col("seg_id") >= newest - 3), True).select("id", "seq", "op")
+
+
+@query(f"""WITH {_SEG}, a AS (SELECT * FROM seg WHERE seg_id < 1), t AS (SELECT * FROM seg WHERE seg_id >= 1),
+    tl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS m FROM t) WHERE m = 1)
+    SELECT id, seq FROM a WHERE op = 'upsert' AND id NOT IN (SELECT id FROM tl) UNION ALL SELECT id, seq FROM tl WHERE op = 'upsert'""")
+def overlaid_tail(spark: SparkSession, d: str) -> DataFrame:
+    s = segments(spark, d)
+    tail = s.where("seg_id >= 1")
+    return live.overlaid(s.where("seg_id < 1"), tail, tail.count()).select("id", "seq")
+
+
+@query(f"""WITH {_OPS}, {_LAST} SELECT CAST(row_number() OVER (ORDER BY k, id) AS INTEGER) AS rank, id, sqrt(k) AS score
+    FROM (SELECT id, (value - 10.0) * (value - 10.0) AS k FROM last WHERE op = 'upsert') ORDER BY k, id LIMIT {K}""")
+def shadowed_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Newest wins before anything is ranked, so a replaced value never takes a place."""
+    t = live.live(oplog(spark, d)).select("id", F.array("value").alias("vector"))
+    return search.nearest(t, [10.0], K, "l2")
+
+
+@query("""SELECT ext_id, CAST(CAST(-9223372036854775808 AS HUGEINT) + row_number() OVER (ORDER BY f, ext_id) - 1 AS BIGINT) AS id
+    FROM (SELECT 'user-' || user_id AS ext_id, min(event_id) AS f FROM events GROUP BY 1)""")
+def string_id_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    t = _table(spark, d, "events").select(F.concat(F.lit("user-"), F.col("user_id")).alias("ext_id"), F.col("event_id").alias("seq"))
+    return live.string_ids(t, "ext_id", "seq")
+
+
+_FIT = "f AS (SELECT min(list_min(v)) AS lo, max(list_max(v)) AS hi, (max(list_max(v)) - min(list_min(v))) / 255.0 AS s FROM e)"
+_CODES = f"c AS (SELECT id, v, list_transform(v, lambda x: greatest(0, least(255, CAST(round((x - lo) / s) AS INTEGER)))) AS c FROM e, f)"
+_CL2 = "list_sum(list_transform(list_zip(c, qc), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_CDOT = "list_sum(list_transform(list_zip(c, qc), lambda z: z[1] * z[2]))"
+
+
+@query(f"WITH {_S}, {_FIT} SELECT lo AS low, hi AS high, s AS scale FROM f")
+def sq8_fit(spark: SparkSession, d: str) -> DataFrame:
+    return sq8.fit_columns(embeddings(spark, d, True))
+
+
+@query(f"WITH {_S}, {_FIT}, {_CODES} SELECT id, CAST(list_sum(c) AS BIGINT) AS code_sum, CAST(c[1] AS INTEGER) AS first_code, CAST(c[64] AS INTEGER) AS last_code FROM c")
+def sq8_quantize(spark: SparkSession, d: str) -> DataFrame:
+    t = embeddings(spark, d, True)
+    c = t.select("id", sq8.quantise(F.col("vector"), sq8.fit(t)).alias("c"))
+    return c.select("id", sq8.code_sum(F.col("c")).alias("code_sum"), F.get("c", F.lit(0)).alias("first_code"), F.get("c", F.lit(63)).alias("last_code"))
+
+
+def _coded(spark: SparkSession, d: str) -> tuple[DataFrame, sq8.Range, list[float]]:
+    t = embeddings(spark, d, True)
+    r = sq8.fit(t)
+    return t.withColumn("c", sq8.quantise(F.col("vector"), r)), r, first_vector(spark, d, True)
+
+
+@query(f"WITH {_S}, {_FIT}, {_CODES}, q AS (SELECT c AS qc FROM c WHERE id = 0) SELECT id, CAST({_CL2} AS BIGINT) AS accumulated, s * s * {_CL2} AS key FROM c, q, f")
+def sq8_l2(spark: SparkSession, d: str) -> DataFrame:
+    t, r, q = _coded(spark, d)
+    qc = F.array(*[F.lit(x) for x in sq8.codes(q, r)])
+    return t.select("id", sq8.l2_sum(F.col("c"), qc).alias("accumulated"), sq8.key("l2", F.col("c"), qc, r, 64).alias("key"))
+
+
+@query(f"""WITH {_S}, {_FIT}, {_CODES}, q AS (SELECT c AS qc FROM c WHERE id = 0)
+    SELECT id, CAST({_CDOT} AS BIGINT) AS accumulated, -(64.0::DOUBLE * lo * lo + lo * s * CAST(list_sum(c) + list_sum(qc) AS DOUBLE) + s * s * CAST({_CDOT} AS DOUBLE)) AS key FROM c, q, f""")
+def sq8_dot(spark: SparkSession, d: str) -> DataFrame:
+    t, r, q = _coded(spark, d)
+    qc = F.array(*[F.lit(x) for x in sq8.codes(q, r)])
+    return t.select("id", sq8.dot_sum(F.col("c"), qc).alias("accumulated"), sq8.key("dot", F.col("c"), qc, r, 64).alias("key"))
+
+
+_TWO = f"""WITH {_S}, {_FIT}, {_CODES}, q AS (SELECT v AS qv, c AS qc FROM c WHERE id = 0), few AS (SELECT id, v FROM c, q ORDER BY {_CL2}, id LIMIT {4 * K}),
+    k AS (SELECT id, {_L2.format(a='v', b='qv')} AS key FROM few, q), t AS (SELECT row_number() OVER (ORDER BY key, id) AS rank, id, sqrt(key) AS score FROM k)"""
+
+
+@query(f"{_TWO} SELECT CAST(rank AS INTEGER) AS rank, id, score FROM t WHERE rank <= {K}")
+def sq8_two_stage(spark: SparkSession, d: str) -> DataFrame:
+    t, r, q = _coded(spark, d)
+    return quantised.nearest(t, q, K, "l2", r, codes="c")
+
+
+@query(f"""{_TWO}, x AS (SELECT id, row_number() OVER (ORDER BY {_L2.format(a='v', b='qv')}, id) AS r FROM e, (SELECT qv FROM q))
+    SELECT count(*) / {float(K)}::DOUBLE AS recall FROM x JOIN t ON x.id = t.id WHERE r <= {K} AND rank <= {K}""")
+def recall_at_10_sq8(spark: SparkSession, d: str) -> DataFrame:
+    t, r, q = _coded(spark, d)
+    one = F.lit(0).alias("qid")
+    return search.recall(quantised.nearest(t, q, K, "l2", r, codes="c").select(one, "id"), search.nearest(t, q, K, "l2").select(one, "id"), K)
+
+
+@query("""SELECT CAST(sum(4 * 64 + 4 + strlen(lang) + 6 + strlen(source) + 5 + 8) AS BIGINT) AS bytes FROM embeddings JOIN documents ON vec_id = doc_id""")
+def memtable_bytes(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
+    none = {"s": "string", "i": "bigint", "f": "double", "b": "boolean"}
+    value = lambda kind, c: F.struct(*[(c if k == kind else F.lit(None)).cast(t).alias(k) for k, t in none.items()])
+    meta = F.create_map(F.lit("lang"), value("s", F.col("lang")), F.lit("source"), value("s", F.col("source")), F.lit("label"), value("i", F.col("label")))
+    return live.memory_bytes(embeddings(spark, d).join(docs, "id").select("id", "vector", meta.alias("meta")))
+
+
+@query("SELECT * FROM (VALUES (1, 'documents', 64, 'cosine'), (2, 'events', 1, 'l2')) AS t(collection_id, name, dim, metric)")
+def catalog(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(1, "documents", 64, "cosine"), (2, "events", 1, "l2")]
+    return spark.createDataFrame(rows, "collection_id int, name string, dim int, metric string").orderBy("name")
