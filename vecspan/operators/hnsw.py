@@ -232,6 +232,7 @@ def search_index(index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]
     shards' rows; without it all may."""
     if not queries:
         return index.sparkSession.createDataFrame([], "qid long, id long, key double")
+    masked = allowed is not None
     qids, q = np.array([x for x, _ in queries]), np.array([v for _, v in queries], float)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,14 +242,14 @@ def search_index(index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]
                 x = np.frombuffer(r.vectors, "<f4").reshape(r.n, r.dim).astype(float)
                 graph = Graph.from_bytes(r.graph)
                 mask = None
-                if allowed is not None:
+                if masked:
                     mask = np.isin(ids, np.array(list(r.allowed) if r.allowed is not None else [], np.int64))
                 for qid, v in zip(qids, q, strict=True):
                     found = np.array([node for _, node in search(graph, lambda rows: keys_to(x, v, rows, metric), k, ef, mask)], np.int64)  # noqa: B023
                     yield pd.DataFrame({"qid": np.full(len(found), qid), "id": ids[found], "key": exact_keys(x[found], np.repeat(v[None], len(found), axis=0), metric)})
 
     rows = index
-    if allowed is not None:
+    if masked:
         shards = index.count()
         own = allowed.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id")
         # a shard's allowed ids are at most its rows, which fit a task

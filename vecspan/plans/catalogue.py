@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics, sq8
-from ..operators import filters, live, quantised, search
+from ..operators import filters, hnsw, live, quantised, search
 from ..operators.filters import ColumnSource, Filter
+from ..types import HnswParams
 from . import planner
 
 QUERIES: dict = {}
@@ -352,3 +353,31 @@ def memtable_bytes(spark: SparkSession, d: str) -> DataFrame:
 def catalog(spark: SparkSession, d: str) -> DataFrame:
     rows = [(1, "documents", 64, "cosine"), (2, "events", 1, "l2")]
     return spark.createDataFrame(rows, "collection_id int, name string, dim int, metric string").orderBy("name")
+
+
+def _graph(spark: SparkSession, d: str, ef: int, f: Filter | None = None) -> DataFrame:
+    t = described(spark, d) if f else embeddings(spark, d, True)
+    shards = max(1, t.count() // 250)
+    index = hnsw.build_index(t, "l2", HnswParams(ef_construction=64), shards)
+    allowed = t.where(f.where(ColumnSource(t))).select("id") if f else None
+    return hnsw.nearest(index, first_vector(spark, d, f is None), K, "l2", ef, allowed)
+
+
+@query()
+def hnsw_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate; recall is tested."""
+    return _graph(spark, d, 64)
+
+
+@query()
+def hnsw_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return _graph(spark, d, 256, _EN)
+
+
+@query(_top(_S, "e", _L2.format(a="v", b="qv"), "sqrt(key)"))
+def hnsw_full_beam(spark: SparkSession, d: str) -> DataFrame:
+    """A beam as wide as the table makes the graph search exact (stored vectors are the table's own 32-bit numbers)."""
+    t = embeddings(spark, d, True)
+    index = hnsw.build_index(t, "l2", HnswParams(ef_construction=64), max(1, t.count() // 250))
+    found = hnsw.search_index(index, [(0, first_vector(spark, d, True))], K, t.count(), "l2").select("id")
+    return search.nearest(t.join(found, "id", "left_semi"), first_vector(spark, d, True), K, "l2")
