@@ -135,6 +135,8 @@ def probe(data: bytes) -> dict:
                 samples.append((offset, sizes[at]))
                 offset += sizes[at]
                 at += 1
+    if samples and max(a + n for a, n in samples) > len(data):
+        raise ValueError("samples lie outside the file")
     sync = ints(b"stss", 0, "I") if b"stss" in boxes else range(1, count + 1)
     return {"codec": codec, "timescale": timescale, "duration": duration, "samples": samples, "keyframes": [samples[k - 1] for k in sync if 0 < k <= len(samples)]}
 

@@ -43,8 +43,9 @@ class Settings:
     window: int = 64
     stride: int = 48
     epochs: int = 3
+    steps: int = 80
     batch: int = 256
-    rate: float = 0.01
+    rate: float = 0.02
     seed: int = 7
 
 
@@ -243,7 +244,8 @@ def fit(texts: list[str], labels: list[int], s: Settings = Settings()) -> Networ
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     time = 0
-    for _ in range(max(s.epochs, -(-40 * s.batch // max(len(cut), 1)) if len(cut) < 40 * s.batch // 3 else s.epochs)):
+    # a small sample is passed over more often, for as many steps at least
+    for _ in range(max(s.epochs, -(-s.steps * s.batch // len(cut)))):
         for part in np.array_split(r.permutation(len(cut)), max(1, len(cut) // s.batch)):
             names = sorted({w for k in part for w in cut[k]})
             number = {w: k for k, w in enumerate(names)}
@@ -261,9 +263,11 @@ def fit(texts: list[str], labels: list[int], s: Settings = Settings()) -> Networ
     for _ in range(50):
         q = _sigmoid(a * z + b)
         w = np.maximum(q * (1 - q), 1e-6)
-        hess = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
-        grad = np.array([((q - y) * z).sum() + 1e-3 * (a - 1), (q - y).sum()])
+        # a weak pull towards the plain logit keeps a separable sample from steep slopes
+        hess = np.array([[(w * z * z).sum() + 1.0, (w * z).sum()], [(w * z).sum(), w.sum() + 0.1]])
+        grad = np.array([((q - y) * z).sum() + 1.0 * (a - 1), (q - y).sum() + 0.1 * b])
         step = np.linalg.solve(hess, grad)
+        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
         a, b = a - float(step[0]), b - float(step[1])
         if np.abs(step).max() < 1e-6:
             break
