@@ -13,6 +13,7 @@ from .errors import InvalidConfig
 from .functions import metrics, sq8
 from .operators import hnsw, quantised, search
 from .operators.filters import Filter, MapSource, parse
+from .operators.live import live
 from .plans import planner
 from .sources.store import Info, Segment, Store
 from .types import Hit, Options, Record, Scalar, floats, plain_meta, record_id, unsigned
@@ -194,7 +195,7 @@ class Search:
         c, k = self.collection, self._k
         wanted = rows if self._filter is None else rows.where(self._filter.where(MapSource()))
         one = len(segs) == 1 and not c.store.logs and self._filter is None
-        if one and c.store.options.sq8:
+        if one and segs[0].coded:
             s = segs[0]
             return quantised.nearest(rows, q, k, c.metric, sq8.Range(s.low, s.high))
         # ids that stand where each index has them; with a filter also those that pass it
@@ -205,8 +206,6 @@ class Search:
             every = marked[0]
             for m in marked[1:]:
                 every = every.unionByName(m)
-            from .operators.live import live
-
             placed = live(every).select("id", "seg")
             if self._filter is not None:
                 placed = placed.join(wanted.select("id"), "id", "left_semi")
