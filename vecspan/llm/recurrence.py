@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BATCH_ROWS = 60_000
 _NOBODY = 65535
 _SENT = "bucket int, batch long, info boolean, a binary, b binary, c binary, d binary, e binary"
