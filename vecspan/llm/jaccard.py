@@ -9,11 +9,13 @@ at least s times the query's tokens, so has the union of the partner's group.
 2. Representatives are sorted by a min-hash; runs of equal min-hashes are cut into groups of a bounded size and linked
    within them by exact comparison, leaving out pairs that are connected already. A second min-hash does so again with
    other runs. Connected documents form the components that the matrix is built of.
-3. The matrix: the tokens of a document's prefix (its share 1 - s of smallest hashes, and one more; partners share at
-   least one) against the groups, parts of a bounded size of one component, that have the token in a prefix too. Only
-   pairs of different components are entered, from the smaller one to the larger, so that large groups of near copies
-   have no entries among themselves. Every entered group's union bounds the overlap, and qualifying groups are opened
-   and compared member by member.
+3. The matrix: tokens against components. Each component's union of tokens meets the others' in one packed shuffle, which
+   leaves the tokens that more than one component has. A document with too few of these has no partner outside its
+   component. Of the others, the prefix (in an order that puts unshared tokens first, the share 1 - s of the tokens and
+   one more; partners share at least one) is entered. Documents that are connected by such tokens form clusters, dealt
+   into parts of a bounded size; a document asks the parts in which it shares a token. There the members lie in groups of
+   similar ones, every group's union bounds the overlap, and members of qualifying groups are compared, but for
+   components that are connected already.
 4. Links and equal sets give the connected components.
 
 So every pair of linked documents ends up in one component, and none that isn't linked by a chain. Tokens are 64-bit
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, materialise, mix
 from .graph import components
-from .recurrence import count_single, node_id
+from .recurrence import batches_of, buckets_for, count_single, node_id
 
 
 @dataclass(frozen=True)
@@ -45,6 +47,7 @@ class Settings:
     percent: int = 80
     group: int = 64
     chunk: int = 128
+    part: int = 2048
 
 
 def tokens(text: str | None, k: int) -> np.ndarray:
@@ -68,6 +71,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+_ABOVE = 1 << 62
 _SALTS = [np.uint64(0x51A7C0DE12345677), np.uint64(0x0DDBA11CAFEF00D1)]
 
 
@@ -147,50 +151,168 @@ def _grouped_links(rows: DataFrame, by: str, s: Settings) -> DataFrame:
     return dealt.select("key", "text", "m").mapInArrow(run, "u long, v long")
 
 
-def _prefixes(rows: DataFrame, s: Settings) -> DataFrame:
-    """key, text, component, part, size → the tokens of every document's prefix."""
+def _mixed_tokens(rows: DataFrame, s: Settings) -> DataFrame:
+    """component, sorted tokens (binary, unsigned 64-bit): the tokens of each component that another one has too.
+
+    rows (component, key, text) are dealt by component, so that a batch knows most of a component's union and sends each
+    of its tokens once.
+    """
+    buckets = buckets_for(rows)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("component", "key", "text").repartitionByRange(n, "component", "key").sortWithinPartitions("component", "key")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = (r for b in batches for r in zip(b.column("component").to_pylist(), b.column("text").to_pylist(), strict=True))
+        for part in batches_of(flat, lambda r: len(r[1] or "") + 64):
+            found = [tokens(x, s.shingle) for _, x in part]
+            h = np.concatenate(found)
+            c = np.repeat(np.array([c for c, _ in part], np.int64), [len(t) for t in found])
+            order = np.lexsort((c, h))
+            h, c = h[order], c[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+            h, c = h[new], c[new]
+            bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # rises with h
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+            full = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(full, pa.int32()), pa.array([h[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary()), pa.array([c[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary())],
+                names=["bucket", "h", "c"],
+            )
+
+    def meet(t: pa.Table) -> pa.Table:
+        h = np.frombuffer(b"".join(t.column("h").to_pylist()), np.uint64)
+        c = np.frombuffer(b"".join(t.column("c").to_pylist()), np.int64)
+        order = np.lexsort((c, h))
+        h, c = h[order], c[order]
+        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        # sorted by component too, so the first and the last of equal tokens tell
+        last = np.append(starts[1:], len(h)) - 1
+        mixed = np.repeat(c[starts] != c[last], last - starts + 1)
+        h, c = h[mixed], c[mixed]
+        slot = (mix(c.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        h, c, slot = h[order], c[order], slot[order]
+        full, at = np.unique(slot, return_index=True)
+        cut = lambda x: pa.array([p.tobytes() for p in np.split(x, at[1:])] if len(full) else [], pa.binary())
+        return pa.table({"slot": pa.array(full, pa.int32()), "h": cut(h), "c": cut(c)})
+
+    def merge(t: pa.Table) -> pa.Table:
+        h = np.frombuffer(b"".join(t.column("h").to_pylist()), np.uint64)
+        c = np.frombuffer(b"".join(t.column("c").to_pylist()), np.int64)
+        order = np.lexsort((h, c))
+        h, c = h[order], c[order]
+        whose, at = np.unique(c, return_index=True)
+        parts = [p.tobytes() for p in np.split(h, at[1:])] if len(whose) else []
+        return pa.table({"component": pa.array(whose, pa.int64()), "tokens": pa.array(parts, pa.binary())})
+
+    out = dealt.mapInArrow(send, "bucket int, h binary, c binary").groupBy("bucket").applyInArrow(meet, "slot int, h binary, c binary")
+    return out.groupBy("slot").applyInArrow(merge, "component long, tokens binary")
+
+
+def _within(t: np.ndarray, union: np.ndarray) -> np.ndarray:
+    if not len(union) or not len(t):
+        return np.zeros(len(t), bool)
+    at = np.minimum(np.searchsorted(union, t), len(union) - 1)
+    return union[at] == t
+
+
+def _reaching(rows: DataFrame, s: Settings) -> DataFrame:
+    """component, key, text, tokens (the component's mixed ones) → the rows with enough mixed tokens for a partner in
+    another component, and ``prefix``: unmixed tokens come first in the order of tokens, so of the prefix only what is
+    mixed remains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for x in b.column("text").to_pylist():
-                t = tokens(x, s.shingle)
-                found.append(t[: len(t) - needed(len(t), s.percent) + 1])
-            at = pa.array(np.repeat(np.arange(len(found)), [len(t) for t in found]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).astype(np.int64)), *[b.column(c).take(at) for c in ("key", "component", "part", "size")]], names=["token", "key", "component", "part", "size"])
-
-    return rows.select("key", "text", "component", "part", "size").mapInArrow(run, "token long, key long, component long, part long, size long")
+            keep, prefixes = [], []
+            for row, (text, mixed) in enumerate(zip(b.column("text").to_pylist(), b.column("tokens").to_pylist(), strict=True)):
+                t = tokens(text, s.shingle)
+                own = t[_within(t, np.frombuffer(mixed, np.uint64))]
+                spare = len(t) - needed(len(t), s.percent) + 1 - (len(t) - len(own))
+                if spare > 0:
+                    keep.append(row)
+                    prefixes.append(own[:spare].astype(np.int64).tolist())
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in ("component", "key", "text")], pa.array(prefixes, pa.list_(pa.int64()))], names=["component", "key", "text", "prefix"])
+
+    return rows.select("component", "key", "text", "tokens").mapInArrow(run, "component long, key long, text string, prefix array<long>")
+
+
+class _Postings:
+    """For each of some sorted tokens, which of n holders have it."""
+
+    def __init__(self, found: list[np.ndarray], n: int):
+        h = np.concatenate(found)
+        who = np.repeat(np.arange(n), [len(t) for t in found])
+        order = np.argsort(h, kind="stable")
+        h, self.who, self.n = h[order], who[order], n
+        self.tokens, self.starts = np.unique(h, return_index=True)
+        self.ends = np.append(self.starts[1:], len(h))
+
+    def overlaps(self, t: np.ndarray) -> np.ndarray:
+        """How many tokens of t each holder has."""
+        at = np.minimum(np.searchsorted(self.tokens, t), len(self.tokens) - 1)
+        at = at[self.tokens[at] == t]
+        size = self.ends[at] - self.starts[at]
+        before = np.cumsum(size) - size
+        return np.bincount(self.who[np.repeat(self.starts[at] - before, size) + np.arange(size.sum())], minlength=self.n)
+
+
+class _Part:
+    """Members of one part: similar ones beside one another in groups, each with its union of tokens."""
+
+    def __init__(self, members: list[tuple[int, int, np.ndarray]], s: Settings):
+        members = sorted(members, key=lambda m: (int(m[2][0]), m[0]))
+        self.s, self.keys, self.components = s, [m[0] for m in members], np.array([m[1] for m in members])
+        self.sizes = np.array([len(m[2]) for m in members])
+        found = [m[2] for m in members]
+        unions = [np.unique(np.concatenate(found[k : k + s.group])) for k in range(0, len(found), s.group)]
+        self.groups, self.members = _Postings(unions, len(unions)), _Postings(found, len(found))
+        self.of = {c: c for c in set(self.components.tolist())}
+
+    def root(self, c: int) -> int:
+        while self.of.setdefault(c, c) != c:
+            self.of[c] = c = self.of[self.of[c]]
+        return c
+
+    def links(self, key: int, component: int, t: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Links of a query to members of components that it isn't connected with yet."""
+        least = needed(len(t), self.s.percent)
+        qualifies = self.groups.overlaps(t) >= least
+        if not qualifies.any():
+            return
+        both = self.members.overlaps(t)
+        fits = qualifies[np.arange(len(both)) // self.s.group] & (self.components != component) & (100 * both >= self.s.percent * (self.sizes + len(t) - both))
+        for i in np.flatnonzero(fits).tolist():
+            a, b = self.root(component), self.root(int(self.components[i]))
+            if a != b:
+                self.of[a] = b
+                yield key, self.keys[i]
 
 
 def _opened_links(rows: DataFrame, s: Settings) -> DataFrame:
-    """component, part, query (boolean), key, text: members of groups and the queries to them → links."""
+    """cluster, part, query (boolean), key, component, text: members of parts and the queries to them → links."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "component", "part").sortWithinPartitions("component", "part", "query", "key")
+    dealt = rows.repartition(n, "cluster", "part").sortWithinPartitions("cluster", "part", "query", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, members, union = None, [], None
+        now, held, part = None, [], None
         for b in batches:
             u, v = [], []
-            for component, part, query, key, text in zip(*[b.column(c).to_pylist() for c in ("component", "part", "query", "key", "text")], strict=True):
-                if (component, part) != group:
-                    group, members, union = (component, part), [], None
+            for cluster, number, query, key, component, text in zip(*[b.column(c).to_pylist() for c in ("cluster", "part", "query", "key", "component", "text")], strict=True):
+                if (cluster, number) != now:
+                    now, held, part = (cluster, number), [], None
                 t = tokens(text, s.shingle)
-                if not query:
-                    members.append((key, t))
+                if not len(t):
                     continue
-                if union is None:
-                    union = np.unique(np.concatenate([x for _, x in members])) if members else np.zeros(0, np.uint64)
-                if not len(union) or not len(t):
-                    continue
-                at = np.minimum(np.searchsorted(union, t), len(union) - 1)
-                if int((union[at] == t).sum()) < needed(len(t), s.percent):
+                if not query:
+                    held.append((key, component, t))
                     continue
-                # the bound holds: open the group; its members are one component, so one link is enough
-                for other, x in members:
-                    if linked(t, x, s.percent):
-                        u.append(key)
-                        v.append(other)
-                        break
+                if part is None:
+                    part = _Part(held, s) if held else None
+                for x, y in part.links(key, component, t) if part else ():
+                    u.append(x)
+                    v.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return dealt.mapInArrow(run, "u long, v long")
@@ -217,28 +339,29 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     again = materialise(_supported(texts, s).where("open").select(F.col("key").alias("_f")).distinct(), "supported")
     few = materialise(_min_hashes(texts.join(again.hint("merge"), F.col("key") == F.col("_f")), s), "few")
     near = materialise(_grouped_links(few, "m0", s).unionByName(_grouped_links(few, "m1", s)), "grouped")
-    # parts of at most about s.group members
-    placed = _with_components(few.select("key", "text"), near)
-    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("size")).select(F.col("component").alias("_c"), "size")
-    placed = placed.join(sizes.hint("merge"), F.col("component") == F.col("_c")).drop("_c")
-    placed = materialise(placed.withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / s.group))), "placed")
-    entries = _prefixes(placed, s)
-    mixed = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(F.col("token").alias("_t"))
-    entries = materialise(entries.join(mixed.hint("merge"), F.col("token") == F.col("_t")).drop("_t"), "matrix")
-    groups = entries.select("token", F.col("component").alias("g"), F.col("part").alias("p"), F.col("size").alias("z")).distinct()
-    below = (F.col("size") < F.col("z")) | ((F.col("size") == F.col("z")) & (F.col("component") < F.col("g")))
-    asked = materialise(entries.join(groups.hint("merge"), "token").where(below).select("key", "g", "p").distinct(), "asked")
-    queries = placed.select("key", "text").join(asked.hint("merge"), "key").select(F.col("g").alias("component"), F.col("p").alias("part"), F.lit(True).alias("query"), "key", "text")
-    wanted = asked.select("g", "p").distinct()
-    members = placed.join(wanted.hint("merge"), (F.col("component") == F.col("g")) & (F.col("part") == F.col("p"))).select("component", "part", F.lit(False).alias("query"), "key", "text")
+    placed = materialise(_with_components(few.select("key", "text"), near), "placed")
+    mixed = materialise(_mixed_tokens(placed, s), "mixed").select(F.col("component").alias("_c"), "tokens")
+    reaching = materialise(_reaching(placed.join(mixed.hint("merge"), F.col("component") == F.col("_c")), s), "reaching")
+    # documents that share prefix tokens, by whatever chain, are a cluster; its parts have at most about s.part members
+    tokens_of = reaching.select("key", F.explode("prefix").alias("token"))
+    as_node = F.col("token").bitwiseAND(F.lit(_ABOVE - 1)).bitwiseOR(F.lit(_ABOVE))
+    found = components(tokens_of.select(F.col("key").alias("u"), as_node.alias("v"))).select(F.col("node").alias("_n"), F.col("component").alias("cluster"))
+    reaching = reaching.join(found.hint("merge"), F.col("key") == F.col("_n")).drop("_n")
+    sizes = reaching.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).select(F.col("cluster").alias("_c"), "size")
+    reaching = reaching.join(sizes.hint("merge"), F.col("cluster") == F.col("_c")).drop("_c").where("size > 1")
+    reaching = materialise(reaching.withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / s.part))), "parts")
+    matrix = reaching.select("key", "cluster", "part", F.explode("prefix").alias("token"))
+    groups = matrix.select("token", F.col("part").alias("p")).distinct()
+    # of two parts that share a token the one asks the other; within a part all are asked
+    asked = matrix.join(groups.hint("merge"), "token").where(F.col("p") >= F.col("part")).select("key", "p").distinct()
+    asked = asked.select(F.col("key").alias("_k"), "p")
+    queries = reaching.join(asked.hint("merge"), F.col("key") == F.col("_k")).select("cluster", F.col("p").alias("part"), F.lit(True).alias("query"), "key", "component", "text")
+    members = reaching.select("cluster", "part", F.lit(False).alias("query"), "key", "component", "text")
     far = _opened_links(members.unionByName(queries), s)
     edges = materialise(near.unionByName(copies).unionByName(far), "links")
     return _with_components(base.select("key", F.col("n").alias("n_shingles")), edges).withColumnRenamed("key", "node")
 
 
-_ABOVE = 1 << 62
-
-
 def document_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles and component_id of every row."""
     as_id = lambda c: F.when(F.col(c) < _ABOVE, F.col(c))
