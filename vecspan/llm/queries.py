@@ -81,6 +81,22 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS t FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT w.doc_id, count(t) AS n FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY w.doc_id),
+        p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS m FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+        link AS (SELECT u, v FROM p JOIN n x ON u = x.doc_id JOIN n y ON v = y.doc_id WHERE 100 * m >= 80 * (x.n + y.n - m)),
+        reach AS (SELECT doc_id AS u, doc_id AS v FROM w UNION SELECT reach.u, link.v FROM reach JOIN link ON reach.v = link.u)
+        SELECT n.doc_id, n.n AS n_shingles, min(v) AS component_id FROM n JOIN reach ON n.doc_id = u GROUP BY ALL""",
+    "op2_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        k AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS t FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+        r AS (SELECT t FROM k GROUP BY t HAVING count(*) > 1),
+        c AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 35)) AS j FROM k SEMI JOIN r USING (t))),
+        f AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS j FROM w),
+        a AS (SELECT f.doc_id, count(c.j) AS n, string_agg(CASE WHEN c.j IS NULL THEN x END, ' ' ORDER BY f.j) AS kept FROM f LEFT JOIN c ON f.doc_id = c.doc_id AND f.j = c.j GROUP BY f.doc_id)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN a ON w.doc_id = a.doc_id""",
     "op3_license_scans": licenses.oracle(),
     "op5_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents),
