@@ -16,10 +16,14 @@ at least s times the query's tokens, so has the union of the partner's group.
    into parts of a bounded size; a document asks the parts in which it shares a token. There the members lie in groups of
    similar ones, every group's union bounds the overlap, and members of qualifying groups are compared, but for
    components that are connected already.
-4. Links and equal sets give the connected components.
+4. Links and equal sets give the connected components. Steps 2 and 3 need only enough links for these.
+5. All links: both ends of a link are in one component, so the representatives of each component are compared with one
+   another, every pair of them, in blocks of a bounded number of members and tokens. What goes on is each
+   representative's number of linked rows, never the links themselves, of which a component can have the square of its
+   size.
 
-So every pair of linked documents ends up in one component, and none that isn't linked by a chain. Tokens are 64-bit
-hashes of shingles.
+So every pair of linked documents ends up in one component, none that isn't linked by a chain, and every link is counted
+at both of its ends. Tokens are 64-bit hashes of shingles.
 
 Cases: null and empty texts have no tokens and are linked with nothing; texts of fewer words than a shingle are one
 token; repeated rows are linked; rows that share an id are one node; a null id is a node of its own text, and its
@@ -48,6 +52,8 @@ class Settings:
     group: int = 64
     chunk: int = 128
     part: int = 2048
+    block: int = 512
+    block_tokens: int = 1 << 20
 
 
 def tokens(text: str | None, k: int) -> np.ndarray:
@@ -75,13 +81,16 @@ _ABOVE = 1 << 62
 _SALTS = [np.uint64(0x51A7C0DE12345677), np.uint64(0x0DDBA11CAFEF00D1)]
 
 
+def _prints(t: np.ndarray) -> tuple[int, int]:
+    """With the number of tokens these tell sets apart."""
+    return (int(t.sum(dtype=np.uint64).astype(np.int64)), int(mix(t ^ _SALTS[0]).sum(dtype=np.uint64).astype(np.int64))) if len(t) else (0, 0)
+
+
 def _counted(s: Settings):
     def items(text: str | None):
         t = tokens(text, s.shingle)
         # half of the tokens are counted, by a bit of their hash; single ones among them are still single
-        n = len(t)
-        prints = (int(t.sum(dtype=np.uint64).astype(np.int64)), int(mix(t ^ _SALTS[0]).sum(dtype=np.uint64).astype(np.int64))) if n else (0, 0)
-        return t[(t & np.uint64(1)) == 0], None, (n, *prints)
+        return t[(t & np.uint64(1)) == 0], None, (len(t), *_prints(t))
 
     return items
 
@@ -93,18 +102,17 @@ def _supported(rows: DataFrame, s: Settings) -> DataFrame:
 
 
 def _min_hashes(rows: DataFrame, s: Settings) -> DataFrame:
-    """key, text → key, text, n, m0, m1."""
+    """key, text → key, text, n, p1, p2, m0, m1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [tokens(x, s.shingle) for x in b.column("text").to_pylist()]
             mins = [[int(mix(t ^ salt).min().astype(np.int64)) if len(t) else 0 for salt in _SALTS] for t in found]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("key"), b.column("text"), pa.array([len(t) for t in found], pa.int64()), pa.array([m[0] for m in mins], pa.int64()), pa.array([m[1] for m in mins], pa.int64())],
-                names=["key", "text", "n", "m0", "m1"],
-            )
+            numbers = [[len(t), *_prints(t), *m] for t, m in zip(found, mins, strict=True)]
+            columns = [pa.array([x[k] for x in numbers], pa.int64()) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("text"), *columns], names=["key", "text", "n", "p1", "p2", "m0", "m1"])
 
-    return rows.select("key", "text").mapInArrow(run, "key long, text string, n long, m0 long, m1 long").where("n > 0")
+    return rows.select("key", "text").mapInArrow(run, "key long, text string, n long, p1 long, p2 long, m0 long, m1 long").where("n > 0")
 
 
 def _link(found: list[tuple[int, np.ndarray]], percent: int) -> Iterator[tuple[int, int]]:
@@ -318,13 +326,102 @@ def _opened_links(rows: DataFrame, s: Settings) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def _with_components(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    found = components(edges).select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+_CLASS = ["n", "p1", "p2"]
+
+
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many tokens each set of a shares with each of b: products of 0/1 matrices, some tokens at a time."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    both = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    sides = []
+    for found in (a, b):
+        h = np.concatenate(found)
+        at = np.searchsorted(both, h)
+        shared = both[np.minimum(at, len(both) - 1)] == h if len(both) else np.zeros(len(h), bool)
+        who, at = np.repeat(np.arange(len(found)), [len(t) for t in found])[shared], at[shared]
+        order = np.argsort(at, kind="stable")
+        sides.append((who[order], at[order]))
+    for lo in range(0, len(both), width):
+        n = min(width, len(both) - lo)
+        ones = []
+        for found, (who, at) in zip((a, b), sides, strict=True):
+            s, e = np.searchsorted(at, [lo, lo + n])
+            m = np.zeros((len(found), n), np.float32)
+            m[who[s:e], at[s:e] - lo] = 1
+            ones.append(m)
+        # sums of at most width ones are exact in 32-bit floats
+        out += (ones[0] @ ones[1].T).astype(np.int64)
+    return out
+
+
+def _block_links(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of a are linked with which of b."""
+    if len(a) * len(b) <= 16:
+        return np.array([[linked(x, y, percent) for y in b] for x in a], bool).reshape(len(a), len(b))
+    both = _overlaps(a, b)
+    na, nb = np.array([len(t) for t in a]), np.array([len(t) for t in b])
+    return 100 * both >= percent * (na[:, None] + nb[None, :] - both)
+
+
+def _link_counts(few: DataFrame, classes: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
+    """n, p1, p2 (a set of tokens) → ``links``: the rows whose sets are other ones and linked with it.
+
+    few are representatives (one set may come more than once), found their components. Each component is cut into blocks
+    by a hash of the set, and each pair of blocks is met in one place.
+    """
+    n = int(few.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = few.select("key", "text", *_CLASS).join(found.hint("merge"), F.col("key") == F.col("node")).select("component", "text", *_CLASS)
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("all")).where("size > 1")
+    blocks = F.greatest(F.ceil(F.col("size") / s.block), F.ceil(F.col("all") / s.block_tokens))
+    sizes = sizes.select(F.col("component").alias("_c"), blocks.alias("blocks"))
+    members = members.join(sizes.hint("merge"), F.col("component") == F.col("_c")).drop("_c")
+    weights = classes.select(*[F.col(c).alias(f"_{c}") for c in _CLASS], "rows")
+    same = (F.col("n") == F.col("_n")) & (F.col("p1") == F.col("_p1")) & (F.col("p2") == F.col("_p2"))
+    members = members.join(weights.hint("merge"), same).withColumn("block", F.pmod(F.xxhash64(*_CLASS), F.col("blocks")))
+    paired = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    paired = paired.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", *_CLASS, "rows", "text")
+    dealt = paired.repartition(n, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ({}, {})
+
+        def close() -> Iterator[pa.RecordBatch]:
+            one = now[1] == now[2]
+            (ka, a, wa), (kb, b, wb) = [(list(x), [t for t, _ in x.values()], np.array([w for _, w in x.values()], np.int64)) for x in (sides[0], sides[0] if one else sides[1])]
+            if not a or not b:
+                return
+            links = _block_links(a, b, s.percent)
+            if one:
+                np.fill_diagonal(links, False)
+            counts = [(ka, links @ wb)] if one else [(ka, links @ wb), (kb, wa @ links)]
+            for keys, c in counts:
+                rows = [(*k, x) for k, x in zip(keys, c.tolist(), strict=True) if x]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=[*_CLASS, "links"])
+
+        for batch in batches:
+            for component, lo, hi, block, *key, rows, text in zip(*[batch.column(c).to_pylist() for c in ("component", "lo", "hi", "block", *_CLASS, "rows", "text")], strict=True):
+                if (component, lo, hi) != now:
+                    if now is not None:
+                        yield from close()
+                    now, sides = (component, lo, hi), ({}, {})
+                side = sides[0 if block == lo else 1]
+                if tuple(key) not in side:
+                    side[tuple(key)] = (tokens(text, s.shingle), rows)
+        if now is not None:
+            yield from close()
+
+    counted = dealt.mapInArrow(run, "n long, p1 long, p2 long, links long")
+    return counted.groupBy(*_CLASS).agg(F.sum("links").alias("links"))
+
+
+def _with_components(rows: DataFrame, found: DataFrame) -> DataFrame:
+    found = found.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     return rows.join(found.hint("merge"), F.col("key") == F.col("_n"), "left").withColumn("component", F.coalesce("_c", "key")).drop("_n", "_c")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """node, n_shingles and component (a node) of every row; nodes are ids, or numbers above all ids for null ones."""
+def _connected(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Every row's node (key) and set; the classes of equal sets; the representatives that may be linked with other ones;
+    node and component of all that is linked."""
     keyed = docs.select(node_id(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     base = materialise(_supported(keyed, s).select("key", "n", "p1", "p2", "open"), "support")
     opened = base.where("open")
@@ -339,7 +436,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     again = materialise(_supported(texts, s).where("open").select(F.col("key").alias("_f")).distinct(), "supported")
     few = materialise(_min_hashes(texts.join(again.hint("merge"), F.col("key") == F.col("_f")), s), "few")
     near = materialise(_grouped_links(few, "m0", s).unionByName(_grouped_links(few, "m1", s)), "grouped")
-    placed = materialise(_with_components(few.select("key", "text"), near), "placed")
+    placed = materialise(_with_components(few.select("key", "text"), components(near)), "placed")
     mixed = materialise(_mixed_tokens(placed, s), "mixed").select(F.col("component").alias("_c"), "tokens")
     reaching = materialise(_reaching(placed.join(mixed.hint("merge"), F.col("component") == F.col("_c")), s), "reaching")
     # documents that share prefix tokens, by whatever chain, are a cluster; its parts have at most about s.part members
@@ -359,17 +456,39 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = reaching.select("cluster", "part", F.lit(False).alias("query"), "key", "component", "text")
     far = _opened_links(members.unionByName(queries), s)
     edges = materialise(near.unionByName(copies).unionByName(far), "links")
-    return _with_components(base.select("key", F.col("n").alias("n_shingles")), edges).withColumnRenamed("key", "node")
+    return base, classes, few, components(edges)
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """node, n_shingles, component (a node) and n_links of every row; nodes are ids, or numbers above all ids for null
+    ones. n_links is the exact number of other rows that a row is linked with, those of equal sets among them."""
+    base, classes, few, found = _connected(docs, id_col, text_col, s)
+    counts = materialise(_link_counts(few, classes, found, s), "counts")
+    total = classes.join(counts.hint("merge"), _CLASS, "left").select(*_CLASS, (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    # rows that can't have a partner don't take part: many may have the same, empty set
+    linked_rows = base.where("open").join(total.hint("merge"), _CLASS).select("key", F.col("n").alias("n_shingles"), "n_links")
+    alone = base.where("not open").select("key", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_links"))
+    out = _with_components(linked_rows.unionByName(alone), found)
+    return out.select(F.col("key").alias("node"), "n_shingles", "component", "n_links")
+
+
+_AS_ID = lambda c: F.when(F.col(c) < _ABOVE, F.col(c))
+
+
+def document_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """doc_id, n_shingles, component_id and n_links of every row."""
+    return jaccard_join(docs, id_col, text_col, s).select(_AS_ID("node").alias("doc_id"), "n_shingles", _AS_ID("component").alias("component_id"), "n_links")
 
 
 def document_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """doc_id, n_shingles and component_id of every row."""
-    as_id = lambda c: F.when(F.col(c) < _ABOVE, F.col(c))
-    return jaccard_join(docs, id_col, text_col, s).select(as_id("node").alias("doc_id"), "n_shingles", as_id("component").alias("component_id"))
+    """doc_id, n_shingles and component_id of every row: the join's result without the number of links, which the
+    query's SQL doesn't have."""
+    return document_links(docs, id_col, text_col, s).drop("n_links")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:  # noqa: B008
     """docs without the rows that aren't the first of their component. All columns stay as they are."""
-    gone = jaccard_join(docs, id_col, text_col, s).where("node <> component").select(F.col("node").alias("_gone")).distinct()
+    found = _connected(docs, id_col, text_col, s)[-1]
+    gone = found.where("node <> component").select(F.col("node").alias("_gone"))
     keyed = docs.withColumn("_node", node_id(id_col, text_col))
     return keyed.join(gone.hint("merge"), F.col("_node") == F.col("_gone"), "left_anti").select(*docs.columns)
