@@ -2,9 +2,11 @@
 
 A text is cut into sentences (at line ends, and after ``.``, ``!`` or ``?`` before white space). A sentence is normalised
 (lower case, every run of other characters than letters and digits as one space) and mapped to the identifier of a known
-licence sentence; runs of unknown sentences become one gap. The sequence of identifiers is then matched against ordered
-rules: a rule that finds its identifiers next to one another reports a licence and uses these identifiers up, so that
-special rules come before general ones.
+licence sentence; runs of unknown sentences become one gap. Before that, known sentences and the standard notices are
+looked for across the cuts, so that it doesn't matter where lines are wrapped, that "v. 2.0" is cut, or that a notice puts
+several sentences into one; each begins where a sentence begins and has the ends that the licences give it. The sequence
+of identifiers is then matched against ordered rules: a rule that finds its identifiers next to one another reports a
+licence and uses these identifiers up, so that special rules come before general ones.
 
 Cases: null and empty texts have no sentences, no identifiers and no licences; repeated rows keep a result each; an
 empty table gives an empty result.
@@ -54,25 +56,75 @@ RULES = [
     (("CC0",), "CC0-1.0"),
     (("MPL2",), "MPL-2.0"),
 ]
+#: Rules for identifiers that only notices have; they come first.
+NOTICE_RULES = [(("GPLany", "orLater2"), "GPL-2.0-or-later")]
 GAP = "~"
 
+_BREAK = "[ |]+"
+#: Sentences that go on after the known words in the licences; their ends are left open.
+_OPEN = {"Apache2Copy", "MITperm", "AsIs", "noWarrantyGPL", "BSDbinary"}
+_TAIL = "(?: [^|]*)?"
 
-def identifiers(text: Column) -> Column:
-    """The identifiers of a text's sentences, in order; null for an unknown one."""
-    sentences = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r?\n|(?<=[.!?])\s+"), lambda s: s != "")
+
+def _spaced(words: str) -> str:
+    return words.replace(" ", _BREAK)
+
+
+def _notices() -> list[tuple[str, str]]:
+    """Patterns over normalised sentences, each between bars, and the identifiers that each stands for. Longer ones come
+    first."""
+    known = {name: _spaced(words) for name, words in SENTENCES}
+    terms = _spaced("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license")
+    published = _BREAK + _spaced("as published by the free software foundation")
+    mark = f"(?:[0-9a-d]{_BREAK})?"
+    apache = known["Apache2"] + f"(?:{_BREAK}the{_BREAK}license)?"
+    found = [
+        (apache + _BREAK + known["Apache2Comply"] + _BREAK + known["Apache2Copy"] + _TAIL, "Apache2,Apache2Comply,Apache2Copy"),
+        (apache + _BREAK + known["Apache2Comply"], "Apache2,Apache2Comply"),
+        (known["Apache2"] + f"(?:{_BREAK}the{_BREAK}license{_TAIL})?", "Apache2"),
+        (known["GPLany"] + _BREAK + known["orLater"], "GPLany,orLater"),
+        (known["GPLany"] + _BREAK + known["orLater"].replace("3", "2"), "GPLany,orLater2"),
+        (terms + _spaced(" version 3") + published, "GPL3"),
+        (terms + _spaced(" version 2") + published, "GPL2"),
+        (known["BSDstart"] + _BREAK + mark + known["BSDsource"] + _BREAK + mark + known["BSDbinary"] + _TAIL, "BSDstart,BSDsource,BSDbinary"),
+    ]
+    return found + [(words + (_TAIL if name in _OPEN else ""), name) for name, words in known.items()]
+
+
+#: Every known sentence has one of these words.
+_TRIGGER = "license|warranty|redistribution|permission|copyright"
+
+
+def _sentences(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\r?\n|(?<=[.!?])\s+"), lambda s: s != "")
+
+
+def _barred(sentences: Column) -> Column:
+    """The normalised sentences between bars."""
     normal = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    known = F.create_map(*[F.lit(x) for name, words in SENTENCES for x in (words, name)])
-    return F.transform(normal, lambda s: F.try_element_at(known, s))
+    return F.concat(F.lit("|"), F.array_join(normal, "|"), F.lit("|"))
+
+
+def _identified(barred: Column) -> Column:
+    """The identifiers of the sentences, in order; null for an unknown one. Where a notice stands for several, they are
+    one element with commas."""
+    marked = barred
+    for pattern, names in _notices():
+        marked = F.regexp_replace(marked, rf"(?<=\|){pattern}(?=\|)", f"={names}")
+    found = F.split(F.regexp_replace(F.when(barred.rlike(_TRIGGER), marked).otherwise("||"), r"^\||\|$", ""), r"\|")
+    return F.transform(found, lambda s: F.when(F.startswith(s, F.lit("=")), F.substring(s, 2, 1000)))
 
 
 def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_sentences, sentence_ids (joined by commas, gaps as ``~``) and licenses (distinct, in the rules' order)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), identifiers(F.col(text_col)).alias("ids"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), _sentences(F.col(text_col)).alias("sentences"))
+    rows = rows.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), _barred(F.col("sentences")).alias("barred"))
+    rows = rows.select("doc_id", "n_sentences", _identified(F.col("barred")).alias("ids"))
     line = F.array_join(F.transform("ids", lambda s: F.coalesce(s, F.lit(GAP))), ",")
     line = F.regexp_replace(F.concat(F.lit(","), line, F.lit(",")), f"(?:,{GAP})+,", f",{GAP},")
-    rows = rows.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.when(F.exists("ids", lambda s: s.isNotNull()), line).otherwise("").alias("line"))
+    rows = rows.select("doc_id", "n_sentences", F.when(F.exists("ids", lambda s: s.isNotNull()), line).otherwise("").alias("line"))
     left, found = F.col("line"), []
-    for sequence, licence in RULES:
+    for sequence, licence in NOTICE_RULES + RULES:
         wanted = f",{','.join(sequence)},"
         # one rule's matches are replaced by a gap, which later rules can't bridge
         found.append(F.when(F.contains(left, F.lit(wanted)), licence))
