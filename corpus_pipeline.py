@@ -36,8 +36,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
-    return packing.best_fit_packing(docs, tokenizer_path("word_bpe_49k.json"))
+    """Sequences of at most 2048 tokens, with the token ids of every piece."""
+    return packing.best_fit_packing(docs, tokenizer_path("word_bpe_49k.json"), keep_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

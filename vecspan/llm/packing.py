@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialise
+
 SHARD_PIECES = 8192
 
 
@@ -187,9 +189,16 @@ def pack(pieces: DataFrame, shards: int, capacity: Capacity = Capacity()) -> Dat
     return dealt.groupBy("shard").applyInPandas(run, schema)
 
 
-def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: Capacity = Capacity(), end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_pieces: int = SHARD_PIECES) -> DataFrame:  # noqa: B008
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece. Of the ids only their checksum is
-    shuffled; the number of shards follows the number of rows."""
-    pieces = tokenised_pieces(docs, tokenizer_path, capacity.tokens, end_id, id_col, text_col).drop("ids")
+def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: Capacity = Capacity(), end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_pieces: int = SHARD_PIECES, keep_ids: bool = False) -> DataFrame:  # noqa: B008
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece, and with keep_ids its ids; a
+    sequence's tokens are the ids of its pieces by offset. The number of shards follows the number of rows. Pieces are
+    packed by lengths and checksums. To keep the ids, the pieces are written to the shared folder with a number each, and
+    the ids meet their places by it in one more shuffle, so that no task holds a shard's ids."""
+    pieces = tokenised_pieces(docs, tokenizer_path, capacity.tokens, end_id, id_col, text_col)
     shards = max(1, -(-docs.select(id_col).count() // shard_pieces))
-    return pack(pieces, shards, capacity)
+    if not keep_ids:
+        return pack(pieces.drop("ids"), shards, capacity)
+    pieces = materialise(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    packed = pack(pieces.drop("ids"), shards, capacity)
+    ids = pieces.select(F.col("_row").alias("_r"), "ids")
+    return packed.join(ids.hint("merge"), F.col("_row") == F.col("_r")).drop("_row", "_r")
