@@ -135,6 +135,7 @@ def test_substrings(spark, corner, none, small):
     assert sorted(map(tuple, substrings.substring_dedup(small).collect())) == sorted(brute.substrings(own))
     cut = substrings.cut_repeats(corner.withColumn("found", F.lit(1)).withColumn("_text", F.lit(2)))
     assert cut.columns == [*corner.columns, "found", "_text"] and cut.schema["n_chars"].dataType == corner.schema["n_chars"].dataType
+    assert {(x.found, x._text) for x in cut.collect()} == {(1, 2)}
     texts = {x.doc_id: x for x in cut.collect()}
     assert texts[10].text is not None and texts[10].n_chars == len(texts[10].text) and len(texts[10].text.split()) == 80 and texts[4].text == "one two three four" and texts[0].text is None
 
@@ -148,6 +149,18 @@ def test_substrings_at_random(spark):
     assert sorted(map(tuple, got.collect())) == sorted(brute.substrings(rows, 6))
 
 
+def test_substrings_need_the_automata(spark):
+    """Without the automata's occurrences nothing is removed; ids may be strings."""
+    r = random.Random(18)
+    passage = text(r, 50)
+    rows = [(f"d{i}", f"{text(r, 20)} {passage} {text(r, 20)}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted(map(tuple, substrings.substring_dedup(df).collect())) == sorted(brute.substrings(rows))
+    automaton = substrings.compiled([" a b c "])
+    assert substrings.occurrences(automaton, Words("x a b c a b c d a b"), 3).tolist() == [1, 4]
+    assert substrings.occurrences(substrings.compiled([]), Words("a b c"), 3).tolist() == []
+
+
 def test_chosen_phrases_agree_between_equal_windows():
     r = np.random.default_rng(3)
     h = r.integers(0, 50, 300).astype(np.uint64)
@@ -218,7 +231,7 @@ def test_packing(spark, corner, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    assert t.encode("hello <|startoftext|> world", add_special_tokens=False).ids == np.frombuffer(next(packing.WordCache(path, 9).ids(["hello <|startoftext|> world"])), "<u4").tolist()
     small = packing.Capacity(tokens=64, attention=64 * 64, documents=64)
     for capacity in (packing.Capacity(), small, packing.Capacity(tokens=64, documents=2, attention=3000, rule="dot")):
         got = packing.best_fit_packing(corner, path, capacity, shard_pieces=10).collect()

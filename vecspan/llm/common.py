@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,21 +19,70 @@ NO_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share. Only a session whose driver and executors are one process may do
+    without one (tests); elsewhere a local folder would lose rows, so an error is raised."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='vecspan-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/vecspan/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.write if codec is None else df.write.option("compression", codec)
+    out.parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    read._vecspan_path = path
+    return read
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a materialised table that nothing will read again."""
+    path = getattr(df, "_vecspan_path", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+#: Arrow batches to Python end at this many bytes, so that rows of any length take bounded memory.
+ARROW_BYTES = "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's limit of bytes for an Arrow batch, unless the session has one of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(name) is None:
+        spark.conf.set(name, ARROW_BYTES)
+
+
+def release() -> None:
+    """Gives a Python worker's free memory back to the system; Spark keeps workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def releasing(run: Callable) -> Callable:
+    """run (batches to batches, or tables to a table) that releases memory at its end."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,6 +165,22 @@ class Words:
         s, e = self.starts[:n], self.ends[k - 1 :]
         return mix((self._sums[e] - self._sums[s]) * i[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def digests(self, k: int) -> np.ndarray:
+        """A second 64-bit hash of every run of k words, of the words' hashes instead of the bytes: with the first one
+        128 bits tell runs apart."""
+        n = len(self) - k + 1
+        if n <= 0 or k <= 0:
+            return np.zeros(0, np.uint64)
+        p, i = _powers(len(self) + 1)
+        values = mix(self.hashes(1) ^ np.uint64(0x6A09E667F3BCC909)) * p[: len(self)]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+        at = np.arange(n)
+        return mix((sums[at + k] - sums[at]) * i[at])
+
+    def text(self, first: int, n: int) -> str:
+        """n words from the first on, with one space between them."""
+        return self.data[self.starts[first] : self.ends[first + n - 1]].tobytes().decode("utf-8", "surrogatepass")
+
     def join(self, keep: np.ndarray) -> bytes:
         """The kept words joined by one space."""
         if keep.all():

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialise, mix
+from .common import Words, bound_batches, materialise, mix, releasing
 from .graph import components
 from .recurrence import batches_of, buckets_for, count_single, node_id
 
@@ -104,6 +104,7 @@ def _supported(rows: DataFrame, s: Settings) -> DataFrame:
 def _min_hashes(rows: DataFrame, s: Settings) -> DataFrame:
     """key, text → key, text, n, p1, p2, m0, m1."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [tokens(x, s.shingle) for x in b.column("text").to_pylist()]
@@ -137,6 +138,7 @@ def _grouped_links(rows: DataFrame, by: str, s: Settings) -> DataFrame:
     salted = F.xxhash64("key", F.lit(by))
     dealt = rows.select("key", "text", F.col(by).alias("m"), salted.alias("x")).repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "m", "x").sortWithinPartitions("m", "x")
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
@@ -169,6 +171,7 @@ def _mixed_tokens(rows: DataFrame, s: Settings) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select("component", "key", "text").repartitionByRange(n, "component", "key").sortWithinPartitions("component", "key")
 
+    @releasing
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = (r for b in batches for r in zip(b.column("component").to_pylist(), b.column("text").to_pylist(), strict=True))
         for part in batches_of(flat, lambda r: len(r[1] or "") + 64):
@@ -230,6 +233,7 @@ def _reaching(rows: DataFrame, s: Settings) -> DataFrame:
     another component, and ``prefix``: unmixed tokens come first in the order of tokens, so of the prefix only what is
     mixed remains."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep, prefixes = [], []
@@ -303,6 +307,7 @@ def _opened_links(rows: DataFrame, s: Settings) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "cluster", "part").sortWithinPartitions("cluster", "part", "query", "key")
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, part = None, [], None
         for b in batches:
@@ -382,6 +387,7 @@ def _link_counts(few: DataFrame, classes: DataFrame, found: DataFrame, s: Settin
     paired = paired.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", *_CLASS, "rows", "text")
     dealt = paired.repartition(n, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sides = None, ({}, {})
 
@@ -422,6 +428,7 @@ def _with_components(rows: DataFrame, found: DataFrame) -> DataFrame:
 def _connected(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Every row's node (key) and set; the classes of equal sets; the representatives that may be linked with other ones;
     node and component of all that is linked."""
+    bound_batches(docs.sparkSession)
     keyed = docs.select(node_id(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     base = materialise(_supported(keyed, s).select("key", "n", "p1", "p2", "open"), "support")
     opened = base.where("open")

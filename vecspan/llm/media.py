@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bound_batches, releasing
+
 UNIT = 64
 TIMESCALE = 8000
 UNITS_A_CHUNK = 64
@@ -156,7 +158,9 @@ def to_media(rows: DataFrame, payload: str, out: str = "media") -> DataFrame:
     """rows with a binary column of containers in place of the binary column payload, and its length as n_bytes."""
     rest = [c for c in rows.columns if c != payload]
     schema = rows.select(*rest).schema.add("n_bytes", "long").add(out, "binary")
+    bound_batches(rows.sparkSession)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = [x or b"" for x in b.column(payload).to_pylist()]
@@ -191,6 +195,7 @@ def probe_media(rows: DataFrame, media: str = "media") -> DataFrame:
         frames = [{"offset": a, "size": b} for a, b in p["keyframes"]]
         return (p["codec"], p["timescale"], p["duration"], len(p["samples"]), frames, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), *tail)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = list(zip(*map(one, b.column(media).to_pylist()), strict=True)) or [()] * len(kinds)

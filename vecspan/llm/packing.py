@@ -22,13 +22,12 @@ from dataclasses import dataclass
 from typing import ClassVar
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import bound_batches, materialise, releasing
 
 SHARD_PIECES = 8192
 
@@ -100,15 +99,10 @@ def _byte_letters() -> dict[int, str]:
 class WordCache:
     """Token ids (as bytes) of white-space separated words. The tokenizer drops white space and never merges across it,
     so a text's ids are those of its words in turn. A word that isn't known yet goes through the tokenizer's own steps
-    (lower case, splitting pattern, merges). Two generations bound the memory; one cache serves all tasks of a worker."""
+    (lower case, splitting pattern, merges). Two generations bound the memory, and a task's cache ends with it: workers
+    outlive tasks and stages, and what they hold counts against the executor."""
 
-    kept: ClassVar[dict[tuple, WordCache]] = {}
-
-    @classmethod
-    def of(cls, path: str, most: int) -> WordCache:
-        if (path, most) not in cls.kept:
-            cls.kept[path, most] = cls(path, most)
-        return cls.kept[path, most]
+    tokenizers: ClassVar[dict[str, tuple]] = {}
 
     def __init__(self, path: str, most: int):
         import json
@@ -116,11 +110,14 @@ class WordCache:
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        with open(path, encoding="utf-8") as f:
-            self.pieces = regex.compile(json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        if path not in self.tokenizers:
+            with open(path, encoding="utf-8") as f:
+                stated = json.load(f)
+            marks = [t["content"] for t in stated["added_tokens"]]
+            pattern = regex.compile(stated["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+            self.tokenizers[path] = Tokenizer.from_file(path), pattern, re.compile("|".join(map(re.escape, marks)) or "(?!)")
+        self.tokenizer, pattern, self.marks = self.tokenizers[path]
+        self.model, self.pieces = self.tokenizer.model, pattern.findall
         self.letters = _byte_letters()
         self.most, self.new, self.old = most, {}, {}
 
@@ -143,7 +140,8 @@ class WordCache:
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            if _KEPT_CONTROLS.search(text) or not unicodedata.is_normalized("NFC", text):
+            # the tokenizer's marks in a text are tokens of their own, as the library has it
+            if _KEPT_CONTROLS.search(text) or self.marks.search(text) or not unicodedata.is_normalized("NFC", text):
                 yield self.whole(text)
                 continue
             words = text.split()
@@ -154,13 +152,16 @@ class WordCache:
                 yield b"".join(map(self.new.__getitem__, words))
 
 
-def tokenised_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 350_000) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 150_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and ids (little-endian unsigned 32-bit) of every piece."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = rows.select("doc_id").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long").add("ids", "binary")
 
+    bound_batches(docs.sparkSession)
+
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache.of(tokenizer_path, cached_words)
+        cache = WordCache(tokenizer_path, cached_words)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             at, piece, start, length, crc, ids = [], [], [], [], [], []
@@ -177,16 +178,22 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end
 
 
 def pack(pieces: DataFrame, shards: int, capacity: Capacity = Capacity()) -> DataFrame:  # noqa: B008
-    """pieces (doc_id, piece, length, ...) with sequence_id and offset. A shard's number is the upper part of its ids."""
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
+    """pieces (columns ending in doc_id, piece, start, length, ids_crc32 and a unique number ``_row``) with sequence_id
+    and offset. A shard's number is the upper part of its ids. Pieces are dealt by their number, so rows that are
+    repeated any number of times spread over all shards."""
+    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)).cast("int"))
     schema = T.StructType(list(pieces.schema.fields)).add("sequence_id", "long").add("offset", "long")
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
-        bins, offsets = best_fit(rows["length"].to_numpy(np.int64), capacity)
-        return rows.drop(columns="shard").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
+    def run(t: pa.Table) -> pa.Table:
+        shard = t.column("_shard")[0].as_py()
+        # the largest first; among equals by checksum and number
+        lengths, crc, row = (t.column(c).to_numpy() for c in ("length", "ids_crc32", "_row"))
+        order = np.lexsort((row, crc, -lengths))
+        t = t.take(pa.array(order)).drop_columns(["_shard"])
+        bins, offsets = best_fit(lengths[order].astype(np.int64), capacity)
+        return t.append_column("sequence_id", pa.array((shard << 32) + bins)).append_column("offset", pa.array(offsets))
 
-    return dealt.groupBy("shard").applyInPandas(run, schema)
+    return dealt.groupBy("_shard").applyInArrow(run, schema)
 
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: Capacity = Capacity(), end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_pieces: int = SHARD_PIECES, keep_ids: bool = False) -> DataFrame:  # noqa: B008
@@ -196,9 +203,10 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: Capacity =
     the ids meet their places by it in one more shuffle, so that no task holds a shard's ids."""
     pieces = tokenised_pieces(docs, tokenizer_path, capacity.tokens, end_id, id_col, text_col)
     shards = max(1, -(-docs.select(id_col).count() // shard_pieces))
+    pieces = pieces.withColumn("_row", F.monotonically_increasing_id())
     if not keep_ids:
-        return pack(pieces.drop("ids"), shards, capacity)
-    pieces = materialise(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+        return pack(pieces.drop("ids"), shards, capacity).drop("_row")
+    pieces = materialise(pieces, "pieces")
     packed = pack(pieces.drop("ids"), shards, capacity)
     ids = pieces.select(F.col("_row").alias("_r"), "ids")
     return packed.join(ids.hint("merge"), F.col("_row") == F.col("_r")).drop("_row", "_r")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words
+from .common import Words, bound_batches, releasing
 
 
 @dataclass(frozen=True)
@@ -185,6 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label_co
     rows = _rows(docs, id_col).join(F.broadcast(chosen), "doc_id")
     schema = rows.select("doc_id", "label").schema.add("content", "binary").add("metadata", "binary")
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c, m = (v.astype(np.float32) for v in _views(b, s.sources))
@@ -203,11 +204,13 @@ def quality(docs: DataFrame, model: Model | float, id_col: str = "doc_id", keep:
     if keep:
         rows = docs.select(F.struct(*docs.columns).alias("_row"), *[(F.col(c) if c in docs.columns else F.lit(None)).cast(kind).alias(c) for c, kind in _COLUMNS.items()])
     first = "_row" if keep else "doc_id"
+    bound_batches(docs.sparkSession)
     schema = rows.select(first).schema
     names = ["_quality"] if keep else ["content_score", "metadata_score", "score"]
     for c in names:
         schema = schema.add(c, "double")
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if isinstance(model, float):

@@ -1,15 +1,19 @@
 """Substring dedup with automata of repeated phrases.
 
-A window of ``window`` words that recurs makes its lexically chosen phrase (the one of ``phrase`` words with the smallest
-hash among those inside it) recur too. So the phrases chosen in any window are counted over the corpus; those that occur
-again are confirmed recurring phrases. Documents are dealt to shards of a bounded size, an Aho-Corasick automaton is
-compiled for each shard from the confirmed phrases of its documents, and every text is streamed through it to locate
-every occurrence. Only windows around a located phrase can recur; their hashes (64 bits) are counted in turn, and the
-words that recurring windows cover are removed.
+1. A window of ``window`` words that recurs makes its lexically chosen phrase (the one of ``phrase`` words with the
+   smallest hash among those inside it) recur too. The phrases chosen in any window are counted by short hashes, which
+   leaves out what can't recur; the rest are counted as strings, and those that occur again are the confirmed phrases.
+2. All rows are dealt to shards of a bounded number of bytes. A shard gets the confirmed phrases that were chosen in it, an
+   Aho-Corasick automaton is compiled from them once, and every text of the shard is streamed through it: it finds each
+   occurrence of each phrase, as a string. Only these occurrences tell where recurring windows may be.
+3. The windows around the occurrences are counted by 128 bits over all rows; words that recurring windows cover go.
+
+Rows are numbered when they are first written, so repeated rows spread over the shards and ids may be of any type.
 
 Cases: null and empty texts have no words, nothing removed, and the digest of the empty string; texts shorter than a
 window lose nothing; repeated rows count as occurrences of their own, so a repeated row of at least a window's length
-loses all its words; overlapping occurrences within a text count; an empty table gives an empty result.
+loses all its words; overlapping occurrences within a text count; an empty table gives an empty result; other columns of
+any name are kept apart from the operator's own.
 """
 
 from __future__ import annotations
@@ -24,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialise, row_key
-from .recurrence import recurring
+from .common import Words, bound_batches, discard, materialise, release, releasing
+from .recurrence import recurring, text_bytes
 
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -63,26 +67,28 @@ def _spans(mask_starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(d[:n]) > 0
 
 
-def locate(texts: list[Words], flagged: list[np.ndarray], phrase: int) -> list[np.ndarray]:
-    """For a shard: where (first word) any of its confirmed phrases occurs in each of its texts."""
-    lines = [f" {w.data.tobytes().decode('utf-8', 'surrogatepass')} " for w in texts]
+def compiled(phrases: list[str]) -> ahocorasick.Automaton | None:
+    """The automaton of a shard's phrases, each with a space at both ends."""
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for w, places in zip(texts, flagged, strict=True):
-        for p in places.tolist():
-            if p + phrase <= len(w):
-                automaton.add_word(f" {w.data[w.starts[p] : w.ends[p + phrase - 1]].tobytes().decode('utf-8', 'surrogatepass')} ")
+    for p in phrases:
+        automaton.add_word(p)
     if not len(automaton):
-        return [np.zeros(0, np.int64) for _ in texts]
+        return None
     automaton.make_automaton()
-    out = []
-    for line in lines:
-        ends = np.array([e for e, _ in automaton.iter(line)], np.int64)
-        if len(ends):
-            # a match ends on the blank behind its last word; blanks are counted up to there
-            blanks = np.cumsum(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
-            ends = np.unique(blanks[ends] - 1 - phrase)
-        out.append(ends)
-    return out
+    return automaton
+
+
+def occurrences(automaton: ahocorasick.Automaton | None, w: Words, phrase: int) -> np.ndarray:
+    """The first words of all occurrences of the automaton's phrases in a text."""
+    if automaton is None or len(w) < phrase:
+        return np.zeros(0, np.int64)
+    line = f" {w.data.tobytes().decode('utf-8', 'surrogatepass')} "
+    ends = np.array([e for e, _ in automaton.iter(line)], np.int64)
+    if not len(ends):
+        return ends
+    # a match ends on the blank behind its last word; blanks are counted up to there
+    blanks = np.cumsum(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
+    return np.unique(blanks[ends] - 1 - phrase)
 
 
 def _runs(mask: np.ndarray) -> np.ndarray:
@@ -96,74 +102,98 @@ def _from_runs(data: bytes) -> np.ndarray:
 
 
 def _anchors(s: Settings):
-    def items(text: str | None, kh: int):
-        w = Words(text)
-        h = w.hashes(s.phrase)
+    def items(text: str | None):
+        h = Words(text).hashes(s.phrase)
         at = chosen(h, s.window - s.phrase + 1)
-        return h[at], at, (kh,)
+        return h[at], at, ()
 
     return items
 
 
 def _candidates(s: Settings):
-    def items(text: str | None, kh: int, runs: bytes):
-        h, at = Words(text).hashes(s.window), _from_runs(runs)
-        return h[at], at, (kh,)
+    def items(text: str | None, runs: bytes):
+        w, at = Words(text), _from_runs(runs)
+        return w.hashes(s.window)[at], at, (), w.digests(s.window)[at]
 
     return items
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings(), keep_text: bool = False) -> DataFrame:  # noqa: B008
-    """doc_id, n_words, n_removed and kept_sha256 of every row. With keep_text, docs' columns and ``_kept``: the words
-    that stay, or null where nothing is removed."""
-    own = docs.columns if keep_text else [id_col]
-    kd, kh = row_key(id_col, text_col)
-    keyed = docs.select(kd, kh, F.col(text_col).alias("_text"), F.struct(*own).alias("_row") if keep_text else F.col(id_col).alias("_row"))
-    phrases = recurring(keyed.select("kd", "_text", "kh"), _anchors(s), wide=False).dropDuplicates(["key", "key2"])
-    phrases = materialise(phrases, "phrases")
-    joined = keyed.join(phrases.hint("merge"), (F.col("kd") == F.col("key")) & (F.col("kh") == F.col("key2")), "left").select("kd", "kh", "_row", "_text", "found")
-    schema = joined.select("kd", "kh", "_row").schema.add("_text", "string").add("runs", "binary").add("n_words", "long").add("sha", "string")
-    kinds = {"_text": pa.string(), "runs": pa.binary(), "n_words": pa.int64(), "sha": pa.string()}
+def _phrases(s: Settings):
+    """shard, text, found (places of phrases that may recur) → the phrases as strings, with their number of places."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = list(enumerate(zip(b.column("_text").to_pylist(), b.column("found").to_pylist(), strict=True)))
-            out: dict[str, list] = {k: [] for k in kinds}
-            for part in shards(rows):
-                words = [Words(t) for _, (t, _) in part]
-                flagged = [np.frombuffer(f or b"", np.uint32) for _, (_, f) in part]
-                for w, (_, (text, _)), places in zip(words, part, locate(words, flagged, s.phrase), strict=True):
-                    n = len(w) - s.window + 1
-                    mask = np.zeros(max(n, 0), bool)
-                    if n > 0 and len(places):
-                        # windows that hold a located phrase start up to window - phrase words before it
-                        back = s.window - s.phrase
-                        mask = _spans(np.maximum(places - back, 0), back + 1, len(w))[:n]
-                    hit = bool(mask.any())
-                    out["_text"].append(text if hit else None)
-                    out["runs"].append(_runs(mask).tobytes() if hit else None)
-                    out["n_words"].append(len(w))
-                    out["sha"].append(None if hit else hashlib.sha256(w.data.tobytes()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("kd", "kh", "_row")] + [pa.array(v, kinds[k]) for k, v in out.items()], names=schema.names)
-
-    def shards(rows: list) -> Iterator[list]:
-        held, total = [], 0
-        for r in rows:
-            held.append(r)
-            total += len(r[1][0] or "")
-            if total >= SHARD_BYTES:
-                yield held
-                held, total = [], 0
-        if held:
-            yield held
-
-    located = materialise(joined.mapInArrow(scan, schema), "located")
+            counts: dict[tuple[int, str], int] = {}
+            for shard, text, found in zip(*[b.column(c).to_pylist() for c in ("shard", "_text", "found")], strict=True):
+                w = Words(text)
+                for at in np.frombuffer(found, np.uint32).tolist():
+                    key = shard, f" {w.text(at, s.phrase)} "
+                    counts[key] = counts.get(key, 0) + 1
+            columns = [pa.array([k for k, _ in counts], pa.int64()), pa.array([p for _, p in counts], pa.string()), pa.array(counts.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "phrase", "places"])
+
+    return run
+
+
+def confirmed_phrases(texts: DataFrame, s: Settings, n_bytes: int) -> DataFrame:
+    """n, shard, _text → shard, phrase: every phrase that recurs, for each shard in which it was chosen."""
+    found = recurring(texts.select("n", "_text"), _anchors(s), wide=False, n_bytes=n_bytes)
+    flagged = texts.join(found.hint("merge"), F.col("n") == F.col("key")).select("shard", "_text", "found")
+    placed = materialise(flagged.mapInArrow(_phrases(s), "shard long, phrase string, places long"), "phrases")
+    again = placed.groupBy("phrase").agg(F.sum("places").alias("places")).where("places > 1").select(F.col("phrase").alias("_p"))
+    return placed.join(again.hint("merge"), F.col("phrase") == F.col("_p")).select("shard", "phrase").distinct()
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """doc_id, n_words, n_removed and kept_sha256 of every row."""
+    out = _cut(docs.select(F.col(id_col).alias("_row"), F.col(text_col).alias("_text")), s, False)
+    return out.select(F.col("_row").alias("doc_id"), "n_words", "n_removed", F.col("sha").alias("kept_sha256"))
+
+
+def _cut(rows: DataFrame, s: Settings, keep_text: bool) -> DataFrame:
+    """_row, _text → _row, n_words, n_removed, sha, and _text, which only keep_text fills: what stays of the text, or the
+    text itself where nothing goes."""
+    numbered = materialise(rows.withColumn("n", F.monotonically_increasing_id()), "numbered", "zstd")
+    n_bytes = text_bytes(numbered, "_text")
+    shards = max(1, -(-n_bytes // SHARD_BYTES))
+    texts = numbered.withColumn("shard", F.pmod(F.xxhash64("n"), F.lit(shards)))
+    phrases = confirmed_phrases(texts.select("n", "shard", "_text"), s, n_bytes)
+    schema = texts.select("n", "_row", "_text").schema.add("runs", "binary").add("n_words", "long").add("sha", "string")
+    bound_batches(rows.sparkSession)
+
+    def scan(held: pa.Table, known: pa.Table) -> pa.Table:
+        automaton = compiled(known.column("phrase").to_pylist())
+        out: dict[str, list] = {k: [] for k in ("_text", "runs", "n_words", "sha")}
+        for text in held.column("_text").to_pylist():
+            w = Words(text)
+            places = occurrences(automaton, w, s.phrase)
+            n = len(w) - s.window + 1
+            mask = np.zeros(max(n, 0), bool)
+            if n > 0 and len(places):
+                # windows that hold a located phrase start up to window - phrase words before it
+                back = s.window - s.phrase
+                mask = _spans(np.maximum(places - back, 0), back + 1, len(w))[:n]
+            hit = bool(mask.any())
+            out["_text"].append(text if hit or keep_text else None)
+            out["runs"].append(_runs(mask).tobytes() if hit else None)
+            out["n_words"].append(len(w))
+            out["sha"].append(None if hit else hashlib.sha256(w.data.tobytes()).hexdigest())
+        kinds = {"_text": pa.string(), "runs": pa.binary(), "n_words": pa.int64(), "sha": pa.string()}
+        found = pa.Table.from_arrays([held.column("n"), held.column("_row"), *[pa.array(v, kinds[k]) for k, v in out.items()]], names=schema.names)
+        release()
+        return found
+
+    dealt = texts.select("shard", "n", "_row", "_text").groupBy("shard").cogroup(phrases.groupBy("shard"))
+    located = materialise(dealt.applyInArrow(scan, schema), "located", "zstd")
+    discard(numbered)
     open_rows = located.where(F.col("runs").isNotNull())
-    windows = recurring(open_rows.select("kd", "_text", "kh", "runs"), _candidates(s), wide=True)
-    windows = windows.mapInArrow(_compress, "key long, key2 long, covered binary").dropDuplicates(["key", "key2"])
-    whole = open_rows.join(windows.hint("merge"), (F.col("kd") == F.col("key")) & (F.col("kh") == F.col("key2")), "left").select("_row", "_text", "covered")
-    final = whole.select("_row").schema.add("n_words", "long").add("n_removed", "long").add("sha", "string").add("_kept", "string")
+    windows = recurring(open_rows.select("n", "_text", "runs"), _candidates(s), wide=True, n_bytes=n_bytes)
+    windows = windows.mapInArrow(_compress, "key long, covered binary")
+    whole = open_rows.join(windows.hint("merge"), F.col("n") == F.col("key"), "left").select("_row", "_text", "covered")
+    final = whole.select("_row").schema.add("n_words", "long").add("n_removed", "long").add("sha", "string").add("_text", "string")
 
+    @releasing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, sha, kept = [], [], [], []
@@ -174,14 +204,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 n_words.append(len(w))
                 n_removed.append(int(gone.sum()))
                 sha.append(hashlib.sha256(data).hexdigest())
-                kept.append(data.decode("utf-8", "surrogatepass") if keep_text and gone.any() else None)
+                kept.append((data.decode("utf-8", "surrogatepass") if gone.any() else text) if keep_text else None)
             yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=final.names)
 
-    rest = located.where(F.col("runs").isNull()).select("_row", "n_words", F.lit(0).cast("long").alias("n_removed"), "sha", F.lit(None).cast("string").alias("_kept"))
-    out = rest.unionByName(whole.mapInArrow(cut, final))
-    if keep_text:
-        return out.select("_row.*", "_kept")
-    return out.select(F.col("_row").alias("doc_id"), "n_words", "n_removed", F.col("sha").alias("kept_sha256"))
+    rest = located.where(F.col("runs").isNull()).select("_row", "n_words", F.lit(0).cast("long").alias("n_removed"), "sha", "_text")
+    return rest.unionByName(whole.mapInArrow(cut, final))
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,13 +219,16 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = np.unique(np.frombuffer(data, np.uint32)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(p) > 1)
             out.append(np.column_stack([p[np.append(0, cuts + 1)], p[np.append(cuts, len(p) - 1)] + 1]).astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("key2"), pa.array(out, pa.binary())], names=["key", "key2", "covered"])
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.binary())], names=["key", "covered"])
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:  # noqa: B008
     """docs with recurring passages cut from the texts; texts that lose nothing stay as they are. A column n_chars
-    follows the text."""
-    out = substring_dedup(docs, id_col, text_col, s, keep_text=True)
-    text = F.coalesce("_kept", text_col)
-    columns = [text.alias(c) if c == text_col else F.when(F.col("_kept").isNull(), F.col(c)).otherwise(F.char_length("_kept").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    follows the text where words went."""
+    rest = [c for c in docs.columns if c != text_col]
+    packed = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)], F.lit(True).alias("row"))
+    out = _cut(docs.select(packed.alias("_row"), F.col(text_col).alias("_text")), s, True)
+    own = {c: F.col(f"_row.c{k}") for k, c in enumerate(rest)}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("n_removed") == 0, own["n_chars"]).otherwise(F.char_length("_text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[(F.col("_text") if c == text_col else own[c]).alias(c) for c in docs.columns])

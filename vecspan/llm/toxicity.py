@@ -17,16 +17,16 @@ an empty result.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches, releasing
+
 _WORD = re.compile(r"\w+")
 
 
@@ -107,7 +107,6 @@ class Network:
             self.p |= {f"{k}x": normal(d, 3 * h), f"{k}h": normal(h, 3 * h), f"{k}c": np.zeros(3 * h, np.float32)}
         self.p |= {"aw": normal(2 * h, s.attention), "ac": np.zeros(s.attention, np.float32), "av": normal(s.attention, 1)[:, 0], "ow": normal(2 * h, 1)[:, 0], "oc": np.zeros(1, np.float32)}
         self.calibration = (1.0, 0.0)
-        self.name = uuid.uuid4().hex
 
     def inputs(self, words: list[str]) -> tuple[np.ndarray, tuple]:
         ids, starts = ngrams(words, self.s)
@@ -276,15 +275,7 @@ def fit(texts: list[str], labels: list[int], s: Settings = Settings()) -> Networ
 
 
 class Scorer:
-    """Scores texts; keeps the projections of words it has met, up to a bound. One scorer serves all tasks of a worker."""
-
-    kept: ClassVar[dict[str, Scorer]] = {}
-
-    @classmethod
-    def of(cls, net: Network) -> Scorer:
-        if net.name not in cls.kept:
-            cls.kept = {net.name: cls(net)}
-        return cls.kept[net.name]
+    """Scores texts; keeps the projections of words it has met, up to a bound, as long as a task lasts."""
 
     def __init__(self, net: Network, most: int = 200_000):
         self.net, self.most = net, most
@@ -364,11 +355,13 @@ def toxicity(docs: DataFrame, model: Network | float, id_col: str = "doc_id", te
     """doc_id, held_out, score and predicted of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), in_fold(id_col).alias("held_out"), F.col(text_col).alias("text"))
     schema = rows.select("doc_id", "held_out").schema.add("score", "double")
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of a size that Settings bounds
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
-        scorer = None if isinstance(net, float) else Scorer.of(net)
+        scorer = None if isinstance(net, float) else Scorer(net)
         for b in batches:
             texts = b.column("text").to_pylist()
             scores = np.full(len(texts), net) if scorer is None else scorer.scores(texts)
