@@ -23,7 +23,7 @@ def n_links(rows: list[tuple]) -> list[int]:
 
 
 def check(spark, rows: list[tuple], s: jaccard.Settings) -> list[int]:
-    got = jaccard.document_links(spark.createDataFrame(rows, "doc_id long, text string"), s=s).collect()
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), s=s).collect()
     want = n_links(rows)
     order = lambda x: tuple(-1 if v is None else v for v in x)
     assert sorted(((x.doc_id, x.n_shingles, x.n_links) for x in got), key=order) == sorted(((d, len(brute.shingles(t)), n) for (d, t), n in zip(rows, want, strict=True)), key=order)
@@ -53,4 +53,4 @@ def test_links_of_near_copies(spark):
 
 def test_links_in_corner_cases(spark):
     check(spark, [(d, t) for d, t, *_ in corner_rows()], jaccard.Settings(block=2))
-    assert jaccard.document_links(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert jaccard.jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0

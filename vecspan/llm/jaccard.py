@@ -8,26 +8,28 @@ at least s times the query's tokens, so has the union of the partner's group.
    partner and is done. Documents with equal sets become one representative.
 2. Representatives are sorted by a min-hash; runs of equal min-hashes are cut into groups of a bounded size and linked
    within them by exact comparison, leaving out pairs that are connected already. A second min-hash does so again with
-   other runs. Connected documents form the components that the matrix is built of.
-3. The matrix: tokens against components. Each component's union of tokens meets the others' in one packed shuffle, which
-   leaves the tokens that more than one component has. A document with too few of these has no partner outside its
-   component. Of the others, the prefix (in an order that puts unshared tokens first, the share 1 - s of the tokens and
-   one more; partners share at least one) is entered. Documents that are connected by such tokens form clusters, dealt
-   into parts of a bounded size; a document asks the parts in which it shares a token. There the members lie in groups of
-   similar ones, every group's union bounds the overlap, and members of qualifying groups are compared, but for
-   components that are connected already.
-4. Links and equal sets give the connected components. Steps 2 and 3 need only enough links for these.
-5. All links: both ends of a link are in one component, so the representatives of each component are compared with one
+   other runs. Connected documents form components.
+3. Each component's union of tokens meets the others' in one packed shuffle, which leaves the tokens that more than one
+   component has, with their number of components. A document with too few of these has no partner outside its component.
+   Of the others, the prefix (the share 1 - s of the tokens and one more, the rarest ones first; partners share at least
+   one of it) is entered.
+4. The matrix: by order of the min-hash, so that similar documents are side by side, these documents are dealt into parts
+   of a bounded number of members and tokens, and within a part into groups. A document asks the parts in which it shares
+   a token of the prefix. There every group's union bounds the overlap, the members of qualifying groups only are opened
+   and compared, and components that are connected already are left out. A part that many ask is asked in slices.
+5. Links and equal sets give the connected components. Steps 2 to 4 need only enough links for these.
+6. All links: both ends of a link are in one component, so the representatives of each component are compared with one
    another, every pair of them, in blocks of a bounded number of members and tokens. What goes on is each
    representative's number of linked rows, never the links themselves, of which a component can have the square of its
    size.
 
 So every pair of linked documents ends up in one component, none that isn't linked by a chain, and every link is counted
-at both of its ends. Tokens are 64-bit hashes of shingles.
+at both of its ends. Tokens are 64-bit hashes of shingles. Rows are numbered when they are first written; ids may be of
+any type and value.
 
 Cases: null and empty texts have no tokens and are linked with nothing; texts of fewer words than a shingle are one
-token; repeated rows are linked; rows that share an id are one node; a null id is a node of its own text, and its
-component is null unless a document with an id is in it; an empty table gives an empty result.
+token; repeated rows, and rows that share an id, are rows of their own, of which equal ones are linked; the component of
+null ids is null unless a row with an id is in it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,12 +39,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bound_batches, materialise, mix, releasing
+from .common import Words, bound_batches, discard, materialise, mix, releasing
 from .graph import components
-from .recurrence import batches_of, buckets_for, count_single, node_id
+from .recurrence import batches_of, buckets_for, count_single, text_bytes
 
 
 @dataclass(frozen=True)
@@ -52,6 +55,8 @@ class Settings:
     group: int = 64
     chunk: int = 128
     part: int = 2048
+    part_tokens: int = 1 << 20
+    asked: int = 8192
     block: int = 512
     block_tokens: int = 1 << 20
 
@@ -77,7 +82,6 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-_ABOVE = 1 << 62
 _SALTS = [np.uint64(0x51A7C0DE12345677), np.uint64(0x0DDBA11CAFEF00D1)]
 
 
@@ -95,9 +99,9 @@ def _counted(s: Settings):
     return items
 
 
-def _supported(rows: DataFrame, s: Settings) -> DataFrame:
-    """key (a node), text → key, n, p1, p2 and whether the row may have a partner."""
-    counts = count_single(rows, _counted(s), ["n", "p1", "p2"])
+def _supported(rows: DataFrame, s: Settings, n_bytes: int) -> DataFrame:
+    """key, text → key, n, p1, p2 and whether the row may have a partner."""
+    counts = count_single(rows, _counted(s), ["n", "p1", "p2"], n_bytes)
     return counts.withColumn("open", (F.col("n") > 0) & (F.col("single") <= F.floor(F.col("n") * (100 - s.percent) / 100)))
 
 
@@ -161,13 +165,14 @@ def _grouped_links(rows: DataFrame, by: str, s: Settings) -> DataFrame:
     return dealt.select("key", "text", "m").mapInArrow(run, "u long, v long")
 
 
-def _mixed_tokens(rows: DataFrame, s: Settings) -> DataFrame:
-    """component, sorted tokens (binary, unsigned 64-bit): the tokens of each component that another one has too.
+def _mixed_tokens(rows: DataFrame, s: Settings, n_bytes: int) -> DataFrame:
+    """component, sorted tokens (binary, unsigned 64-bit) and their numbers of components (unsigned 32-bit): the tokens of
+    each component that another one has too.
 
     rows (component, key, text) are dealt by component, so that a batch knows most of a component's union and sends each
     of its tokens once.
     """
-    buckets = buckets_for(rows)
+    buckets = buckets_for(rows, n_bytes)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select("component", "key", "text").repartitionByRange(n, "component", "key").sortWithinPartitions("component", "key")
 
@@ -199,55 +204,80 @@ def _mixed_tokens(rows: DataFrame, s: Settings) -> DataFrame:
         starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         # sorted by component too, so the first and the last of equal tokens tell
         last = np.append(starts[1:], len(h)) - 1
-        mixed = np.repeat(c[starts] != c[last], last - starts + 1)
+        size = last - starts + 1
+        mixed = np.repeat(c[starts] != c[last], size)
+        f = np.repeat(size, size)[mixed].astype(np.uint32)
         h, c = h[mixed], c[mixed]
+        # a batch sends a token of a component once, so a component may count for each batch that it is in: the same way
+        # for all, and only the order of tokens follows from it
         slot = (mix(c.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
-        h, c, slot = h[order], c[order], slot[order]
+        h, c, f, slot = h[order], c[order], f[order], slot[order]
         full, at = np.unique(slot, return_index=True)
         cut = lambda x: pa.array([p.tobytes() for p in np.split(x, at[1:])] if len(full) else [], pa.binary())
-        return pa.table({"slot": pa.array(full, pa.int32()), "h": cut(h), "c": cut(c)})
+        return pa.table({"slot": pa.array(full, pa.int32()), "h": cut(h), "c": cut(c), "f": cut(f)})
 
     def merge(t: pa.Table) -> pa.Table:
-        h = np.frombuffer(b"".join(t.column("h").to_pylist()), np.uint64)
-        c = np.frombuffer(b"".join(t.column("c").to_pylist()), np.int64)
+        h, c, f = (np.frombuffer(b"".join(t.column(k).to_pylist()), kind) for k, kind in (("h", np.uint64), ("c", np.int64), ("f", np.uint32)))
         order = np.lexsort((h, c))
-        h, c = h[order], c[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])
+        order = order[new]
+        h, c, f = h[order], c[order], f[order]
         whose, at = np.unique(c, return_index=True)
-        parts = [p.tobytes() for p in np.split(h, at[1:])] if len(whose) else []
-        return pa.table({"component": pa.array(whose, pa.int64()), "tokens": pa.array(parts, pa.binary())})
+        parts = lambda x: pa.array([p.tobytes() for p in np.split(x, at[1:])] if len(whose) else [], pa.binary())
+        return pa.table({"component": pa.array(whose, pa.int64()), "tokens": parts(h), "df": parts(f)})
 
-    out = dealt.mapInArrow(send, "bucket int, h binary, c binary").groupBy("bucket").applyInArrow(meet, "slot int, h binary, c binary")
-    return out.groupBy("slot").applyInArrow(merge, "component long, tokens binary")
-
-
-def _within(t: np.ndarray, union: np.ndarray) -> np.ndarray:
-    if not len(union) or not len(t):
-        return np.zeros(len(t), bool)
-    at = np.minimum(np.searchsorted(union, t), len(union) - 1)
-    return union[at] == t
+    out = dealt.mapInArrow(send, "bucket int, h binary, c binary").groupBy("bucket").applyInArrow(meet, "slot int, h binary, c binary, f binary")
+    return out.groupBy("slot").applyInArrow(merge, "component long, tokens binary, df binary")
 
 
 def _reaching(rows: DataFrame, s: Settings) -> DataFrame:
-    """component, key, text, tokens (the component's mixed ones) → the rows with enough mixed tokens for a partner in
-    another component, and ``prefix``: unmixed tokens come first in the order of tokens, so of the prefix only what is
-    mixed remains."""
+    """component, key, text, m0, tokens and df (the component's mixed ones) → the rows with enough mixed tokens for a
+    partner in another component, with the number of their tokens, their mixed ones (packed) and ``prefix``: the order of
+    tokens is that of their numbers of components, in which unmixed ones come first, so of the prefix only what is mixed
+    remains."""
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, prefixes = [], []
-            for row, (text, mixed) in enumerate(zip(b.column("text").to_pylist(), b.column("tokens").to_pylist(), strict=True)):
-                t = tokens(text, s.shingle)
-                own = t[_within(t, np.frombuffer(mixed, np.uint64))]
+            keep, sizes, packed, prefixes = [], [], [], []
+            for row, (text, mixed, df) in enumerate(zip(*[b.column(c).to_pylist() for c in ("text", "tokens", "df")], strict=True)):
+                t, union = tokens(text, s.shingle), np.frombuffer(mixed, np.uint64)
+                at = np.minimum(np.searchsorted(union, t), len(union) - 1)
+                both = union[at] == t
+                own, often = t[both], np.frombuffer(df, np.uint32)[at[both]]
                 spare = len(t) - needed(len(t), s.percent) + 1 - (len(t) - len(own))
                 if spare > 0:
                     keep.append(row)
-                    prefixes.append(own[:spare].astype(np.int64).tolist())
+                    sizes.append(len(t))
+                    packed.append(own.tobytes())
+                    prefixes.append(own[np.lexsort((own, often))[:spare]].astype(np.int64).tolist())
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in ("component", "key", "text")], pa.array(prefixes, pa.list_(pa.int64()))], names=["component", "key", "text", "prefix"])
+            columns = [pa.array(sizes, pa.int64()), pa.array(packed, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in ("component", "key", "m0")], *columns], names=["component", "key", "m0", "n", "tokens", "prefix"])
+
+    return rows.select("component", "key", "text", "m0", "tokens", "df").mapInArrow(run, "component long, key long, m0 long, n long, tokens binary, prefix array<long>")
 
-    return rows.select("component", "key", "text", "tokens").mapInArrow(run, "component long, key long, text string, prefix array<long>")
+
+def _dealt(rows: DataFrame, s: Settings) -> DataFrame:
+    """_reaching's rows with a part, in the order of min-hashes: parts end at a number of members or of tokens."""
+    ranges = max(1, -(-rows.count() // s.part))
+    by = rows.withColumn("x", F.xxhash64("key")).repartitionByRange(ranges, "m0", "x").sortWithinPartitions("m0", "x")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 32
+        members = total = 0
+        for b in batches:
+            parts = []
+            for n in b.column("tokens").to_pylist():
+                if members and (members >= s.part or total + len(n) // 8 > s.part_tokens):
+                    part, members, total = part + 1, 0, 0
+                parts.append(part)
+                members, total = members + 1, total + len(n) // 8
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("component", "key", "m0", "n", "tokens", "prefix")], pa.array(parts, pa.int64())], names=["component", "key", "m0", "n", "tokens", "prefix", "part"])
+
+    return by.drop("x").mapInArrow(run, "component long, key long, m0 long, n long, tokens binary, prefix array<long>, part long")
 
 
 class _Postings:
@@ -273,13 +303,11 @@ class _Postings:
 class _Part:
     """Members of one part: similar ones beside one another in groups, each with its union of tokens."""
 
-    def __init__(self, members: list[tuple[int, int, np.ndarray]], s: Settings):
-        members = sorted(members, key=lambda m: (int(m[2][0]), m[0]))
-        self.s, self.keys, self.components = s, [m[0] for m in members], np.array([m[1] for m in members])
-        self.sizes = np.array([len(m[2]) for m in members])
-        found = [m[2] for m in members]
-        unions = [np.unique(np.concatenate(found[k : k + s.group])) for k in range(0, len(found), s.group)]
-        self.groups, self.members = _Postings(unions, len(unions)), _Postings(found, len(found))
+    def __init__(self, members: list[tuple[int, int, int, np.ndarray]], s: Settings):
+        self.s, self.members = s, members
+        self.components, self.sizes = np.array([m[1] for m in members]), np.array([m[2] for m in members])
+        unions = [np.unique(np.concatenate([m[3] for m in members[k : k + s.group]])) for k in range(0, len(members), s.group)]
+        self.unions, self.opened = _Postings(unions, len(unions)), {}
         self.of = {c: c for c in set(self.components.tolist())}
 
     def root(self, c: int) -> int:
@@ -287,43 +315,66 @@ class _Part:
             self.of[c] = c = self.of[self.of[c]]
         return c
 
-    def links(self, key: int, component: int, t: np.ndarray) -> Iterator[tuple[int, int]]:
+    def open(self, group: int) -> _Postings:
+        """The group's members by token; only groups that qualify for some query are ever opened."""
+        if group not in self.opened:
+            found = [m[3] for m in self.members[group * self.s.group : (group + 1) * self.s.group]]
+            self.opened[group] = _Postings(found, len(found))
+        return self.opened[group]
+
+    def links(self, key: int, component: int, n: int, t: np.ndarray) -> Iterator[tuple[int, int]]:
         """Links of a query to members of components that it isn't connected with yet."""
-        least = needed(len(t), self.s.percent)
-        qualifies = self.groups.overlaps(t) >= least
-        if not qualifies.any():
-            return
-        both = self.members.overlaps(t)
-        fits = qualifies[np.arange(len(both)) // self.s.group] & (self.components != component) & (100 * both >= self.s.percent * (self.sizes + len(t) - both))
-        for i in np.flatnonzero(fits).tolist():
-            a, b = self.root(component), self.root(int(self.components[i]))
-            if a != b:
-                self.of[a] = b
-                yield key, self.keys[i]
+        for group in np.flatnonzero(self.unions.overlaps(t) >= needed(n, self.s.percent)).tolist():
+            first = group * self.s.group
+            span = slice(first, first + self.s.group)
+            if (self.components[span] == component).all():
+                continue
+            both = self.open(group).overlaps(t)
+            fits = (self.components[span] != component) & (100 * both >= self.s.percent * (self.sizes[span] + n - both))
+            for i in (first + np.flatnonzero(fits)).tolist():
+                a, b = self.root(component), self.root(int(self.components[i]))
+                if a != b:
+                    self.of[a] = b
+                    yield key, self.members[i][0]
+
+
+_ASKED = ["part", "slice", "query", "m0", "key", "component", "n", "tokens"]
+
+
+def _asked(parts: DataFrame, s: Settings) -> DataFrame:
+    """_dealt's rows → members of parts and the queries to them, by part and slice. Of two parts that share a token of a
+    prefix the one asks the other; within a part all are asked."""
+    matrix = parts.select("key", "part", F.explode("prefix").alias("token"))
+    groups = matrix.select("token", F.col("part").alias("p")).distinct()
+    asks = matrix.join(groups.hint("merge"), "token").where(F.col("p") >= F.col("part")).select(F.col("key").alias("_k"), "p").distinct()
+    asks = materialise(asks, "asks")
+    slices = asks.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / s.asked).alias("slices"))
+    members = parts.join(slices.hint("merge"), F.col("part") == F.col("p")).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    placed = asks.join(slices.select(F.col("p").alias("_p"), "slices").hint("merge"), F.col("p") == F.col("_p")).select("_k", "p", F.pmod(F.xxhash64("_k"), "slices").alias("slice"))
+    queries = parts.drop("part").join(placed.hint("merge"), F.col("key") == F.col("_k")).withColumnRenamed("p", "part")
+    return members.withColumn("query", F.lit(False)).select(*_ASKED).unionByName(queries.withColumn("query", F.lit(True)).select(*_ASKED))
 
 
 def _opened_links(rows: DataFrame, s: Settings) -> DataFrame:
-    """cluster, part, query (boolean), key, component, text: members of parts and the queries to them → links."""
+    """_asked's rows → links."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "cluster", "part").sortWithinPartitions("cluster", "part", "query", "key")
+    dealt = rows.repartition(n, "part", "slice").sortWithinPartitions("part", "slice", "query", "m0", "key")
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, part = None, [], None
         for b in batches:
             u, v = [], []
-            for cluster, number, query, key, component, text in zip(*[b.column(c).to_pylist() for c in ("cluster", "part", "query", "key", "component", "text")], strict=True):
-                if (cluster, number) != now:
-                    now, held, part = (cluster, number), [], None
-                t = tokens(text, s.shingle)
-                if not len(t):
-                    continue
+            for number, piece, query, _, key, component, n, packed in zip(*[b.column(c).to_pylist() for c in _ASKED], strict=True):
+                if (number, piece) != now:
+                    now, held, part = (number, piece), [], None
+                t = np.frombuffer(packed, np.uint64)
                 if not query:
-                    held.append((key, component, t))
+                    held.append((key, component, n, t))
                     continue
                 if part is None:
-                    part = _Part(held, s) if held else None
-                for x, y in part.links(key, component, t) if part else ():
+                    part = _Part(held, s)
+                for x, y in part.links(key, component, n, t):
                     u.append(x)
                     v.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
@@ -371,7 +422,7 @@ def _block_links(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.n
 def _link_counts(few: DataFrame, classes: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
     """n, p1, p2 (a set of tokens) → ``links``: the rows whose sets are other ones and linked with it.
 
-    few are representatives (one set may come more than once), found their components. Each component is cut into blocks
+    few are representatives, found their components. Each component is cut into blocks
     by a hash of the set, and each pair of blocks is met in one place.
     """
     n = int(few.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -420,82 +471,71 @@ def _link_counts(few: DataFrame, classes: DataFrame, found: DataFrame, s: Settin
     return counted.groupBy(*_CLASS).agg(F.sum("links").alias("links"))
 
 
-def _with_components(rows: DataFrame, found: DataFrame) -> DataFrame:
+def _with_components(rows: DataFrame, found: DataFrame, key: str = "key") -> DataFrame:
     found = found.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-    return rows.join(found.hint("merge"), F.col("key") == F.col("_n"), "left").withColumn("component", F.coalesce("_c", "key")).drop("_n", "_c")
-
-
-def _connected(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Every row's node (key) and set; the classes of equal sets; the representatives that may be linked with other ones;
-    node and component of all that is linked."""
-    bound_batches(docs.sparkSession)
-    keyed = docs.select(node_id(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    base = materialise(_supported(keyed, s).select("key", "n", "p1", "p2", "open"), "support")
-    opened = base.where("open")
-    classes = opened.groupBy("n", "p1", "p2").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("rows"))
+    return rows.join(found.hint("merge"), F.col(key) == F.col("_n"), "left").withColumn("component", F.coalesce("_c", key)).drop("_n", "_c")
+
+
+def _connected(numbered: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """numbered: key, _id, text. Every row's key, id and set; the classes of equal sets that may have partners, with
+    their component and ``best``, the least id (null ones last) and key of the component; the representatives that may be
+    linked with other ones; node and component of all of them that are linked."""
+    n_bytes = text_bytes(numbered, "text")
+    keyed = numbered.select("key", "text")
+    base = _supported(keyed, s, n_bytes).select(F.col("key").alias("_k"), "n", "p1", "p2", "open")
+    base = materialise(numbered.select("key", "_id").join(base.hint("merge"), F.col("key") == F.col("_k")).drop("_k"), "support")
+    best = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("key").alias("key"))).alias("best")
+    classes = base.where("open").groupBy(*_CLASS).agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("rows"), best)
     classes = materialise(classes, "classes")
-    firsts = classes.select(F.col("n").alias("_n"), F.col("p1").alias("_p1"), F.col("p2").alias("_p2"), "first").where("rows > 1")
-    on = (F.col("n") == F.col("_n")) & (F.col("p1") == F.col("_p1")) & (F.col("p2") == F.col("_p2"))
-    copies = opened.join(firsts.hint("merge"), on).where("key <> first").select(F.col("key").alias("u"), F.col("first").alias("v"))
     # representatives, whole; then only those that other representatives support
-    firsts = classes.select(F.col("first").alias("_f")).distinct()
-    texts = materialise(keyed.join(firsts.hint("merge"), F.col("key") == F.col("_f")).select("key", "text"), "representatives")
-    again = materialise(_supported(texts, s).where("open").select(F.col("key").alias("_f")).distinct(), "supported")
-    few = materialise(_min_hashes(texts.join(again.hint("merge"), F.col("key") == F.col("_f")), s), "few")
+    texts = materialise(keyed.join(classes.select(F.col("first").alias("_f")).hint("merge"), F.col("key") == F.col("_f")).select("key", "text"), "representatives", "zstd")
+    again = _supported(texts, s, n_bytes).where("open").select(F.col("key").alias("_f"))
+    few = materialise(_min_hashes(texts.join(again.hint("merge"), F.col("key") == F.col("_f")), s), "few", "zstd")
+    discard(texts)
     near = materialise(_grouped_links(few, "m0", s).unionByName(_grouped_links(few, "m1", s)), "grouped")
-    placed = materialise(_with_components(few.select("key", "text"), components(near)), "placed")
-    mixed = materialise(_mixed_tokens(placed, s), "mixed").select(F.col("component").alias("_c"), "tokens")
+    placed = materialise(_with_components(few.select("key", "text", "m0"), components(near)), "placed", "zstd")
+    mixed = materialise(_mixed_tokens(placed, s, n_bytes), "mixed").select(F.col("component").alias("_c"), "tokens", "df")
     reaching = materialise(_reaching(placed.join(mixed.hint("merge"), F.col("component") == F.col("_c")), s), "reaching")
-    # documents that share prefix tokens, by whatever chain, are a cluster; its parts have at most about s.part members
-    tokens_of = reaching.select("key", F.explode("prefix").alias("token"))
-    as_node = F.col("token").bitwiseAND(F.lit(_ABOVE - 1)).bitwiseOR(F.lit(_ABOVE))
-    found = components(tokens_of.select(F.col("key").alias("u"), as_node.alias("v"))).select(F.col("node").alias("_n"), F.col("component").alias("cluster"))
-    reaching = reaching.join(found.hint("merge"), F.col("key") == F.col("_n")).drop("_n")
-    sizes = reaching.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).select(F.col("cluster").alias("_c"), "size")
-    reaching = reaching.join(sizes.hint("merge"), F.col("cluster") == F.col("_c")).drop("_c").where("size > 1")
-    reaching = materialise(reaching.withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / s.part))), "parts")
-    matrix = reaching.select("key", "cluster", "part", F.explode("prefix").alias("token"))
-    groups = matrix.select("token", F.col("part").alias("p")).distinct()
-    # of two parts that share a token the one asks the other; within a part all are asked
-    asked = matrix.join(groups.hint("merge"), "token").where(F.col("p") >= F.col("part")).select("key", "p").distinct()
-    asked = asked.select(F.col("key").alias("_k"), "p")
-    queries = reaching.join(asked.hint("merge"), F.col("key") == F.col("_k")).select("cluster", F.col("p").alias("part"), F.lit(True).alias("query"), "key", "component", "text")
-    members = reaching.select("cluster", "part", F.lit(False).alias("query"), "key", "component", "text")
-    far = _opened_links(members.unionByName(queries), s)
-    edges = materialise(near.unionByName(copies).unionByName(far), "links")
-    return base, classes, few, components(edges)
+    discard(placed)
+    parts = materialise(_dealt(reaching, s), "parts")
+    far = _opened_links(_asked(parts, s), s)
+    found = components(materialise(near.unionByName(far), "links"))
+    classes = _with_components(classes, found, "first")
+    least = classes.groupBy("component").agg(F.min("best").alias("least")).select(F.col("component").alias("_c"), "least")
+    classes = classes.drop("best").join(least.hint("merge"), F.col("component") == F.col("_c")).drop("_c").withColumnRenamed("least", "best")
+    return base, materialise(classes, "placed-classes"), few, found
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """node, n_shingles, component (a node) and n_links of every row; nodes are ids, or numbers above all ids for null
-    ones. n_links is the exact number of other rows that a row is linked with, those of equal sets among them."""
-    base, classes, few, found = _connected(docs, id_col, text_col, s)
+    """doc_id, n_shingles, component_id (the least id of the component) and n_links of every row: the exact number of
+    other rows that a row is linked with, those of equal sets among them."""
+    bound_batches(docs.sparkSession)
+    numbered = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    numbered = materialise(numbered, "numbered", "zstd")
+    base, classes, few, found = _connected(numbered, s)
+    discard(numbered)
     counts = materialise(_link_counts(few, classes, found, s), "counts")
-    total = classes.join(counts.hint("merge"), _CLASS, "left").select(*_CLASS, (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     # rows that can't have a partner don't take part: many may have the same, empty set
-    linked_rows = base.where("open").join(total.hint("merge"), _CLASS).select("key", F.col("n").alias("n_shingles"), "n_links")
-    alone = base.where("not open").select("key", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_links"))
-    out = _with_components(linked_rows.unionByName(alone), found)
-    return out.select(F.col("key").alias("node"), "n_shingles", "component", "n_links")
-
-
-_AS_ID = lambda c: F.when(F.col(c) < _ABOVE, F.col(c))
-
-
-def document_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """doc_id, n_shingles, component_id and n_links of every row."""
-    return jaccard_join(docs, id_col, text_col, s).select(_AS_ID("node").alias("doc_id"), "n_shingles", _AS_ID("component").alias("component_id"), "n_links")
+    total = classes.join(counts.hint("merge"), _CLASS, "left").select(*_CLASS, F.col("best.id").alias("component_id"), (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    linked_rows = base.where("open").join(total.hint("merge"), _CLASS).select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "n_links")
+    alone = base.where("not open").select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return linked_rows.unionByName(alone)
 
 
 def document_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles and component_id of every row: the join's result without the number of links, which the
     query's SQL doesn't have."""
-    return document_links(docs, id_col, text_col, s).drop("n_links")
+    return jaccard_join(docs, id_col, text_col, s).drop("n_links")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """docs without the rows that aren't the first of their component. All columns stay as they are."""
-    found = _connected(docs, id_col, text_col, s)[-1]
-    gone = found.where("node <> component").select(F.col("node").alias("_gone"))
-    keyed = docs.withColumn("_node", node_id(id_col, text_col))
-    return keyed.join(gone.hint("merge"), F.col("_node") == F.col("_gone"), "left_anti").select(*docs.columns)
+    """Of the rows of each component that with the least id, and every row without a partner; all columns as they are."""
+    bound_batches(docs.sparkSession)
+    rest = [c for c in docs.columns if c != text_col]
+    packed = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)], F.lit(True).alias("row"))
+    numbered = materialise(docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("_id"), F.col(text_col).alias("text"), packed.alias("_row")), "numbered", "zstd")
+    base, classes, _, _ = _connected(numbered, s)
+    stays = classes.select(*_CLASS, F.col("best.key").alias("_stays"))
+    gone = base.where("open").join(stays.hint("merge"), _CLASS).where("key <> _stays").select(F.col("key").alias("_gone"))
+    kept = numbered.join(gone.hint("merge"), F.col("key") == F.col("_gone"), "left_anti")
+    return kept.select(*[F.col("text").alias(c) if c == text_col else F.col(f"_row.c{rest.index(c)}").alias(c) for c in docs.columns])

@@ -197,7 +197,3 @@ def recurring(rows: DataFrame, items: Items, wide: bool, n_bytes: int = 0) -> Da
 
     return _sent(rows, items, wide, True, n_bytes).groupBy("batch").applyInArrow(merge, "key long, found binary")
 
-
-def node_id(id_col: str, text_col: str):
-    """The id as a long; for a null id a number above all ids that follows from the text."""
-    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
