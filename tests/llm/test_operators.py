@@ -270,7 +270,7 @@ def test_word_cache_equals_the_tokenizer():
     assert list(c.ids(texts)) == [c.whole(t) for t in texts]
 
 
-def test_bpe(spark, corner, none):
+def test_bpe(spark, corner, none, monkeypatch):
     import public_tokenizers
     import tiktoken
 
@@ -280,12 +280,18 @@ def test_bpe(spark, corner, none):
     got = {x.doc_id: x for x in bpe.encode(corner, path, public_tokenizers.PATTERN, keep_ids=True).collect()}
     for d, t, *_ in corner_rows():
         ids = enc.encode_ordinary(t or "")
-        assert np.frombuffer(got[d].ids, "<u4").tolist() == ids and got[d].n_tokens == len(ids)
+        assert got[d].ids == ids and got[d].n_tokens == len(ids)
         assert got[d].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and got[d].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     back = bpe.decode(bpe.encode(corner, path, public_tokenizers.PATTERN, keep_ids=True), path)
     assert {x.doc_id: bytes(x.decoded).decode() for x in back.collect()} == {d: t or "" for d, t, *_ in corner_rows()}
     assert bpe.encode(none, path, public_tokenizers.PATTERN).count() == 0
+    # words at and above the fold's length, ids of another type, several shards of one task
+    monkeypatch.setattr(bpe, "SHARD_BYTES", 3000)
     r = random.Random(2)
+    texts = ["".join(r.choice("abcde") for _ in range(n)) for n in (300, bpe.LONG, bpe.LONG + 1, 9000)] + ["é" * 700, "it's  a\n\n test 123"]
+    texts += [text(r, r.randrange(300)) for _ in range(40)]
+    named = bpe.encode(spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string").coalesce(1), path, public_tokenizers.PATTERN, keep_ids=True)
+    assert {x.doc_id: x.ids for x in named.collect()} == {f"d{i}": enc.encode_ordinary(t) for i, t in enumerate(texts)}
     for _ in range(100):
         w = "".join(r.choice("aabcde th") for _ in range(r.randrange(1, 300))).encode()
         assert bpe.merge_long(w, ranks) == enc._core_bpe.encode_single_piece(w)

@@ -1,15 +1,22 @@
 """Byte-level BPE: Spark higher-order functions fold ranked merges over the bytes of distinct words.
 
-Texts are split by the tokenizer's pattern in Python; every task numbers the distinct words it meets and passes each of
-them on once. Spark then folds the merges: a word is an array of pieces, one for each byte; each step of the fold looks
-up the ranks of all adjacent pairs in a literal map and joins the leftmost pair of the lowest rank, until no pair has a
-rank. The map is an array of small maps chosen by a checksum, as Spark searches a map from end to end. Back in Python
-the ids of a text are gathered by its words' numbers. Nothing is shuffled. Decoding concatenates the binary pieces.
+1. Python splits texts by the tokenizer's pattern. Rows are gathered into shards of a bounded number of bytes; a shard
+   keeps its texts as numbers of its own distinct words, which go to buckets by a hash.
+2. A bucket meets the words of all shards (of a slice of them, where there are very many), so that a word is folded once
+   for the corpus and not once for each shard.
+3. Spark folds the merges: a word is an array of pieces, one for each byte, beside an array of the ranks of adjacent
+   pairs. Each step joins the leftmost pair of the lowest rank and renews the ranks of its two neighbours, until no pair
+   has a rank. The ranks are a literal map: an array of small maps chosen by a checksum, as Spark searches a map from end
+   to end.
+4. The words' ids return to their shards, where the ids of a text are gathered by its words' numbers.
 
-Words over ``LONG`` bytes are merged in Python by the same rule with a heap, as the fold takes a step for each byte.
+Decoding is Spark's too: the pieces of the ids, from a literal array, are concatenated.
+
+A fold costs the square of a word's length. Words over ``LONG`` bytes, which only runs without any break have, are merged
+by the same rule with a heap in Python, so every word is merged whole and equally.
 
 Cases: null and empty texts have no ids; repeated rows have equal results; a byte sequence without a rank can't occur, as
-every single byte has one; an empty table gives an empty result.
+every single byte has one; ids may be of any type; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,13 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import bound_batches, materialise, release, releasing
 
 BUCKETS = 8192
-LONG = 256
-ROW_BYTES = 2 << 20
-KNOWN_WORDS = 400_000
+LONG = 4096
+SHARD_BYTES = 4 << 20
+GROUP_WORDS = 400_000
+CHUNK = 4096
+_NONE = (1 << 31) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,32 +63,52 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
 
 
+def piece_array(ranks: dict[bytes, int]) -> Column:
+    """The pieces by rank as a literal, one Latin-1 letter for each byte."""
+    pieces = [""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece.decode("latin-1")
+    return F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+
+
 def encoded(word: Column, ranks: Column) -> Column:
     """The ids of a word (binary), by folding merges."""
 
     def rank(x: Column) -> Column:
         return F.try_element_at(F.get(ranks, (F.crc32(x.cast("binary")) % BUCKETS).cast("int")), x)
 
+    def paired(a: Column, b: Column) -> Column:  # b may be null
+        return F.coalesce(rank(F.concat(a, b)), F.lit(_NONE))
+
     def bound(value: Column, use) -> Column:  # computes value once
         return F.get(F.transform(F.array(value), use), F.lit(0))
 
     def step(state: Column, _: Column) -> Column:
-        pieces = state["pieces"]
-        # rank and place of each adjacent pair in one number; pairs without a rank are null
-        pairs = F.transform(pieces, lambda a, i: rank(F.concat(a, F.get(pieces, i + 1))).cast("long") * F.lit(1 << 32) + i)
-        at = lambda best: (best % F.lit(1 << 32)).cast("int")
-        joined = lambda best: F.concat(
-            F.slice(pieces, F.lit(1), at(best)), F.array(F.concat(F.get(pieces, at(best)), F.get(pieces, at(best) + 1))), F.slice(pieces, at(best) + 3, F.size(pieces))
-        )
-        merged = bound(F.array_min(pairs), lambda best: F.when(best.isNull(), F.struct(pieces.alias("pieces"), F.lit(False).alias("open"))).otherwise(F.struct(joined(best).alias("pieces"), F.lit(True).alias("open"))))
-        return F.when(state["open"], merged).otherwise(state)
+        pieces, pairs = state["pieces"], state["pairs"]
+
+        def merged(at: Column) -> Column:  # at: the place of the pair, from 1
+            def joined(piece: Column) -> Column:
+                before, after = F.get(pieces, at - 2), F.get(pieces, at + 1)
+                left = F.when(at > 1, F.concat(F.slice(pairs, F.lit(1), at - 2), F.array(paired(before, piece)))).otherwise(F.array().cast("array<int>"))
+                return F.struct(
+                    F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(piece), F.slice(pieces, at + 2, F.size(pieces))).alias("pieces"),
+                    F.concat(left, F.array(paired(piece, after)), F.slice(pairs, at + 2, F.size(pairs))).alias("pairs"), F.lit(True).alias("open"),
+                )
+
+            return bound(F.concat(F.get(pieces, at - 1), F.get(pieces, at)), joined)
+
+        closed = F.struct(pieces.alias("pieces"), pairs.alias("pairs"), F.lit(False).alias("open"))
+        next_ = bound(F.array_min(pairs), lambda best: F.when(best == _NONE, closed).otherwise(bound(F.array_position(pairs, best).cast("int"), merged)))
+        return F.when(state["open"], next_).otherwise(state)
 
     def folded(text: Column) -> Column:
-        letters = F.split(text, "", -1)
-        letters = F.slice(letters, F.lit(1), F.length(text))
-        start = F.struct(letters.alias("pieces"), F.lit(True).alias("open"))
-        steps = F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1)))
-        return F.aggregate(steps, start, step, lambda state: F.transform(state["pieces"], rank))
+        def whole(letters: Column) -> Column:
+            pairs = F.transform(letters, lambda a, i: paired(a, F.get(letters, i + 1)))
+            start = F.struct(letters.alias("pieces"), pairs.alias("pairs"), F.lit(True).alias("open"))
+            steps = F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1)))
+            return F.aggregate(steps, start, step, lambda state: F.transform(state["pieces"], rank))
+
+        return bound(F.slice(F.split(text, "", -1), F.lit(1), F.length(text)), whole)
 
     def one(text: Column) -> Column:
         return bound(rank(text), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded(text)))
@@ -118,106 +151,164 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 class _Numbers(dict):
     """Numbers of words in the order they are met."""
 
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[str] = []
-
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
-        self.fresh.append(word)
         return n
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; with keep_ids also ``ids`` (little-endian unsigned
-    32-bit)."""
-    ranks = read_ranks(ranks_path)
-    kind = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _split(pattern: str, buckets: int):
+    """doc_id, text → of each shard a row with its texts, as numbers of its words, and for each bucket one with the
+    bucket's words and their numbers."""
+    names = ["shard", "ids", "sizes", "numbers", "long", "bucket", "words", "at"]
+    def packed(x: np.ndarray) -> bytes:
+        # bytes of equal weight side by side
+        return len(x).to_bytes(8, "little") + pa.Codec("zstd").compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
+
+    def shard_of(ids: list[pa.Array], found: list[np.ndarray], numbers: _Numbers, shard: int) -> Iterator[pa.RecordBatch]:
+        own = pa.concat_arrays(ids)
+        words = [w.encode("utf-8", "surrogatepass") for w in numbers]
+        long = [(k, w) for k, w in enumerate(words) if len(w) > LONG]
+        where = np.array([zlib.crc32(w) % buckets if len(w) <= LONG else buckets for w in words], np.int64)
+        order = np.argsort(where, kind="stable")
+        cuts = np.searchsorted(where[order], np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(cuts))
+        held = pa.ListArray.from_arrays(pa.array(np.append(cuts[full], cuts[-1]), pa.int32()), pa.array(words, pa.binary()).take(pa.array(order[: cuts[-1]])))
+        n = len(full) + 1
+        head = lambda x, kind: pa.array([x, *[None] * (n - 1)], kind)
+        tail = lambda x, kind: pa.concat_arrays([pa.nulls(1, kind), x])
+        lists = pa.ListArray.from_arrays(pa.array([0] + [len(own)] * n, pa.int32()), own)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([shard] * n, pa.int64()), lists, head([len(x) for x in found], pa.list_(pa.int64())), head(packed(np.concatenate(found)), pa.binary()),
+                head([{"at": k, "word": w} for k, w in long], pa.list_(pa.struct([("at", pa.int64()), ("word", pa.binary())]))),
+                tail(pa.array(full, pa.int32()), pa.int32()), tail(held, held.type), tail(pa.array([order[cuts[k] : cuts[k + 1]].astype("<u4").tobytes() for k in full], pa.binary()), pa.binary()),
+            ], names=names,
+        )
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         words = regex.compile(pattern).findall
-        numbers = _Numbers()
+        shard, total = TaskContext.get().partitionId() << 32, 0
+        ids, found, numbers = [], [], _Numbers()
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            at = 0
-            while at < len(ids):
-                first, total, found = at, 0, []
-                reset = len(numbers) > KNOWN_WORDS or not len(numbers)
-                if reset:
-                    numbers = _Numbers()
-                while at < len(ids) and total < ROW_BYTES:
-                    text = texts[at] or ""
-                    found.append(np.array(list(map(numbers.__getitem__, words(text))), np.int32))
-                    total += len(text)
-                    at += 1
-                fresh, numbers.fresh = [w.encode("utf-8", "surrogatepass") for w in numbers.fresh], []
-                columns = [
-                    pa.array([reset]), pa.array([ids[first:at]], pa.list_(pa.int64())), pa.array([[len(x) for x in found]], pa.list_(pa.int64())),
-                    pa.array([np.concatenate(found).tobytes()], pa.binary()), pa.array([[w if len(w) <= LONG else b"" for w in fresh]], pa.list_(pa.binary())),
-                    pa.array([[w for w in fresh if len(w) > LONG]], pa.list_(pa.binary())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["reset", "doc_ids", "sizes", "numbers", "fresh", "long"])
-
-    cut = rows.mapInArrow(split, "reset boolean, doc_ids array<long>, sizes array<long>, numbers binary, fresh array<binary>, long array<binary>")
-    table = rank_map(ranks)
-    done = cut.select("reset", "doc_ids", "sizes", "numbers", F.transform("fresh", lambda w: F.when(w == F.lit(b""), F.array().cast("array<int>")).otherwise(encoded(w, table))).alias("ids"), "long")
-    schema = kind.schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    if keep_ids:
-        schema = schema.add("ids", "binary")
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = [b""] * (max(ranks.values()) + 1)
-        for piece, rank in ranks.items():
-            pieces[rank] = piece
-        flat, ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        for b in batches:
-            for reset, ids, sizes, numbers, long, k in zip(*[b.column(c).to_pylist() for c in ("reset", "doc_ids", "sizes", "numbers", "long")], range(b.num_rows), strict=True):
-                new = b.column("ids")[k].values
-                lengths = np.diff(new.offsets.to_numpy()) if len(new) else np.zeros(0, np.int64)
-                values = new.flatten().to_numpy(zero_copy_only=False).astype(np.uint32) if len(new) else np.zeros(0, np.uint32)
-                if long:
-                    # long words stand as empty ones, in order
-                    given = iter([merge_long(w, ranks) for w in long])
-                    parts = np.split(values, np.cumsum(lengths)[:-1])
-                    parts = [p if len(p) else np.array(next(given), np.uint32) for p in parts]
-                    lengths, values = np.array([len(p) for p in parts]), np.concatenate(parts)
-                if reset:
-                    flat, ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-                flat = np.concatenate([flat, values])
-                ends = np.concatenate([ends, ends[-1] + np.cumsum(lengths)])
-                words = np.frombuffer(numbers, np.int32)
-                size = ends[words + 1] - ends[words]
-                total = np.concatenate([[0], np.cumsum(size)])
-                tokens = flat[np.repeat(ends[words] - total[:-1], size) + np.arange(total[-1])].astype("<u4")
-                at = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
-                out = {"n": [], "i": [], "d": [], "b": []}
-                for s, e in zip(total[at[:-1]], total[at[1:]], strict=True):
-                    mine = tokens[s:e]
-                    data = mine.tobytes()
-                    out["n"].append(len(mine))
-                    out["i"].append(hashlib.sha256(data).hexdigest())
-                    out["d"].append(hashlib.sha256(b"".join(map(pieces.__getitem__, mine.tolist()))).hexdigest())
-                    out["b"].append(data if keep_ids else None)
-                columns = [pa.array(ids, pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["i"], pa.string()), pa.array(out["d"], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(out["b"], pa.binary())] * keep_ids, names=schema.names)
-
-    return done.mapInArrow(gather, schema)
+            first = 0
+            for row, text in enumerate(b.column("text").to_pylist()):
+                found.append(np.array(list(map(numbers.__getitem__, words(text or ""))), np.uint32))
+                total += len(text or "") + 64
+                if total >= SHARD_BYTES:
+                    ids.append(b.column("doc_id").slice(first, row + 1 - first))
+                    yield from shard_of(ids, found, numbers, shard)
+                    shard, total, first = shard + 1, 0, row + 1
+                    ids, found, numbers = [], [], _Numbers()
+            if first < b.num_rows:
+                ids.append(b.column("doc_id").slice(first))
+        if found:
+            yield from shard_of(ids, found, numbers, shard)
+
+    return run
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[8:], 4 * n, asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def _distinct(t: pa.Table) -> pa.Table:
+    """A bucket's words once each, in chunks, with the shards and places that ask for them."""
+    lists = t.column("words").combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    found = lists.flatten().dictionary_encode()
+    which = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    shards = np.repeat(t.column("shard").to_numpy(), np.diff(lists.offsets.to_numpy()))
+    at = np.frombuffer(b"".join(t.column("at").to_pylist()), "<u4")
+    order = np.lexsort((shards, which // CHUNK))
+    which, shards, at = which[order], shards[order], at[order]
+    starts = range(0, len(found.dictionary), CHUNK)
+    cuts = np.searchsorted(which // CHUNK, np.arange(len(starts) + 1))
+    cut = lambda x: pa.array([x[cuts[k] : cuts[k + 1]].tobytes() for k in range(len(starts))], pa.binary())
+    words = pa.ListArray.from_arrays(pa.array([*starts, len(found.dictionary)], pa.int32()), found.dictionary)
+    return pa.table({"words": words, "which": cut((which % CHUNK).astype("<u4")), "shards": cut(shards.astype("<i8")), "at": cut(at)})
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of every range, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+@releasing
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ids (of a chunk's words), which, shards, at → for each shard the places and what stands there."""
+    for b in batches:
+        out: tuple[list, ...] = ([], [], [], [])
+        for row in range(b.num_rows):
+            new = b.column("ids")[row].values
+            ends = new.offsets.to_numpy().astype(np.int64)
+            values = new.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+            ends = ends - ends[0]
+            which, shards, at = (np.frombuffer(b.column(c)[row].as_py(), kind).astype(np.int64) for c, kind in (("which", "<u4"), ("shards", "<i8"), ("at", "<u4")))
+            whose, first = np.unique(shards, return_index=True)
+            for shard, s, e in zip(whose.tolist(), first, np.append(first[1:], len(shards)), strict=True):
+                sizes = ends[which[s:e] + 1] - ends[which[s:e]]
+                for x, v in zip(out, (shard, at[s:e].astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), values[_ranges(ends[which[s:e]], sizes)].tobytes()), strict=True):
+                    x.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *[pa.array(x, pa.binary()) for x in out[1:]]], names=["shard", "at", "sizes", "ids"])
 
 
-def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """rows with a binary column of the concatenated pieces of their ids (little-endian unsigned 32-bit)."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; with keep_ids also ``ids``, an array of integers."""
     ranks = read_ranks(ranks_path)
-    schema = rows.select(*rows.columns).schema.add(out, "binary")
+    spark = docs.sparkSession
+    bound_batches(spark)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = rows.schema["doc_id"].dataType
+    schema = T.StructType().add("shard", "long").add("ids", T.ArrayType(kind)).add("sizes", T.ArrayType(T.LongType())).add("numbers", "binary")
+    schema = schema.add("long", T.ArrayType(T.StructType().add("at", "long").add("word", "binary"))).add("bucket", "integer").add("words", T.ArrayType(T.BinaryType())).add("at", "binary")
+    cut = materialise(rows.mapInArrow(_split(pattern, buckets), schema), "words")
+    asked = cut.where(F.col("bucket").isNotNull())
+    slices = max(1, -(-(asked.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0) // (buckets * GROUP_WORDS)))
+    dealt = asked.select("bucket", F.pmod(F.xxhash64("shard"), F.lit(slices)).alias("slice"), "shard", "words", "at")
+    distinct = dealt.groupBy("bucket", "slice").applyInArrow(_distinct, "words array<binary>, which binary, shards binary, at binary")
+    table = rank_map(ranks)
+    folded = distinct.select(F.transform("words", lambda w: encoded(w, table)).alias("ids"), "which", "shards", "at")
+    answers = folded.mapInArrow(_answers, "shard long, at binary, sizes binary, ids binary")
+    final = T.StructType().add("doc_id", kind).add("n_tokens", "long").add("ids_sha256", "string").add("ids", T.ArrayType(T.IntegerType()))
+
+    def gather(held: pa.Table, given: pa.Table) -> pa.Table:
+        ids = held.column("ids").combine_chunks()
+        own = ids.chunk(0).flatten() if isinstance(ids, pa.ChunkedArray) else ids.flatten()
+        words, long = _unpacked(held.column("numbers")[0].as_py()), held.column("long")[0].as_py()
+        at, size, values = (np.frombuffer(b"".join(given.column(c).to_pylist()), "<u4") for c in ("at", "sizes", "ids"))
+        if long:
+            merged = [merge_long(x["word"], ranks) for x in long]
+            at, size = np.append(at, [x["at"] for x in long]), np.append(size, [len(x) for x in merged])
+            values = np.append(values, np.concatenate(merged))
+        at, size = at.astype(np.int64), size.astype(np.int64)
+        starts, sizes = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        starts[at], sizes[at] = np.cumsum(size) - size, size
+        n = sizes[words]
+        tokens = values[_ranges(starts[words], n)].astype("<u4") if len(words) else np.zeros(0, "<u4")
+        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(np.array(held.column("sizes")[0].as_py(), np.int64))])]
+        data = tokens.tobytes()
+        digests = [hashlib.sha256(data[4 * s : 4 * e]).hexdigest() for s, e in zip(ends[:-1], ends[1:], strict=True)]
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens.astype(np.int32), pa.int32()))
+        release()
+        return pa.table({"doc_id": own, "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "ids": lists})
+
+    texts = cut.where(F.col("bucket").isNull()).select("shard", "ids", "sizes", "numbers", "long")
+    out = texts.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(gather, final)
+    out = out.select("doc_id", "n_tokens", "ids_sha256", F.sha2(_decoded(F.col("ids"), piece_array(ranks)), 256).alias("decoded_sha256"), "ids")
+    return out if keep_ids else out.drop("ids")
+
+
+def _decoded(ids: Column, pieces: Column) -> Column:
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""), "ISO-8859-1")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = [b""] * (max(ranks.values()) + 1)
-        for piece, rank in ranks.items():
-            pieces[rank] = piece
-        for b in batches:
-            values = [None if x is None else b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in b.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.binary())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
+    """rows with a binary column (in place of one of that name) of the concatenated pieces of their ids, an array of
+    integers; null for null ids."""
+    return rows.withColumn(out, _decoded(F.col(ids_col), piece_array(read_ranks(ranks_path))))
