@@ -7,16 +7,21 @@ window in both directions, attention pools their states, and the largest window
 score. The word inputs' projections are computed once for each distinct word and then looked up.
 
 The network is fitted on the driver to a bounded sample of labelled rows (``Settings.positives`` and ``negatives``, those
-with the smallest hashes of their ids); every window of every text is scored.
-
-Cases: null and empty texts get the score of a text without evidence; repeated rows get equal scores; without labelled
-rows, or with labels of one kind only, every score is that kind's share (0 where there are none); an empty table gives
-an empty result.
+with the smallest hashes of their ids, whose texts come once each); every window of every text is scored. In training a
+document's log odds come from the other folds of the sample, as they do for documents that nobody has labelled. A
+document is as toxic as its worst window: before each pass the network scores all windows of the sample and learns from
+the largest of each document (and, for documents that aren't toxic, from one more). The calibration comes from a network
+that is fitted in the same way without a part of the sample, on that part.
+
+Cases: null and empty texts get the score of a text without evidence; repeated rows get equal scores; of conflicting
+labels of an id the toxic one holds; without labelled rows, or with labels of one kind only, every score is that kind's
+share (0 where there are none); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,10 +47,13 @@ class Settings:
     attention: int = 8
     window: int = 64
     stride: int = 48
+    folds: int = 5
+    spare: int = 4
     epochs: int = 3
     steps: int = 80
     batch: int = 256
     rate: float = 0.02
+    decay: float = 0.02
     seed: int = 7
 
 
@@ -108,15 +116,17 @@ class Network:
         self.p |= {"aw": normal(2 * h, s.attention), "ac": np.zeros(s.attention, np.float32), "av": normal(s.attention, 1)[:, 0], "ow": normal(2 * h, 1)[:, 0], "oc": np.zeros(1, np.float32)}
         self.calibration = (1.0, 0.0)
 
-    def inputs(self, words: list[str]) -> tuple[np.ndarray, tuple]:
+    def inputs(self, words: list[str], odds: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, tuple]:
+        """Every word's inputs; odds (of words and of n-grams) stand in for the network's own."""
+        word_odds, gram_odds = odds or (self.word_odds, self.gram_odds)
         ids, starts = ngrams(words, self.s)
         at = np.array([self.vocabulary.get(w, 0) for w in words], np.int64)
         counts = np.diff(np.append(starts, len(ids)))
         x = np.zeros((len(words), 2 + 2 * self.s.vector), np.float32)
-        x[:, 0] = self.word_odds[at]
+        x[:, 0] = word_odds[at]
         full = counts > 0
         if full.any():
-            x[full, 1] = np.maximum.reduceat(self.gram_odds[ids], starts[full])
+            x[full, 1] = np.maximum.reduceat(gram_odds[ids], starts[full])
             x[full, 2 + self.s.vector :] = np.add.reduceat(self.p["gram"][ids], starts[full], axis=0) / counts[full, None]
         x[:, 2 : 2 + self.s.vector] = self.p["word"][at]
         return x, (ids, counts, at)
@@ -153,10 +163,10 @@ class Network:
         logits = pooled @ self.p["ow"] + self.p["oc"][0]
         return (logits, states, a, alpha, pooled, trace) if keep else logits
 
-    def step(self, words: list[str], at: np.ndarray, mask: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict:
+    def step(self, words: list[str], at: np.ndarray, mask: np.ndarray, target: np.ndarray, weight: np.ndarray, odds: tuple | None = None) -> dict:
         """Gradients of the weighted cross entropy."""
         p, h, g = self.p, self.s.hidden, {}
-        x, (ids, counts, known) = self.inputs(words)
+        x, (ids, counts, known) = self.inputs(words, odds)
         logits, states, a, alpha, pooled, trace = self.run(self.project(x), at, mask, keep=True)
         d = ((_sigmoid(logits) - target) * weight / weight.sum()).astype(np.float32)
         g["ow"], g["oc"] = pooled.T @ d, np.array([d.sum()], np.float32)
@@ -204,65 +214,83 @@ def _layout(spans: list[list[int]], s: Settings) -> tuple[np.ndarray, np.ndarray
     return at, mask
 
 
-def fit(texts: list[str], labels: list[int], s: Settings = Settings()) -> Network | float:  # noqa: B008
-    """The network, or a constant where labels are of one kind."""
-    y = np.array(labels, np.float32)
-    if not len(y) or y.min() == y.max():
-        return float(y.mean()) if len(y) else 0.0
-    docs = [words_of(t) for t in texts]
-    n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
-    counts: dict[str, list[int]] = {}
-    grams = np.zeros((2, s.buckets))
-    for x, label in zip(docs, labels, strict=True):
-        distinct = sorted(set(x))
-        for w in distinct:
-            counts.setdefault(w, [0, 0])[label] += 1
-        if distinct:
-            grams[label, np.unique(ngrams(distinct, s)[0])] += 1
-    common = sorted((w for w, c in counts.items() if sum(c) >= 3), key=lambda w: (-sum(counts[w]), w))
-    marked = _evidence(*np.array([counts[w][::-1] for w in common], float).reshape(-1, 2).T, n_pos, n_neg) if common else np.zeros(0)
-    order = np.lexsort((np.arange(len(common)), -marked))[: s.vocabulary]
-    vocabulary = {common[i]: k + 1 for k, i in enumerate(order)}
-    net = Network(s, vocabulary, np.concatenate([[0], marked[order]]).astype(np.float32), _evidence(grams[1], grams[0], n_pos, n_neg))
+class _Counts:
+    """How many documents of each kind, in each fold, have a word or an n-gram."""
+
+    def __init__(self, docs: list[list[str]], labels: np.ndarray, fold: np.ndarray, s: Settings):
+        self.s, self.n = s, np.zeros((s.folds, 2))
+        words: dict[str, np.ndarray] = {}
+        self.grams = np.zeros((s.folds, 2, s.buckets), np.float32)
+        for x, label, k in zip(docs, labels.astype(int).tolist(), fold.tolist(), strict=True):
+            self.n[k, label] += 1
+            distinct = sorted(set(x))
+            for w in distinct:
+                if w not in words:
+                    words[w] = np.zeros((s.folds, 2), np.int32)
+                words[w][k, label] += 1
+            if distinct:
+                self.grams[k, label, np.unique(ngrams(distinct, s)[0])] += 1
+        common = sorted(w for w, c in words.items() if c.sum() >= 3)
+        counts = np.array([words[w] for w in common], float).reshape(-1, s.folds, 2)
+        order = np.argsort(-self._odds(counts.sum(axis=1).T, self.n.sum(axis=0)), kind="stable")[: s.vocabulary]
+        self.vocabulary = {common[i]: k + 1 for k, i in enumerate(order)}
+        self.words = counts[order]
+
+    def _odds(self, found: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return _evidence(found[1], found[0], n[1], n[0])
+
+    def odds(self, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds of words and n-grams, from all folds or all but one."""
+        use = np.arange(self.s.folds) != (-1 if without is None else without)
+        n = self.n[use].sum(axis=0)
+        return np.append(np.float32(0), self._odds(self.words[:, use].sum(axis=1).T, n)), self._odds(self.grams[use].sum(axis=0), n)
+
+
+def _learnt(docs: list[list[str]], y: np.ndarray, fold: np.ndarray, s: Settings) -> Network:
+    """A network without calibration."""
     r = np.random.default_rng(s.seed)
-    # one window of each document is learnt, that of most evidence, and another one of the documents that aren't toxic
-    cut, target = [], []
-    cache: dict[str, float] = {}
-    for x, label in zip(docs, y, strict=True):
-        fresh = list(dict.fromkeys(w for w in x if w not in cache))
-        if fresh:
-            cache.update(zip(fresh, net.inputs(fresh)[0][:, :2].sum(axis=1).tolist(), strict=True))
-        ws = windows(len(x), s)
-        sums = [sum(cache[w] for w in x[a:b]) for a, b in ws]
-        picked = {int(np.argmax(sums))} | ({int(r.integers(len(ws)))} if not label else set())
-        for k in sorted(picked):
-            cut.append(x[ws[k][0] : ws[k][1]])
-            target.append(label)
-    target = np.array(target, np.float32)
-    weight = np.where(target > 0, 0.5 / target.mean(), 0.5 / (1 - target.mean())).astype(np.float32)
+    counts = _Counts(docs, y, fold, s)
+    net = Network(s, counts.vocabulary, *counts.odds())
+    odds = [counts.odds(k) for k in range(s.folds)]
+    rows = [np.flatnonzero(fold == k) for k in range(s.folds)]
+    balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     time = 0
     # a small sample is passed over more often, for as many steps at least
-    for _ in range(max(s.epochs, -(-s.steps * s.batch // len(cut)))):
-        for part in np.array_split(r.permutation(len(cut)), max(1, len(cut) // s.batch)):
-            names = sorted({w for k in part for w in cut[k]})
-            number = {w: k for k, w in enumerate(names)}
-            at, mask = _layout([[number[w] for w in cut[k]] for k in part], s)
+    for epoch in range(max(s.epochs, -(-s.steps * s.batch // (2 * len(docs))))):
+        parts = []
+        for k in range(s.folds):
+            whose, starts, lengths, logits = Scorer(net, odds=odds[k]).each([docs[i] for i in rows[k]], by_evidence=not epoch)
+            order = np.lexsort((-logits, whose))
+            first = np.flatnonzero(np.append(True, whose[order][1:] != whose[order][:-1])) if len(order) else order
+            picked = order[first]
+            clean = np.flatnonzero((y[rows[k]][whose] == 0) & (r.random(len(whose)) < 1 / np.bincount(whose, minlength=1)[whose])) if len(whose) else picked
+            both = np.unique(np.append(picked, clean))
+            for part in np.array_split(r.permutation(both), max(1, len(both) // s.batch)):
+                owners = rows[k][whose[part]]
+                parts.append((k, [docs[i][a : a + n] for i, a, n in zip(owners, starts[part], lengths[part], strict=True)], owners))
+        for i in r.permutation(len(parts)):
+            k, spans, whose = parts[i]
+            names = sorted(set().union(*spans))
             if not names:
                 continue
+            number = {w: j for j, w in enumerate(names)}
+            at, mask = _layout([[number[w] for w in x] for x in spans], s)
             time += 1
-            for k, g in net.step(names, at, mask, target[part], weight[part]).items():
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.01 * (g * g - v[k])
-                net.p[k] = net.p[k] - s.rate * (m[k] / (1 - 0.9**time)) / (np.sqrt(v[k] / (1 - 0.99**time)) + 1e-7)
-    # Platt scaling of the documents' largest window logits
-    z = np.clip(Scorer(net).logits(docs), -30, 30)
-    a, b = 1.0, float(np.log(n_pos / n_neg))
+            for name, g in net.step(names, at, mask, y[whose], balance[whose], odds[k]).items():
+                m[name] += 0.1 * (g - m[name])
+                v[name] += 0.01 * (g * g - v[name])
+                net.p[name] = net.p[name] * (1 - s.rate * s.decay) - s.rate * (m[name] / (1 - 0.9**time)) / (np.sqrt(v[name] / (1 - 0.99**time)) + 1e-7)
+    return net
+
+
+def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept that turn logits into probabilities, with a weak pull towards the plain logit."""
+    a, b = 1.0, float(np.log(max(y.sum(), 0.5) / max((1 - y).sum(), 0.5)))
     for _ in range(50):
         q = _sigmoid(a * z + b)
         w = np.maximum(q * (1 - q), 1e-6)
-        # a weak pull towards the plain logit keeps a separable sample from steep slopes
         hess = np.array([[(w * z * z).sum() + 1.0, (w * z).sum()], [(w * z).sum(), w.sum() + 0.1]])
         grad = np.array([((q - y) * z).sum() + 1.0 * (a - 1), (q - y).sum() + 0.1 * b])
         step = np.linalg.solve(hess, grad)
@@ -270,15 +298,33 @@ def fit(texts: list[str], labels: list[int], s: Settings = Settings()) -> Networ
         a, b = a - float(step[0]), b - float(step[1])
         if np.abs(step).max() < 1e-6:
             break
-    net.calibration = (a, b)
+    return a, b
+
+
+def fit(texts: list[str], labels: list[int], s: Settings = Settings()) -> Network | float:  # noqa: B008
+    """The network, or a constant where labels are of one kind."""
+    y = np.array(labels, np.float32)
+    if not len(y) or y.min() == y.max():
+        return float(y.mean()) if len(y) else 0.0
+    docs = [words_of(t) for t in texts]
+    # equal texts share a fold
+    mark = np.array([zlib.crc32(" ".join(x).encode("utf-8", "surrogatepass")) for x in docs])
+    net = _learnt(docs, y, mark % s.folds, s)
+    spare = mark // s.folds % s.spare == 0
+    kinds = lambda x: len(set(x.tolist()))
+    if kinds(y[spare]) < 2 or kinds(y[~spare]) < 2:  # too few to keep some back
+        net.calibration = _platt(np.clip(Scorer(net).logits(docs), -30, 30), y)
+        return net
+    other = _learnt([x for x, k in zip(docs, spare, strict=True) if not k], y[~spare], mark[~spare] % s.folds, s)
+    net.calibration = _platt(np.clip(Scorer(other).logits([x for x, k in zip(docs, spare, strict=True) if k]), -30, 30), y[spare])
     return net
 
 
 class Scorer:
     """Scores texts; keeps the projections of words it has met, up to a bound, as long as a task lasts."""
 
-    def __init__(self, net: Network, most: int = 200_000):
-        self.net, self.most = net, most
+    def __init__(self, net: Network, most: int = 200_000, odds: tuple | None = None):
+        self.net, self.most, self.odds = net, most, odds
         self.number: dict[str, int] = {}
         self.table = np.zeros((0, 6 * net.s.hidden), np.float32)
         self.used = 0
@@ -291,7 +337,7 @@ class Scorer:
         if not fresh:
             return
         fresh.sort()
-        rows = self.net.project(self.net.inputs(fresh)[0])
+        rows = self.net.project(self.net.inputs(fresh, self.odds)[0])
         if self.used + len(fresh) > len(self.table):
             grown = np.zeros((max(self.used + len(fresh), min(2 * len(self.table), self.most)), rows.shape[1]), np.float32)
             grown[: self.used] = self.table[: self.used]
@@ -300,9 +346,11 @@ class Scorer:
         self.number.update(zip(fresh, range(self.used, self.used + len(fresh)), strict=True))
         self.used += len(fresh)
 
-    def logits(self, docs: list[list[str]], together: int = 2048) -> np.ndarray:
+    def each(self, docs: list[list[str]], together: int = 2048, by_evidence: bool = False) -> tuple[np.ndarray, ...]:
+        """Of every window its document, first word, number of words and logit; or in place of the logit the sum of its
+        words' log odds."""
         s = self.net.s
-        out = np.full(len(docs), -np.inf)
+        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0),)]
         k = 0
         while k < len(docs):  # so many texts as fill a batch of windows
             n = e = 0
@@ -312,20 +360,32 @@ class Scorer:
             part = docs[k : k + e]
             self._learn(part)
             flat = np.array([self.number[w] for x in part for w in x] or [0], np.int64)
-            starts, lengths, whose, base = [], [], [], 0
+            starts, lengths, whose, base, first = [], [], [], 0, []
             for j, x in enumerate(part):
                 for a, b in windows(len(x), s):
-                    starts.append(base + a), lengths.append(b - a), whose.append(k + j)  # noqa: B018
+                    starts.append(base + a), lengths.append(b - a), whose.append(k + j), first.append(a)  # noqa: B018
                 base += len(x)
             if not self.used:
                 self._learn([["-"]])
-            starts, lengths, whose = np.array(starts), np.array(lengths), np.array(whose)
-            for c in range(0, len(starts), together):
-                steps = np.arange(max(1, lengths[c : c + together].max()))[:, None]
-                mask = steps < lengths[c : c + together]
-                at = flat[np.minimum(starts[c : c + together] + steps, len(flat) - 1)]
-                np.maximum.at(out, whose[c : c + together], self.net.run(self.table, at, mask))
+            starts, lengths, whose, first = np.array(starts), np.array(lengths), np.array(whose), np.array(first)
+            if by_evidence:
+                names = list(self.number)
+                sums = np.append(0, np.cumsum(self.net.inputs(names, self.odds)[0][:, :2].sum(axis=1)[flat]))
+                found.append((whose, first, lengths, np.where(lengths > 0, sums[starts + lengths] - sums[np.minimum(starts, len(flat))], 0)))
+            for c in range(0, 0 if by_evidence else len(starts), together):
+                span = slice(c, c + together)
+                steps = np.arange(max(1, lengths[span].max()))[:, None]
+                mask = steps < lengths[span]
+                at = flat[np.minimum(starts[span] + steps, len(flat) - 1)]
+                found.append((whose[span], first[span], lengths[span], self.net.run(self.table, at, mask)))
             k += e
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def logits(self, docs: list[list[str]]) -> np.ndarray:
+        """The largest window logit of every document."""
+        whose, _, _, z = self.each(docs)
+        out = np.full(len(docs), -np.inf)
+        np.maximum.at(out, whose, z)
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -340,15 +400,16 @@ def in_fold(id_col: str, folds: int = 4, fold: int = 2) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label_col: str = "toxic") -> Network | float:  # noqa: B008
     """Fits the network on labelled rows outside the held-out fold, a bounded number of each kind."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~in_fold("doc_id")).select("doc_id", (F.col(label_col) > 0).cast("int").alias("label"), F.xxhash64("doc_id").alias("h"))
+    known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~in_fold("doc_id"))
+    known = known.groupBy("doc_id").agg(F.max((F.col(label_col) > 0).cast("int")).alias("label")).withColumn("h", F.xxhash64("doc_id"))
     ids = None
     for kind, most in ((1, s.positives), (0, s.negatives)):
         part = known.where(F.col("label") == kind).orderBy("h", "doc_id").limit(most)
         ids = part if ids is None else ids.unionByName(part)
-    # at most positives + negatives rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id").select("h", "doc_id", "text", "label").collect()
-    rows.sort(key=lambda r: (r["h"], r["doc_id"], r["text"] or ""))
-    return fit([r["text"] or "" for r in rows], [r["label"] for r in rows], s)
+    # at most positives + negatives ids, and of each the row with the smallest text
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("h", "doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).collect()
+    rows.sort(key=lambda r: (r["h"], r["doc_id"]))
+    return fit([r["text"] for r in rows], [r["label"] for r in rows], s)
 
 
 def toxicity(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
