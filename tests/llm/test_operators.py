@@ -186,8 +186,8 @@ def test_exact_dedup(spark, corner, none):
         got = exact_dedup.exact_dedup(corner, block=block).drop("copies")
         assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
     assert exact_dedup.exact_dedup(none).count() == 0
-    kept = exact_dedup.drop_exact_copies(corner.withColumn("name", F.lit("x")).withColumn("t", F.lit("y")))
-    assert kept.columns == [*corner.columns, "name", "t"]
+    kept = exact_dedup.drop_exact_copies(corner.withColumn("name", F.lit("x")).withColumn("_k", F.lit("y")).withColumn("_row", F.lit("z")))
+    assert kept.columns == [*corner.columns, "name", "_k", "_row"] and {(x.name, x._k, x._row) for x in kept.collect()} == {("x", "y", "z")}
     assert sorted((x.doc_id for x in kept.collect()), key=lambda x: -1 if x is None else x) == sorted({w[0] for w in want if w[3]}, key=lambda x: -1 if x is None else x)
 
 

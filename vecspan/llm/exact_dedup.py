@@ -29,8 +29,12 @@ def normalised(text: Column) -> Column:
 
 
 def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with a column name: the place of their key columns among the sorted distinct ones, as an integer."""
-    names = rows.groupBy(*keys).agg(F.lit(1).alias("_")).drop("_").orderBy(*keys).withColumn("name", F.monotonically_increasing_id())
+    """rows with a column name: the place of their key columns among the distinct ones, sorted by a hash and then by
+    themselves, as an integer."""
+    names = rows.groupBy(*keys).agg(F.xxhash64(*keys).alias("_"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # ranges are cut by the short hash, so what is sampled for their bounds stays small whatever the keys' length
+    names = names.repartitionByRange(n, "_").sortWithinPartitions("_", *keys).withColumn("name", F.monotonically_increasing_id())
     names = names.select(*[F.col(k).alias(f"_{k}") for k in keys], "name")
     on = None
     for k in keys:
@@ -73,6 +77,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         base.select("doc_id", F.octet_length("t").alias("n_bytes"), F.sha2(F.col("t"), 256).alias("sha"), F.substring(F.col("t").cast("binary"), F.lit(1), F.lit(block)).alias("head")), "heads"
     )
     ties = heads.groupBy("n_bytes", "head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("n_bytes").alias("_n"), F.col("head").alias("_h"))
+    # written, so that the join below meets two plain shuffles, whose hot keys can be split
+    ties = materialise(ties, "ties")
     tied = heads.join(ties.hint("merge"), (F.col("n_bytes") == F.col("_n")) & (F.col("head") == F.col("_h"))).select("doc_id", "sha")
     tied = materialise(tied.groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("copies")), "tied")
     whole = base.select(F.col("doc_id").alias("_d"), F.col("t"))
@@ -96,7 +102,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """docs without the rows whose text another row keeps; of repeated rows one stays. All columns stay as they are."""
     kept = exact_dedup(docs, id_col, text_col, block).where("kept").select(F.col("doc_id").alias("_d"), F.col("text_sha256").alias("_s")).distinct()
-    keyed = docs.withColumn("_k", F.sha2(normalised(F.col(text_col)), 256))
-    rows = keyed.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_s")))
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    keyed = docs.select(whole.alias("_row"), F.col(id_col).alias("_i"), F.sha2(normalised(F.col(text_col)), 256).alias("_k"))
+    rows = keyed.join(kept.hint("merge"), F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_s")))
     first = F.row_number().over(Window.partitionBy("_d", "_k").orderBy("_s"))
-    return rows.withColumn("_r", first).where("_r = 1").select(*docs.columns)
+    return rows.withColumn("_r", first).where("_r = 1").select(*[F.col(f"_row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
