@@ -142,7 +142,10 @@ def confirmed_phrases(texts: DataFrame, s: Settings, n_bytes: int) -> DataFrame:
     flagged = texts.join(found.hint("merge"), F.col("n") == F.col("key")).select("shard", "_text", "found")
     placed = materialise(flagged.mapInArrow(_phrases(s), "shard long, phrase string, places long"), "phrases")
     again = placed.groupBy("phrase").agg(F.sum("places").alias("places")).where("places > 1").select(F.col("phrase").alias("_p"))
-    return placed.join(again.hint("merge"), F.col("phrase") == F.col("_p")).select("shard", "phrase").distinct()
+    # written, so that the join meets two plain shuffles, of which a common phrase's can be split; a shard may have a
+    # phrase more than once
+    again = materialise(again, "confirmed")
+    return placed.join(again.hint("merge"), F.col("phrase") == F.col("_p")).select("shard", "phrase")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:  # noqa: B008
