@@ -206,7 +206,7 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: Capacity =
     pieces = pieces.withColumn("_row", F.monotonically_increasing_id())
     if not keep_ids:
         return pack(pieces.drop("ids"), shards, capacity).drop("_row")
-    pieces = materialise(pieces, "pieces")
+    pieces = materialise(pieces, "pieces", "zstd")
     packed = pack(pieces.drop("ids"), shards, capacity)
     ids = pieces.select(F.col("_row").alias("_r"), "ids")
     return packed.join(ids.hint("merge"), F.col("_row") == F.col("_r")).drop("_row", "_r")
