@@ -348,7 +348,7 @@ def _asked(parts: DataFrame, s: Settings) -> DataFrame:
     groups = matrix.select("token", F.col("part").alias("p")).distinct()
     asks = matrix.join(groups.hint("merge"), "token").where(F.col("p") >= F.col("part")).select(F.col("key").alias("_k"), "p").distinct()
     asks = materialise(asks, "asks")
-    slices = asks.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / s.asked).alias("slices"))
+    slices = materialise(asks.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / s.asked).alias("slices")), "slices")
     members = parts.join(slices.hint("merge"), F.col("part") == F.col("p")).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
     placed = asks.join(slices.select(F.col("p").alias("_p"), "slices").hint("merge"), F.col("p") == F.col("_p")).select("_k", "p", F.pmod(F.xxhash64("_k"), "slices").alias("slice"))
     queries = parts.drop("part").join(placed.hint("merge"), F.col("key") == F.col("_k")).withColumnRenamed("p", "part")
@@ -429,7 +429,7 @@ def _link_counts(few: DataFrame, classes: DataFrame, found: DataFrame, s: Settin
     members = few.select("key", "text", *_CLASS).join(found.hint("merge"), F.col("key") == F.col("node")).select("component", "text", *_CLASS)
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("all")).where("size > 1")
     blocks = F.greatest(F.ceil(F.col("size") / s.block), F.ceil(F.col("all") / s.block_tokens))
-    sizes = sizes.select(F.col("component").alias("_c"), blocks.alias("blocks"))
+    sizes = materialise(sizes.select(F.col("component").alias("_c"), blocks.alias("blocks")), "sizes")
     members = members.join(sizes.hint("merge"), F.col("component") == F.col("_c")).drop("_c")
     weights = classes.select(*[F.col(c).alias(f"_{c}") for c in _CLASS], "rows")
     same = (F.col("n") == F.col("_n")) & (F.col("p1") == F.col("_p1")) & (F.col("p2") == F.col("_p2"))
