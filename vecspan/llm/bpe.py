@@ -4,15 +4,15 @@
    keeps its texts as numbers of its own distinct words, which go to buckets by a hash.
 2. A bucket meets the words of all shards (of a slice of them, where there are very many), so that a word is folded once
    for the corpus and not once for each shard.
-3. Spark folds the merges: a word is an array of pieces, one for each byte, beside an array of the ranks of adjacent
-   pairs. Each step joins the leftmost pair of the lowest rank and renews the ranks of its two neighbours, until no pair
-   has a rank. The ranks are a literal map: an array of small maps chosen by a checksum, as Spark searches a map from end
-   to end.
+3. Spark folds the merges: a word is an array of pieces, one for each byte; each step looks up the ranks of all adjacent
+   pairs and joins the leftmost pair of the lowest rank, until no pair has a rank. The ranks are a literal map: an array
+   of small maps chosen by a checksum, as Spark searches a map from end to end. (To keep the ranks in the state and renew
+   those beside a merge was tried: arrays are cut and joined so slowly that a word took twice as long.)
 4. The words' ids return to their shards, where the ids of a text are gathered by its words' numbers.
 
 Decoding is Spark's too: the pieces of the ids, from a literal array, are concatenated.
 
-A fold costs the square of a word's length. Words over ``LONG`` bytes, which only runs without any break have, are merged
+A step costs a word's length, and so a fold its square. Words over ``LONG`` bytes, which only runs without any break have, are merged
 by the same rule with a heap in Python, so every word is merged whole and equally.
 
 Cases: null and empty texts have no ids; repeated rows have equal results; a byte sequence without a rank can't occur, as
@@ -38,11 +38,10 @@ from pyspark.sql import types as T
 from .common import bound_batches, materialise, release, releasing
 
 BUCKETS = 8192
-LONG = 4096
+LONG = 1024
 SHARD_BYTES = 4 << 20
-GROUP_WORDS = 400_000
+GROUP_BYTES = 2 << 20
 CHUNK = 4096
-_NONE = (1 << 31) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -71,49 +70,40 @@ def piece_array(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(pieces)), "array<string>")
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def encoded(word: Column, ranks: Column) -> Column:
     """The ids of a word (binary), by folding merges."""
 
     def rank(x: Column) -> Column:
         return F.try_element_at(F.get(ranks, (F.crc32(x.cast("binary")) % BUCKETS).cast("int")), x)
 
-    def paired(a: Column, b: Column) -> Column:  # b may be null
-        return F.coalesce(rank(F.concat(a, b)), F.lit(_NONE))
-
-    def bound(value: Column, use) -> Column:  # computes value once
-        return F.get(F.transform(F.array(value), use), F.lit(0))
-
     def step(state: Column, _: Column) -> Column:
-        pieces, pairs = state["pieces"], state["pairs"]
-
-        def merged(at: Column) -> Column:  # at: the place of the pair, from 1
-            def joined(piece: Column) -> Column:
-                before, after = F.get(pieces, at - 2), F.get(pieces, at + 1)
-                left = F.when(at > 1, F.concat(F.slice(pairs, F.lit(1), at - 2), F.array(paired(before, piece)))).otherwise(F.array().cast("array<int>"))
-                return F.struct(
-                    F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(piece), F.slice(pieces, at + 2, F.size(pieces))).alias("pieces"),
-                    F.concat(left, F.array(paired(piece, after)), F.slice(pairs, at + 2, F.size(pairs))).alias("pairs"), F.lit(True).alias("open"),
-                )
+        pieces = state["pieces"]
+        # rank and place of each adjacent pair in one number; pairs without a rank are null
+        pairs = F.transform(pieces, lambda a, i: rank(F.concat(a, F.get(pieces, i + 1))).cast("long") * F.lit(1 << 32) + i)
 
-            return bound(F.concat(F.get(pieces, at - 1), F.get(pieces, at)), joined)
+        def merged(best: Column) -> Column:
+            at = (best % F.lit(1 << 32)).cast("int")
+            joined = F.concat(F.slice(pieces, F.lit(1), at), F.array(F.concat(F.get(pieces, at), F.get(pieces, at + 1))), F.slice(pieces, at + 3, F.size(pieces)))
+            closed = F.struct(pieces.alias("pieces"), F.lit(False).alias("open"))
+            return F.when(best.isNull(), closed).otherwise(F.struct(joined.alias("pieces"), F.lit(True).alias("open")))
 
-        closed = F.struct(pieces.alias("pieces"), pairs.alias("pairs"), F.lit(False).alias("open"))
-        next_ = bound(F.array_min(pairs), lambda best: F.when(best == _NONE, closed).otherwise(bound(F.array_position(pairs, best).cast("int"), merged)))
-        return F.when(state["open"], next_).otherwise(state)
+        return F.when(state["open"], _bound(F.array_min(pairs), merged)).otherwise(state)
 
     def folded(text: Column) -> Column:
-        def whole(letters: Column) -> Column:
-            pairs = F.transform(letters, lambda a, i: paired(a, F.get(letters, i + 1)))
-            start = F.struct(letters.alias("pieces"), pairs.alias("pairs"), F.lit(True).alias("open"))
-            steps = F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1)))
-            return F.aggregate(steps, start, step, lambda state: F.transform(state["pieces"], rank))
-
-        return bound(F.slice(F.split(text, "", -1), F.lit(1), F.length(text)), whole)
+        letters = F.slice(F.split(text, "", -1), F.lit(1), F.length(text))
+        start = F.struct(letters.alias("pieces"), F.lit(True).alias("open"))
+        steps = F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1)))
+        return F.aggregate(steps, start, step, lambda state: F.transform(state["pieces"], rank))
 
     def one(text: Column) -> Column:
-        return bound(rank(text), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded(text)))
+        return _bound(rank(text), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded(text)))
 
-    return bound(F.decode(word, "ISO-8859-1"), one)
+    return _bound(F.decode(word, "ISO-8859-1"), one)
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -156,34 +146,53 @@ class _Numbers(dict):
         return n
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, compressed with bytes of equal weight side by side."""
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd").compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[8:], 4 * n, asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def _all(packed: pa.ChunkedArray) -> list[np.ndarray]:
+    return [_unpacked(x) for x in packed.to_pylist()]
+
+
 def _split(pattern: str, buckets: int):
     """doc_id, text → of each shard a row with its texts, as numbers of its words, and for each bucket one with the
     bucket's words and their numbers."""
-    names = ["shard", "ids", "sizes", "numbers", "long", "bucket", "words", "at"]
-    def packed(x: np.ndarray) -> bytes:
-        # bytes of equal weight side by side
-        return len(x).to_bytes(8, "little") + pa.Codec("zstd").compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
+    names = ["shard", "ids", "sizes", "numbers", "long", "bucket", "words", "lengths", "at"]
 
     def shard_of(ids: list[pa.Array], found: list[np.ndarray], numbers: _Numbers, shard: int) -> Iterator[pa.RecordBatch]:
         own = pa.concat_arrays(ids)
-        words = [w.encode("utf-8", "surrogatepass") for w in numbers]
-        long = [(k, w) for k, w in enumerate(words) if len(w) > LONG]
+        # common words get small numbers, which take little room
+        flat = np.concatenate(found)
+        order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        words = list(numbers)
+        words = [words[k].encode("utf-8", "surrogatepass") for k in order]
+        long = [{"at": k, "word": w} for k, w in enumerate(words) if len(w) > LONG]
         where = np.array([zlib.crc32(w) % buckets if len(w) <= LONG else buckets for w in words], np.int64)
-        order = np.argsort(where, kind="stable")
-        cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(cuts))
-        held = pa.ListArray.from_arrays(pa.array(np.append(cuts[full], cuts[-1]), pa.int32()), pa.array(words, pa.binary()).take(pa.array(order[: cuts[-1]])))
+        by = np.argsort(where, kind="stable")
+        cuts = np.searchsorted(where[by], np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(cuts)).tolist()
+        held: tuple[list, ...] = ([None], [None], [None])
+        for k in full:
+            at = by[cuts[k] : cuts[k + 1]]
+            mine = [words[i] for i in at]
+            held[0].append(pa.Codec("zstd").compress(b"".join(mine), asbytes=True))
+            held[1].append(_packed(np.array([len(w) for w in mine])))
+            held[2].append(_packed(np.diff(at, prepend=0)))
         n = len(full) + 1
         head = lambda x, kind: pa.array([x, *[None] * (n - 1)], kind)
-        tail = lambda x, kind: pa.concat_arrays([pa.nulls(1, kind), x])
         lists = pa.ListArray.from_arrays(pa.array([0] + [len(own)] * n, pa.int32()), own)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([shard] * n, pa.int64()), lists, head([len(x) for x in found], pa.list_(pa.int64())), head(packed(np.concatenate(found)), pa.binary()),
-                head([{"at": k, "word": w} for k, w in long], pa.list_(pa.struct([("at", pa.int64()), ("word", pa.binary())]))),
-                tail(pa.array(full, pa.int32()), pa.int32()), tail(held, held.type), tail(pa.array([order[cuts[k] : cuts[k + 1]].astype("<u4").tobytes() for k in full], pa.binary()), pa.binary()),
-            ], names=names,
-        )
+        sizes, marked = head([len(x) for x in found], pa.list_(pa.int64())), head(long, pa.list_(pa.struct([("at", pa.int64()), ("word", pa.binary())])))
+        columns = [pa.array([shard] * n, pa.int64()), lists, sizes, head(_packed(place[flat]), pa.binary()), marked, pa.array([None, *full], pa.int32())]
+        yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x, pa.binary()) for x in held]], names=names)
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,27 +219,23 @@ def _split(pattern: str, buckets: int):
     return run
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.Codec("zstd").decompress(data[8:], 4 * n, asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").reshape(-1).astype(np.int64)
-
-
 def _distinct(t: pa.Table) -> pa.Table:
     """A bucket's words once each, in chunks, with the shards and places that ask for them."""
-    lists = t.column("words").combine_chunks()
-    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-    found = lists.flatten().dictionary_encode()
+    parts, lengths = [], _all(t.column("lengths"))
+    for data, n in zip(t.column("words").to_pylist(), lengths, strict=True):
+        ends = np.append(0, np.cumsum(n)).astype(np.int32)
+        parts.append(pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.Codec("zstd").decompress(data, int(ends[-1]))]))
+    found = pa.concat_arrays(parts).dictionary_encode()
     which = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    shards = np.repeat(t.column("shard").to_numpy(), np.diff(lists.offsets.to_numpy()))
-    at = np.frombuffer(b"".join(t.column("at").to_pylist()), "<u4")
+    shards = np.repeat(t.column("shard").to_numpy(), [len(n) for n in lengths])
+    at = np.concatenate([np.cumsum(x) for x in _all(t.column("at"))])
     order = np.lexsort((shards, which // CHUNK))
     which, shards, at = which[order], shards[order], at[order]
     starts = range(0, len(found.dictionary), CHUNK)
     cuts = np.searchsorted(which // CHUNK, np.arange(len(starts) + 1))
     cut = lambda x: pa.array([x[cuts[k] : cuts[k + 1]].tobytes() for k in range(len(starts))], pa.binary())
     words = pa.ListArray.from_arrays(pa.array([*starts, len(found.dictionary)], pa.int32()), found.dictionary)
-    return pa.table({"words": words, "which": cut((which % CHUNK).astype("<u4")), "shards": cut(shards.astype("<i8")), "at": cut(at)})
+    return pa.table({"words": words, "which": cut((which % CHUNK).astype("<u4")), "shards": cut(shards.astype("<i8")), "at": cut(at.astype("<u4"))})
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -252,7 +257,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whose, first = np.unique(shards, return_index=True)
             for shard, s, e in zip(whose.tolist(), first, np.append(first[1:], len(shards)), strict=True):
                 sizes = ends[which[s:e] + 1] - ends[which[s:e]]
-                for x, v in zip(out, (shard, at[s:e].astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), values[_ranges(ends[which[s:e]], sizes)].tobytes()), strict=True):
+                for x, v in zip(out, (shard, _packed(np.diff(at[s:e], prepend=0)), _packed(sizes), _packed(values[_ranges(ends[which[s:e]], sizes)])), strict=True):
                     x.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *[pa.array(x, pa.binary()) for x in out[1:]]], names=["shard", "at", "sizes", "ids"])
 
@@ -266,14 +271,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = rows.schema["doc_id"].dataType
     schema = T.StructType().add("shard", "long").add("ids", T.ArrayType(kind)).add("sizes", T.ArrayType(T.LongType())).add("numbers", "binary")
-    schema = schema.add("long", T.ArrayType(T.StructType().add("at", "long").add("word", "binary"))).add("bucket", "integer").add("words", T.ArrayType(T.BinaryType())).add("at", "binary")
+    schema = schema.add("long", T.ArrayType(T.StructType().add("at", "long").add("word", "binary"))).add("bucket", "integer").add("words", "binary").add("lengths", "binary").add("at", "binary")
     cut = materialise(rows.mapInArrow(_split(pattern, buckets), schema), "words")
     asked = cut.where(F.col("bucket").isNotNull())
-    slices = max(1, -(-(asked.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0) // (buckets * GROUP_WORDS)))
-    dealt = asked.select("bucket", F.pmod(F.xxhash64("shard"), F.lit(slices)).alias("slice"), "shard", "words", "at")
+    slices = max(1, -(-(asked.agg(F.sum(F.octet_length("words").cast("long"))).first()[0] or 0) // (buckets * GROUP_BYTES)))
+    dealt = asked.select("bucket", F.pmod(F.xxhash64("shard"), F.lit(slices)).alias("slice"), "shard", "words", "lengths", "at")
     distinct = dealt.groupBy("bucket", "slice").applyInArrow(_distinct, "words array<binary>, which binary, shards binary, at binary")
     table = rank_map(ranks)
-    folded = distinct.select(F.transform("words", lambda w: encoded(w, table)).alias("ids"), "which", "shards", "at")
+    # the map is bound once, so that the plan has one copy of it
+    folded = distinct.select(_bound(table, lambda t: F.transform("words", lambda w: encoded(w, t))).alias("ids"), "which", "shards", "at")
     answers = folded.mapInArrow(_answers, "shard long, at binary, sizes binary, ids binary")
     final = T.StructType().add("doc_id", kind).add("n_tokens", "long").add("ids_sha256", "string").add("ids", T.ArrayType(T.IntegerType()))
 
@@ -281,12 +287,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         ids = held.column("ids").combine_chunks()
         own = ids.chunk(0).flatten() if isinstance(ids, pa.ChunkedArray) else ids.flatten()
         words, long = _unpacked(held.column("numbers")[0].as_py()), held.column("long")[0].as_py()
-        at, size, values = (np.frombuffer(b"".join(given.column(c).to_pylist()), "<u4") for c in ("at", "sizes", "ids"))
+        none = [np.zeros(0, np.int64)]
+        at = np.concatenate(none + [np.cumsum(x) for x in _all(given.column("at"))])
+        size, values = (np.concatenate(none + _all(given.column(c))) for c in ("sizes", "ids"))
         if long:
             merged = [merge_long(x["word"], ranks) for x in long]
             at, size = np.append(at, [x["at"] for x in long]), np.append(size, [len(x) for x in merged])
             values = np.append(values, np.concatenate(merged))
-        at, size = at.astype(np.int64), size.astype(np.int64)
         starts, sizes = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         starts[at], sizes[at] = np.cumsum(size) - size, size
         n = sizes[words]
