@@ -40,7 +40,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, bound_batches, discard, materialise, mix, releasing
@@ -261,23 +261,27 @@ def _reaching(rows: DataFrame, s: Settings) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, s: Settings) -> DataFrame:
-    """_reaching's rows with a part, in the order of min-hashes: parts end at a number of members or of tokens."""
+    """_reaching's rows with a part, in the order of min-hashes. A row weighs its share of a part's members or of its
+    tokens, whichever is more; parts are cut from the running sum of weights, the same for any number of tasks."""
     ranges = max(1, -(-rows.count() // s.part))
     by = rows.withColumn("x", F.xxhash64("key")).repartitionByRange(ranges, "m0", "x").sortWithinPartitions("m0", "x")
+    names = ["component", "key", "m0", "n", "tokens", "prefix", "range", "before", "after"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() << 32
-        members = total = 0
+        at, total = TaskContext.get().partitionId(), 0.0
         for b in batches:
-            parts = []
-            for n in b.column("tokens").to_pylist():
-                if members and (members >= s.part or total + len(n) // 8 > s.part_tokens):
-                    part, members, total = part + 1, 0, 0
-                parts.append(part)
-                members, total = members + 1, total + len(n) // 8
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("component", "key", "m0", "n", "tokens", "prefix")], pa.array(parts, pa.int64())], names=["component", "key", "m0", "n", "tokens", "prefix", "part"])
+            weights = [max(1 / s.part, len(x) / 8 / s.part_tokens) for x in b.column("tokens").to_pylist()]
+            sums = np.concatenate([[total], total + np.cumsum(weights)])
+            total = float(sums[-1])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names[:6]], pa.array([at] * len(weights), pa.int64()), pa.array(sums[:-1]), pa.array(sums[1:])], names=names)
 
-    return by.drop("x").mapInArrow(run, "component long, key long, m0 long, n long, tokens binary, prefix array<long>, part long")
+    kinds = "component long, key long, m0 long, n long, tokens binary, prefix array<long>, range long, before double, after double"
+    placed = materialise(by.drop("x").mapInArrow(run, kinds), "placed-parts")
+    # one row for each range
+    sums = placed.groupBy("range").agg(F.max("after").alias("sum")).withColumn("all", F.sum("sum").over(Window.orderBy("range")))
+    first = materialise(sums.select(F.col("range").alias("_r"), (F.col("all") - F.col("sum")).alias("first")), "ranges")
+    out = placed.join(first.hint("merge"), F.col("range") == F.col("_r"))
+    return out.withColumn("part", F.floor(F.col("first") + F.col("before"))).drop("range", "before", "after", "_r", "first")
 
 
 class _Postings:
@@ -517,6 +521,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts = materialise(_link_counts(few, classes, found, s), "counts")
     # rows that can't have a partner don't take part: many may have the same, empty set
     total = classes.join(counts.hint("merge"), _CLASS, "left").select(*_CLASS, F.col("best.id").alias("component_id"), (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    total = materialise(total, "totals")
     linked_rows = base.where("open").join(total.hint("merge"), _CLASS).select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "n_links")
     alone = base.where("not open").select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return linked_rows.unionByName(alone)
