@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from vecspan.llm import licenses
@@ -76,3 +78,34 @@ def test_sentences_are_counted_as_before(spark):
     got = licences(spark, [MPL, APACHE, "-\nReleased under the MIT License.\n-\n*", "license", "Under the MPL, v. 2.0.", "Unreleased under the MIT License.", "Released under the MIT Licenses."])
     assert [x.n_sentences for x in got] == [5, 7, 4, 1, 2, 1, 1]
     assert got[0].sentence_ids == "MPL2,~" and got[2].sentence_ids == "~,MITname,~" and [x.sentence_ids for x in got[3:]] == [""] * 4
+
+
+def test_notices_in_a_row(spark):
+    """A notice twice is that notice, and doesn't leave a part for a general rule."""
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.\nEither version 3 of the License, or (at your option) any later version.\n"
+    got = licences(spark, [gpl * 2, gpl * 3, GPL + "\n" + GPL, gpl + gpl.split("\n")[0]])
+    assert [x.licenses for x in got] == ["GPL-3.0-or-later"] * 3 + ["GPL-3.0-or-later,GPL-unversioned"]
+    assert got[0].sentence_ids == "GPLany,orLater,GPLany,orLater"
+
+
+def test_other_licences(spark):
+    lesser = GPL.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1")
+    affero = GPL.replace("GNU General", "GNU Affero General")
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    three = BSD + "\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission."
+    free = "This is free and unencumbered software released into the public domain."
+    eclipse = "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/"
+    tags = ["// SPDX-License-Identifier: MPL-2.0", "SPDX-License-Identifier: (MIT)", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 3.0", "Licensed under the GNU Lesser General Public License v3."]
+    got = licences(spark, [lesser, affero, isc, three, free, eclipse, *tags, "SPDX-License-Identifier: NOPE-1.0"])
+    assert [x.licenses for x in got] == ["LGPL-2.1-or-later", "AGPL-3.0-or-later", "ISC", "BSD-3-Clause", "Unlicense", "EPL-2.0", "MPL-2.0", "MIT", "CC-BY-SA-4.0", "CC-BY-SA-3.0", "LGPL-3.0-only", ""]
+
+
+def test_tables():
+    """Every identifier of a rule is known, no words stand for two, and every known sentence has a word that starts the search."""
+    names = {n for n, _ in licenses.SENTENCES} | {n for n, _ in licenses.statements().values()}
+    assert {x for s, _ in licenses.SEQUENCES for x in s} | set(licenses.singles()) <= names
+    words = [w for _, w in licenses.SENTENCES] + list(licenses.statements())
+    assert len(words) == len(set(words)) > 200
+    starts = re.compile(licenses._TRIGGER)
+    later = {"orLater", "orLater2", "orLater21"}
+    assert all(starts.search(w) for n, w in licenses.SENTENCES if n not in later) and all(map(starts.search, licenses.statements()))
