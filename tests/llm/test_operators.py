@@ -372,25 +372,53 @@ def test_windows_cover_everything():
 
 
 def test_quality(spark, corner, none, small):
+    """Trained on some labels, held against the others."""
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
-    model = quality.train(small, labels)
-    truth = {x.doc_id: x.quality for x in labels.collect()}
+    known = F.col("doc_id") % 3 > 0
+    model = quality.train(small, labels.where(known))
+    truth = {x.doc_id: x.quality for x in labels.where(~known).collect()}
     got = [x for x in quality.quality(small, model).collect() if x.doc_id in truth]
-    assert sum((x.score >= 0.5) == truth[x.doc_id] for x in got) >= 0.9 * len(got)
-    assert quality.quality(none, model).count() == 0 and quality.train(small, labels.limit(0)) == 1.0
+    assert len(got) > 20 and sum((x.score >= 0.5) == truth[x.doc_id] for x in got) >= 0.9 * len(got)
+    again = quality.train(small.repartition(7), labels.where(known))
+    assert [x.score for x in quality.quality(small, again).orderBy("doc_id").collect()] == pytest.approx([x.score for x in quality.quality(small, model).orderBy("doc_id").collect()], abs=1e-4)
+    assert quality.quality(none, model).count() == 0 and quality.train(small, labels.limit(0)) == 1.0 and quality.train(none, labels) == 1.0
     scored = quality.quality(corner, model).collect()
     assert len(scored) == len(corner_rows()) and all(0 <= x.score <= 1 for x in scored)
-    kept = quality.keep_good(corner.withColumn("score", F.lit(1)).withColumn("_row", F.lit(2)), model)
-    assert kept.columns == [*corner.columns, "score", "_row"] and 0 < kept.count() <= len(corner_rows())
+    kept = quality.keep_good(corner.withColumn("_quality", F.lit(1)).withColumn("_row", F.lit(2)), model)
+    assert kept.columns == [*corner.columns, "_quality", "_row"] and 0 < kept.count() <= len(corner_rows()) and {(x._quality, x._row) for x in kept.collect()} == {(1, 2)}
     assert quality.quality(small.select("doc_id", "text"), model).count() == small.count()
+    # scores are those of a plain pass over the views
+    row = small.orderBy("doc_id").first()
+    c, m = quality.content(row.text), quality.metadata(row.lang, row.source, row.n_chars, row.text.count("\n") + 1, model.sources)
+    assert quality.quality(small.where(f"doc_id = {row.doc_id}"), model).first().score == pytest.approx(model.scores(c[None], m[None])[2][0])
 
 
 def test_co_training_uses_the_pool():
+    """Few labels and many documents: each view is better with what the other names than on the labels alone."""
     r = np.random.default_rng(1)
-    y = r.integers(0, 2, 2000)
-    a, b = y[:, None] + 0.5 * r.standard_normal((2000, 3)), y[:, None] + 0.5 * r.standard_normal((2000, 2))
-    model = quality.co_train((a[:40], b[:40]), y[:40], (a[40:1500], b[40:1500]))
-    assert ((model.scores(a[1500:], b[1500:])[2] >= 0.5) == y[1500:]).mean() > 0.95
+    y = r.integers(0, 2, 6000)
+    views = [y[:, None] + 1.1 * r.standard_normal((6000, n)) for n in (12, 9)]
+    lots = [tuple(x[k : k + 500] for x in views) for k in range(0, 4000, 500)]
+    few = tuple(x[:24] for x in views), y[:24]
+    together = quality.co_train(*few, lambda f, *x: sum(f(v, *x) for v in lots))
+    alone = quality.co_train(*few, lambda f, *x: f(tuple(v[:0] for v in views), *x))
+
+    def ranked(m) -> float:
+        sides = [v.logit(x[4000:]) for v, x in zip((m.content, m.metadata), views, strict=True)]
+        return sum(float((z[y[4000:] == 1][:, None] > z[y[4000:] == 0]).mean()) for z in sides)
+
+    assert ranked(together) > ranked(alone) + 0.005
+
+
+def test_exchanged_sums_add_up():
+    r = np.random.default_rng(2)
+    views = (r.standard_normal((50, 4)), r.standard_normal((50, 3)))
+    y = (views[0][:, 0] + views[1][:, 0] > 0).astype(float)
+    models = [quality.Logistic().fit(x, y) for x in views]
+    cuts = [(-0.5, 0.5), (-1.0, 0.2)]
+    parts = [tuple(x[k : k + 7] for x in views) for k in range(0, 50, 7)]
+    assert sum(quality.exchanged_sums(p, models, cuts) for p in parts) == pytest.approx(quality.exchanged_sums(views, models, cuts))
+    assert sum(quality.logit_counts(p, models) for p in parts).tolist() == quality.logit_counts(views, models).tolist()
 
 
 def test_pipeline(spark, tmp_path):
