@@ -5,10 +5,12 @@
 2. A bucket meets the words of all shards (of a slice of them, where there are very many), so that a word is folded once
    for the corpus and not once for each shard.
 3. Spark folds the merges: a word is an array of pieces, one for each byte; each step looks up the ranks of all adjacent
-   pairs and joins the leftmost pair of the lowest rank, until no pair has a rank. The ranks are a literal map: an array
-   of small maps chosen by a checksum, as Spark searches a map from end to end. (To keep the ranks in the state and renew
-   those beside a merge was tried: arrays are cut and joined so slowly that a word took twice as long.)
-4. The words' ids return to their shards, where the ids of a text are gathered by its words' numbers.
+   pairs and joins the leftmost pair of the lowest rank, until no pair has a rank. The ranks are a literal map. Spark
+   searches its own maps from end to end, so the map is two literal arrays, of 64-bit hashes and of ranks, in which a
+   piece has one of two places. (To keep the ranks in the state and renew those beside a merge was tried: arrays are cut
+   and joined so slowly that a word took twice as long.)
+4. The words' ids return to their shards, where the ids of a text are gathered by its words' numbers. The shards are a
+   table bucketed by their number, so the texts stay where they are.
 
 Decoding is Spark's too: the pieces of the ids, from a literal array, are concatenated.
 
@@ -25,21 +27,23 @@ import base64
 import hashlib
 import heapq
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, materialise, release, releasing
+from .common import bound_batches, release, releasing, shared_dir
 
-BUCKETS = 8192
+PLACES = 1 << 17
 LONG = 1024
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 8 << 20
 GROUP_BYTES = 2 << 20
 CHUNK = 4096
 
@@ -49,17 +53,30 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _bucket(text: str) -> int:
-    return zlib.crc32(text.encode()) % BUCKETS
+def _hash(piece: bytes) -> int:
+    """Spark's xxhash64 of a piece, written with one Latin-1 letter for each byte."""
+    return xxhash.xxh64_intdigest(piece.decode("latin-1").encode(), seed=42)
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal: an array of maps from byte strings (one Latin-1 letter for each byte) to ranks."""
-    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        text = piece.decode("latin-1")
-        maps[_bucket(text)][text] = rank
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+    """The ranks as a literal: ``keys`` has the hash of each piece in one of its two places, ``ranks`` its rank there."""
+    rank_of = {_hash(piece): rank for piece, rank in ranks.items()}
+    if len(rank_of) < len(ranks) or 5 * len(ranks) > 2 * PLACES:
+        raise ValueError("the vocabulary doesn't fit the map")
+    place: dict[int, int] = {}
+    for h in rank_of:
+        at = h % PLACES
+        for _ in range(10_000):
+            # whoever stood here moves to its other place
+            place[at], h = h, place.get(at)
+            if h is None:
+                break
+            at = (h >> 32) % PLACES if at == h % PLACES else h % PLACES
+        else:
+            raise ValueError("the vocabulary doesn't fit the map")
+    keys = [place[k] - (place[k] >> 63 << 64) if k in place else 0 for k in range(PLACES)]
+    found = [rank_of[place[k]] if k in place else None for k in range(PLACES)]
+    return F.struct(F.from_json(F.lit(json.dumps(keys)), "array<long>").alias("keys"), F.from_json(F.lit(json.dumps(found)), "array<int>").alias("ranks"))
 
 
 def piece_array(ranks: dict[bytes, int]) -> Column:
@@ -78,8 +95,12 @@ def _bound(value: Column, use) -> Column:
 def encoded(word: Column, ranks: Column) -> Column:
     """The ids of a word (binary), by folding merges."""
 
-    def rank(x: Column) -> Column:
-        return F.try_element_at(F.get(ranks, (F.crc32(x.cast("binary")) % BUCKETS).cast("int")), x)
+    def rank(x: Column) -> Column:  # null for null
+        def at(h: Column) -> Column:
+            one, two = (k.bitwiseAND(F.lit(PLACES - 1)).cast("int") for k in (h, F.shiftrightunsigned(h, 32)))
+            return F.when(F.get(ranks["keys"], one) == h, F.get(ranks["ranks"], one)).when(F.get(ranks["keys"], two) == h, F.get(ranks["ranks"], two))
+
+        return _bound(F.when(x.isNotNull(), F.xxhash64(x)), at)
 
     def step(state: Column, _: Column) -> Column:
         pieces = state["pieces"]
@@ -157,6 +178,24 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").reshape(-1).astype(np.int64)
 
 
+def _with_firsts(flat: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of words in the order of their first places → the same with 0 in first places and other numbers by falling
+    frequency from 1, and each word's frequency rank: what is met first needs no number."""
+    order = np.argsort(-np.bincount(flat, minlength=n), kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    coded = rank[flat] + 1
+    coded[np.unique(flat, return_index=True)[1]] = 0
+    return coded, rank
+
+
+def _from_firsts(coded: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Frequency ranks of the words of a text."""
+    out = coded - 1
+    out[coded == 0] = rank
+    return out
+
+
 def _all(packed: pa.ChunkedArray) -> list[np.ndarray]:
     return [_unpacked(x) for x in packed.to_pylist()]
 
@@ -164,17 +203,14 @@ def _all(packed: pa.ChunkedArray) -> list[np.ndarray]:
 def _split(pattern: str, buckets: int):
     """doc_id, text → of each shard a row with its texts, as numbers of its words, and for each bucket one with the
     bucket's words and their numbers."""
-    names = ["shard", "ids", "sizes", "numbers", "long", "bucket", "words", "lengths", "at"]
+    names = ["shard", "ids", "sizes", "numbers", "ranks", "long", "bucket", "words", "lengths", "at"]
 
     def shard_of(ids: list[pa.Array], found: list[np.ndarray], numbers: _Numbers, shard: int) -> Iterator[pa.RecordBatch]:
         own = pa.concat_arrays(ids)
-        # common words get small numbers, which take little room
-        flat = np.concatenate(found)
-        order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        words = list(numbers)
-        words = [words[k].encode("utf-8", "surrogatepass") for k in order]
+        coded, rank = _with_firsts(np.concatenate(found), len(numbers))
+        words = [b""] * len(rank)
+        for w, k in zip(numbers, rank.tolist(), strict=True):
+            words[k] = w.encode("utf-8", "surrogatepass")
         long = [{"at": k, "word": w} for k, w in enumerate(words) if len(w) > LONG]
         where = np.array([zlib.crc32(w) % buckets if len(w) <= LONG else buckets for w in words], np.int64)
         by = np.argsort(where, kind="stable")
@@ -191,7 +227,7 @@ def _split(pattern: str, buckets: int):
         head = lambda x, kind: pa.array([x, *[None] * (n - 1)], kind)
         lists = pa.ListArray.from_arrays(pa.array([0] + [len(own)] * n, pa.int32()), own)
         sizes, marked = head([len(x) for x in found], pa.list_(pa.int64())), head(long, pa.list_(pa.struct([("at", pa.int64()), ("word", pa.binary())])))
-        columns = [pa.array([shard] * n, pa.int64()), lists, sizes, head(_packed(place[flat]), pa.binary()), marked, pa.array([None, *full], pa.int32())]
+        columns = [pa.array([shard] * n, pa.int64()), lists, sizes, head(_packed(coded), pa.binary()), head(_packed(rank), pa.binary()), marked, pa.array([None, *full], pa.int32())]
         yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x, pa.binary()) for x in held]], names=names)
 
     @releasing
@@ -262,6 +298,14 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *[pa.array(x, pa.binary()) for x in out[1:]]], names=["shard", "at", "sizes", "ids"])
 
 
+def _bucketed(df: DataFrame, by: str) -> DataFrame:
+    """df written to the shared folder as a table bucketed by a column, which later needs no shuffle by it."""
+    spark, name = df.sparkSession, f"vecspan_{uuid.uuid4().hex}"
+    out = df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("compression", "none")
+    out.option("path", f"{shared_dir(spark)}/vecspan/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; with keep_ids also ``ids``, an array of integers."""
     ranks = read_ranks(ranks_path)
@@ -270,9 +314,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = rows.schema["doc_id"].dataType
-    schema = T.StructType().add("shard", "long").add("ids", T.ArrayType(kind)).add("sizes", T.ArrayType(T.LongType())).add("numbers", "binary")
+    schema = T.StructType().add("shard", "long").add("ids", T.ArrayType(kind)).add("sizes", T.ArrayType(T.LongType())).add("numbers", "binary").add("ranks", "binary")
     schema = schema.add("long", T.ArrayType(T.StructType().add("at", "long").add("word", "binary"))).add("bucket", "integer").add("words", "binary").add("lengths", "binary").add("at", "binary")
-    cut = materialise(rows.mapInArrow(_split(pattern, buckets), schema), "words")
+    cut = _bucketed(rows.mapInArrow(_split(pattern, buckets), schema), "shard")
     asked = cut.where(F.col("bucket").isNotNull())
     slices = max(1, -(-(asked.agg(F.sum(F.octet_length("words").cast("long"))).first()[0] or 0) // (buckets * GROUP_BYTES)))
     dealt = asked.select("bucket", F.pmod(F.xxhash64("shard"), F.lit(slices)).alias("slice"), "shard", "words", "lengths", "at")
@@ -286,7 +330,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def gather(held: pa.Table, given: pa.Table) -> pa.Table:
         ids = held.column("ids").combine_chunks()
         own = ids.chunk(0).flatten() if isinstance(ids, pa.ChunkedArray) else ids.flatten()
-        words, long = _unpacked(held.column("numbers")[0].as_py()), held.column("long")[0].as_py()
+        words, long = _from_firsts(*(_unpacked(held.column(c)[0].as_py()) for c in ("numbers", "ranks"))), held.column("long")[0].as_py()
         none = [np.zeros(0, np.int64)]
         at = np.concatenate(none + [np.cumsum(x) for x in _all(given.column("at"))])
         size, values = (np.concatenate(none + _all(given.column(c))) for c in ("sizes", "ids"))
@@ -305,7 +349,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         release()
         return pa.table({"doc_id": own, "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "ids": lists})
 
-    texts = cut.where(F.col("bucket").isNull()).select("shard", "ids", "sizes", "numbers", "long")
+    texts = cut.where(F.col("bucket").isNull()).select("shard", "ids", "sizes", "numbers", "ranks", "long")
     out = texts.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(gather, final)
     out = out.select("doc_id", "n_tokens", "ids_sha256", F.sha2(_decoded(F.col("ids"), piece_array(ranks)), 256).alias("decoded_sha256"), "ids")
     return out if keep_ids else out.drop("ids")
