@@ -224,6 +224,65 @@ def test_media(spark, corner, none):
     assert media.text_media(none).count() == 0
     bad = spark.createDataFrame([(1, bytearray(b"junk")), (2, None), (3, bytearray(media.mux(bytes(64))[:-70]))], "doc_id long, media binary")
     assert [x.codec for x in media.probe_media(bad).orderBy("doc_id").collect()] == [None, None, None]
+    again = media.probe_media(media.to_media(spark.createDataFrame([(1, bytearray(b"x"), "y", 7)], "doc_id long, payload binary, codec string, n_bytes int"), "payload"))
+    assert again.first().codec == "raw " and again.first().n_bytes == 1 and again.columns.count("codec") == 1
+
+
+def box(kind: bytes, body: bytes) -> bytes:
+    return (len(body) + 8).to_bytes(4, "big") + kind + body
+
+
+def words4(*x: int) -> bytes:
+    return b"".join(k.to_bytes(4, "big") for k in x)
+
+
+def movie(*tracks: tuple) -> bytes:
+    """A file written here, byte by byte: of each track handler, codec, sizes, samples of each chunk, offsets and sync
+    samples (None: no such box)."""
+    out = b""
+    for handler, codec, sizes, per, offsets, sync in tracks:
+        runs = b"".join(words4(k + 1, n, 1) for k, n in enumerate(per))
+        table = box(b"stsd", words4(0, 1) + box(codec, bytes(8))) + box(b"stsz", words4(0, 0, len(sizes), *sizes)) + box(b"stsc", words4(0, len(per)) + runs) + box(b"stco", words4(0, len(offsets), *offsets))
+        table += box(b"stss", words4(0, len(sync), *sync)) if sync is not None else b""
+        out += box(b"trak", box(b"mdia", box(b"mdhd", words4(0, 0, 0, 600, 1200, 0)) + box(b"hdlr", words4(0, 0) + handler + bytes(12)) + box(b"minf", box(b"stbl", table))))
+    return box(b"moov", out)
+
+
+def test_media_of_several_tracks():
+    sound, picture = (b"soun", b"mp4a", [3, 4, 5], [2, 1], [2000, 2100], None), (b"vide", b"avc1", [10, 20, 30, 40], [1, 3], [2200, 2300], [1, 3])
+    for tracks in ((sound, picture), (picture, sound)):
+        data = movie(*tracks) + box(b"mdat", bytes(range(256)) * 10)
+        p = media.probe(data)
+        assert (p["codec"], p["timescale"], p["duration"]) == ("avc1", 600, 1200)
+        assert p["samples"].tolist() == [[2200, 10], [2300, 20], [2320, 30], [2350, 40]] and p["keyframes"].tolist() == [[2200, 10], [2320, 30]]
+        assert media.demux(data, p["samples"]) == data[2200:2210] + data[2300:2390]
+    p = media.probe(movie(sound) + box(b"mdat", bytes(3000)))
+    assert p["codec"] == "mp4a" and p["keyframes"].tolist() == p["samples"].tolist() == [[2000, 3], [2003, 4], [2100, 5]]
+
+
+def test_media_that_lie():
+    """Counts, sizes and nesting beyond the file are errors before anything is allocated; random damage is never more."""
+    whole = media.mux(bytes(640))
+    at = whole.index(b"stsz")
+    nested = box(b"moov", b"")
+    for _ in range(3000):
+        nested = box(b"moov", nested)
+    bad = [whole[: at + 12] + b"\xff\xff\xff\xff" + whole[at + 16 :], nested, whole[: at + 8] + words4(0, (1 << 32) - 1) + whole[at + 16 :]]
+    for kind in (b"stco", b"stss", b"stsc", b"stsz"):
+        k = whole.index(kind) + 8 + 4 * (kind == b"stsz")
+        bad.append(whole[:k] + b"\x7f\xff\xff\xff" + whole[k + 4 :])
+    for data in bad:
+        with pytest.raises((ValueError, KeyError)):
+            media.demux(data, media.probe(data)["samples"])
+    r = random.Random(12)
+    for _ in range(500):
+        data = bytearray(whole)
+        for _ in range(r.randrange(1, 6)):
+            data[r.randrange(len(data) - 640)] = r.randrange(256)
+        try:
+            media.demux(bytes(data), media.probe(bytes(data))["samples"])
+        except (ValueError, KeyError, IndexError, media.struct.error):
+            pass
 
 
 def test_packing(spark, corner, none):

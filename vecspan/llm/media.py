@@ -1,12 +1,14 @@
 """Media columns: payloads stored in ISO media containers, and a reader that walks the boxes.
 
 ``to_media`` stores bytes losslessly as a track of fixed-size access units: file type, movie header, one track with its
-sample tables, and the media data. ``probe_media`` walks the nested boxes of such a file (or of any other with one
-usable track), decodes the sample tables and returns codec, duration and the byte ranges of the keyframes. Payloads
-are only sliced, never decoded.
-
-Cases: a null payload counts as empty; an empty one is stored as one unit of zeros; bytes that aren't a container give
-null features and no payload.
+sample tables, and the media data. ``probe_media`` walks the nested boxes of such a file or of any other, decodes the
+sample tables of its first video track, or else of its first whole track, and returns codec, duration and the byte
+ranges of the keyframes. Payloads are only sliced, never decoded. What a file says of itself is held against its length
+before anything is allocated, and memory follows the length of the file.
+
+Cases: a null payload counts as empty; an empty one is stored as one unit of zeros; bytes that aren't a container, or
+whose tables or nesting go beyond them, give null features and no payload; columns of the names that an operator adds are
+replaced.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +30,7 @@ UNIT = 64
 TIMESCALE = 8000
 UNITS_A_CHUNK = 64
 UNITS_A_KEYFRAME = 16
+MOST_NESTED = 16
 _CONTAINERS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf")
 _MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
@@ -89,10 +93,13 @@ def mux(payload: bytes) -> bytes:
     return b"".join((head, moov, lead, payload))
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
+def walk(data: bytes) -> Iterator[tuple[tuple, int, int]]:
     """(path, first byte of the body, its end) of every box, containers before what they hold."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+    stack = [((), 0, len(data))]
+    while stack:
+        path, start, end = stack.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1 and body + 8 <= end:
@@ -102,61 +109,86 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple = ())
         if size < body - start or start + size > end:
             raise ValueError("a box ends outside its container")
         yield (*path, kind), body, start + size
+        stack.append((path, start + size, end))
         if kind in _CONTAINERS:
-            yield from walk(data, body, start + size, (*path, kind))
-        start += size
+            if len(path) >= MOST_NESTED:
+                raise ValueError("boxes are nested too deeply")
+            stack.append(((*path, kind), body, start + size))
 
 
-def probe(data: bytes) -> dict:
-    """codec, timescale, duration, samples as (offset, size), and the sync ones among them; of the first track."""
-    boxes: dict[bytes, tuple[int, int]] = {}
+_NEEDED = {b"mdhd", b"stsd", b"stsz", b"stsc"}
+
+
+def _track(data: bytes) -> dict[bytes, tuple[int, int]]:
+    """The boxes of the first video track, or else of the first track that has all that is needed."""
+    tracks: list[dict[bytes, tuple[int, int]]] = []
     for path, s, e in walk(data):
-        if path[:2] == (b"moov", b"trak") or len(path) == 1:
-            boxes.setdefault(path[-1], (s, e))
+        if path == (b"moov", b"trak"):
+            tracks.append({})
+        elif path[:2] == (b"moov", b"trak"):
+            tracks[-1].setdefault(path[-1], (s, e))
+    whole = [t for t in tracks if t.keys() >= _NEEDED and (b"stco" in t or b"co64" in t)]
+    video = [t for t in whole if b"hdlr" in t and data[t[b"hdlr"][0] + 8 : t[b"hdlr"][0] + 12] == b"vide"]
+    if not whole:
+        raise ValueError("no track has all its tables")
+    return (video or whole)[0]
 
-    def ints(kind: bytes, skip: int, form: str) -> list[int]:
-        s, _ = boxes[kind]
-        n = struct.unpack_from(">I", data, s + 4 + skip)[0]
-        return list(struct.unpack_from(f">{n * len(form)}{form[0]}", data, s + 8 + skip))
 
-    s, _ = boxes[b"mdhd"]
+def probe(data: bytes) -> dict:
+    """codec, timescale, duration, samples as rows of offset and size, and the sync ones among them."""
+    boxes = _track(data)
+
+    def numbers(kind: bytes, columns: int = 1, form: str = ">u4", skip: int = 0) -> np.ndarray:
+        """A table of a box: its number of rows, and then they."""
+        s, e = boxes[kind]
+        n, width = struct.unpack_from(">I", data, s + 4 + skip)[0], np.dtype(form).itemsize * columns
+        if s + 8 + skip + n * width > e:
+            raise ValueError("a table ends outside its box")
+        return np.frombuffer(data, form, n * columns, s + 8 + skip).astype(np.int64).reshape(n, columns)
+
+    s, e = boxes[b"mdhd"]
     timescale, duration = struct.unpack_from(">IQ", data, s + 20) if data[s] == 1 else struct.unpack_from(">II", data, s + 12)
+    if not timescale:
+        raise ValueError("no time scale")
     codec = data[boxes[b"stsd"][0] + 12 : boxes[b"stsd"][0] + 16].decode("latin-1")
     s, _ = boxes[b"stsz"]
     fixed, count = struct.unpack_from(">II", data, s + 4)
-    sizes = [fixed] * count if fixed else list(struct.unpack_from(f">{count}I", data, s + 12))
-    chunks = ints(b"co64", 0, "Q") if b"co64" in boxes else ints(b"stco", 0, "I")
-    runs = ints(b"stsc", 0, "III")
-    runs = [runs[k : k + 3] for k in range(0, len(runs), 3)]
-    samples, at = [], 0
-    for k, offset in enumerate(chunks, 1):
-        while len(runs) > 1 and runs[1][0] <= k:
-            runs.pop(0)
-        for _ in range(runs[0][1] if runs else 0):
-            if at < count:
-                samples.append((offset, sizes[at]))
-                offset += sizes[at]
-                at += 1
-    if samples and max(a + n for a, n in samples) > len(data):
+    if fixed and fixed * count > len(data):
+        raise ValueError("samples are longer than the file")
+    sizes = np.full(count, fixed, np.int64) if fixed else numbers(b"stsz", skip=4)[:, 0]
+    chunks = numbers(b"co64", form=">i8")[:, 0] if b"co64" in boxes else numbers(b"stco")[:, 0]
+    runs = numbers(b"stsc", 3)
+    samples = np.zeros((0, 2), np.int64)
+    if len(chunks) and len(runs):
+        # samples of each chunk: those of the last run that begins at or before it
+        run = np.maximum(np.searchsorted(runs[:, 0], np.arange(1, len(chunks) + 1), side="right") - 1, 0)
+        ends = np.minimum(np.cumsum(np.minimum(runs[run, 1], count)), count)
+        per = np.diff(ends, prepend=0)
+        sizes = sizes[: ends[-1]]
+        before = np.cumsum(sizes) - sizes
+        first = np.minimum(ends - per, max(len(sizes) - 1, 0))
+        samples = np.column_stack([np.repeat(chunks - (before[first] if len(sizes) else 0), per) + before, sizes])
+    if len(samples) and (samples.min() < 0 or samples.sum(axis=1).max() > len(data)):
         raise ValueError("samples lie outside the file")
-    sync = ints(b"stss", 0, "I") if b"stss" in boxes else range(1, count + 1)
-    return {"codec": codec, "timescale": timescale, "duration": duration, "samples": samples, "keyframes": [samples[k - 1] for k in sync if 0 < k <= len(samples)]}
+    sync = numbers(b"stss")[:, 0] if b"stss" in boxes else np.arange(1, len(samples) + 1)
+    return {"codec": codec, "timescale": timescale, "duration": duration, "samples": samples, "keyframes": samples[sync[(sync > 0) & (sync <= len(samples))] - 1]}
 
 
-def demux(data: bytes, samples: list[tuple[int, int]]) -> bytes:
+def demux(data: bytes, samples: np.ndarray) -> bytes:
     """The stored payload. Samples that follow one another are cut out in one slice."""
-    parts: list[list[int]] = []
-    for offset, size in samples:
-        if parts and parts[-1][1] == offset:
-            parts[-1][1] = offset + size
-        else:
-            parts.append([offset, offset + size])
-    return b"".join(data[a:b] for a, b in parts)
+    if not len(samples):
+        return b""
+    start, end = samples[:, 0], samples.sum(axis=1)
+    cuts = np.append(True, start[1:] != end[:-1])
+    # samples may overlap in a damaged file; all of them together are never longer than is allowed
+    if int(samples[:, 1].sum()) > len(data):
+        raise ValueError("samples are longer than the file")
+    return b"".join(data[a:b] for a, b in zip(start[cuts].tolist(), end[np.append(cuts[1:], True)].tolist(), strict=True))
 
 
 def to_media(rows: DataFrame, payload: str, out: str = "media") -> DataFrame:
     """rows with a binary column of containers in place of the binary column payload, and its length as n_bytes."""
-    rest = [c for c in rows.columns if c != payload]
+    rest = [c for c in rows.columns if c not in (payload, "n_bytes", out)]
     schema = rows.select(*rest).schema.add("n_bytes", "long").add(out, "binary")
     bound_batches(rows.sparkSession)
 
@@ -173,7 +205,8 @@ def to_media(rows: DataFrame, payload: str, out: str = "media") -> DataFrame:
 def probe_media(rows: DataFrame, media: str = "media") -> DataFrame:
     """rows without media but with what its containers say: codec, timescale, duration, n_samples, keyframes (arrays of
     offset and size), and the stored payload's and the container's sizes and digests."""
-    rest = [c for c in rows.columns if c != media]
+    made = ("codec", "timescale", "duration", "n_samples", "keyframes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+    rest = [c for c in rows.columns if c not in (media, *made)]
     schema = rows.select(*rest).schema
     frames_type = T.ArrayType(T.StructType().add("offset", "long").add("size", "long"))
     for name, kind in (("codec", "string"), ("timescale", "long"), ("duration", "long"), ("n_samples", "long")):
@@ -189,10 +222,10 @@ def probe_media(rows: DataFrame, media: str = "media") -> DataFrame:
         tail = (len(data), hashlib.sha256(data).hexdigest())
         try:
             p = probe(data)
+            payload = demux(data, p["samples"])
         except (ValueError, KeyError, IndexError, struct.error):
             return (None,) * 8 + tail
-        payload = demux(data, p["samples"])
-        frames = [{"offset": a, "size": b} for a, b in p["keyframes"]]
+        frames = [{"offset": a, "size": b} for a, b in p["keyframes"].tolist()]
         return (p["codec"], p["timescale"], p["duration"], len(p["samples"]), frames, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), *tail)
 
     @releasing
