@@ -504,8 +504,9 @@ def _connected(numbered: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame,
     parts = materialise(_dealt(reaching, s), "parts")
     far = _opened_links(_asked(parts, s), s)
     found = components(materialise(near.unionByName(far), "links"))
-    classes = _with_components(classes, found, "first")
+    classes = materialise(_with_components(classes, found, "first"), "classes")
     least = classes.groupBy("component").agg(F.min("best").alias("least")).select(F.col("component").alias("_c"), "least")
+    least = materialise(least, "least")
     classes = classes.drop("best").join(least.hint("merge"), F.col("component") == F.col("_c")).drop("_c").withColumnRenamed("least", "best")
     return base, materialise(classes, "placed-classes"), few, found
 
