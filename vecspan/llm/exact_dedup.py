@@ -88,7 +88,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = materialise(texts.withColumn("_r", first).where("_r = 1").select("doc_id", "sha", "copies", F.octet_length("t").alias("n_bytes"), F.col("t").cast("binary").alias("bytes")), "texts")
     named = identities(texts, ["doc_id", "sha", "copies"], block)
     groups = named.groupBy("n_bytes", "name").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    groups = groups.select(F.col("n_bytes").alias("_n"), F.col("name").alias("_m"), "keep_id", "group_size")
+    groups = materialise(groups.select(F.col("n_bytes").alias("_n"), F.col("name").alias("_m"), "keep_id", "group_size"), "groups")
     found = named.join(groups.hint("merge"), (F.col("n_bytes") == F.col("_n")) & (F.col("name") == F.col("_m")))
     found = found.select(F.col("doc_id").alias("_d"), F.col("sha").alias("_s"), "copies", "keep_id", "group_size")
     out = heads.select("doc_id", "sha").join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("sha") == F.col("_s")), "left")
