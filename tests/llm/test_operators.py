@@ -193,7 +193,8 @@ def test_exact_dedup(spark, corner, none):
 
 def test_exact_dedup_has_no_python(corner):
     plan = exact_dedup.exact_dedup(corner)._jdf.queryExecution().toString() + licenses.licence_scan(corner)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+    # a licence has the language's name
+    assert not any(x in plan.replace("Python-2.0", "").replace("python 2 0", "") for x in ("Python", "Arrow", "Pandas", "MapIn"))
 
 
 def test_licenses(spark, corner, none):
