@@ -46,6 +46,15 @@ def test_json_lines(spark, tmp_path):
     assert rows["1"].numeric and not rows["a"].numeric and rows["1"].vector == [1.0, 0.5]
     kinds = {k: v.asDict() for k, v in rows["1"].meta.items()}
     assert kinds["lang"]["s"] == "ja" and kinds["n"]["i"] == 3 and kinds["x"]["f"] == 2.5 and kinds["ok"]["b"] is True and kinds["t"]["s"] == "7" and kinds["t"]["i"] is None
+    odd = [r'{"id": 1, "vector": [1], "meta": {"id": "x", "a(b": "\"q\"", "big": 18446744073709551616, "e": 1e3, "n": -0.5, "k": "id\": 5", "none": null}}', r'{"meta": {"id": 7}, "vector": [2.5], "id": "1"}']
+    p.write_text("\n".join(odd))
+    rows = files.read_json_lines(spark, str(p)).collect()
+    assert [(r.key, r.numeric, r.vector) for r in rows] == [("1", True, [1.0]), ("1", False, [2.5])]
+    got = {k: next((x for x in (v.s, v.i, v.f, v.b) if x is not None), None) for k, v in rows[0].meta.items()}
+    assert got == {"id": "x", "a(b": '"q"', "big": 18446744073709551616.0, "e": 1000.0, "n": -0.5, "k": 'id": 5', "none": None} and rows[1].meta["id"].i == 7
+    p.write_text('{"vector": [1]}')
+    with pytest.raises(Exception, match="without an id"):
+        files.read_json_lines(spark, str(p)).collect()
     for bad in ("{", "[]", '{"id": 1}', '{"id": -1, "vector": []}', '{"id": 1, "vector": ["a"]}', '{"id": 1, "vector": [1], "meta": {"a": []}}'):
         with pytest.raises(errors.InvalidConfig):
             list(files.json_lines([bad]))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .errors import InvalidConfig
 from .functions import metrics, sq8
-from .operators import hnsw, quantised, search
+from .operators import hnsw, search
 from .operators.filters import Filter, MapSource, parse
 from .operators.live import live
 from .plans import planner
@@ -172,35 +172,37 @@ class Search:
         self._ef = ef
         return self
 
+    def plans(self) -> dict[int, planner.FilterPlan]:
+        """By segment with an index, how it is searched. A filter's share of a segment's rows decides for that segment."""
+        c = self.collection
+        ef = self._ef or c.store.options.hnsw.ef_search
+        out = {}
+        for s in c.store.segments(c.info):
+            if s.has_hnsw and self._filter is None:
+                out[s.seg_id] = planner.FilterPlan("index", 1.0, ef)
+            elif s.has_hnsw:
+                rows = c.store.segment_rows(c.info, [s])
+                share = planner.sample_segment(rows, self._filter.compile(MapSource()), s.record_count + s.tombstone_count).first()["selectivity"]
+                out[s.seg_id] = planner.choose(share, ef)
+        return out
+
     def frame(self) -> DataFrame:
-        """rank, id, score. Everything is compared exactly unless some segment has an index; then each of its shards gives
-        its nearest rows, and rows without an index are compared exactly beside them."""
+        """rank, id, score. A segment without an index, or whose filter lets few rows through, is compared exactly; of an
+        index each shard gives its nearest rows, by codes first where the segment has them."""
         c = self.collection
         q = metrics.prepared(self.query, c.dim, c.metric)
-        rows, segs = c.frame(), c.store.segments(c.info)
-        indexed = [s for s in segs if s.has_hnsw]
-        ef = self._ef or c.store.options.hnsw.ef_search
-        if not indexed:
-            return search.nearest(rows, q, self._k, c.metric, self._filter)
-        plan = None
-        if self._filter is not None:
-            share = planner.sample(rows, self._filter.compile(MapSource()), len(c)).first()["selectivity"]
-            plan = planner.choose(share, ef)
-            if plan.strategy == "exact":
-                return search.nearest(rows, q, self._k, c.metric, self._filter)
-            ef = plan.ef
-        return self._indexed(rows, segs, indexed, q, ef)
-
-    def _indexed(self, rows: DataFrame, segs: tuple[Segment, ...], indexed: list[Segment], q: list[float], ef: int) -> DataFrame:
+        plans = {k: p for k, p in self.plans().items() if p.strategy == "index"}
+        if not plans:
+            return search.nearest(c.frame(), q, self._k, c.metric, self._filter)
+        return self._indexed(c.frame(), [s for s in c.store.segments(c.info) if s.seg_id in plans], plans, q)
+
+    def _indexed(self, rows: DataFrame, indexed: list[Segment], plans: dict[int, planner.FilterPlan], q: list[float]) -> DataFrame:
         c, k = self.collection, self._k
+        segs = c.store.segments(c.info)
         wanted = rows if self._filter is None else rows.where(self._filter.where(MapSource()))
-        one = len(segs) == 1 and not c.store.logs and self._filter is None
-        if one and segs[0].coded:
-            s = segs[0]
-            return quantised.nearest(rows, q, k, c.metric, sq8.Range(s.low, s.high))
         # ids that stand where each index has them; with a filter also those that pass it
         placed = None
-        if not one:
+        if len(segs) > 1 or c.store.logs or self._filter is not None:
             marked = [c.store.segment_rows(c.info, [s]).select("id", "seq", F.lit(s.seg_id).alias("seg"), "op") for s in segs]
             marked.append(c.store.tail(c.info).select("id", "seq", F.lit(-1).alias("seg"), "op"))
             every = marked[0]
@@ -209,10 +211,11 @@ class Search:
             placed = live(every).select("id", "seg")
             if self._filter is not None:
                 placed = placed.join(wanted.select("id"), "id", "left_semi")
-        parts = [
-            hnsw.search_index(c.store.index(c.info, s), [(0, q)], k, ef, c.metric, None if placed is None else placed.where(F.col("seg") == s.seg_id).select("id")).select("id", "key")
-            for s in indexed
-        ]
+        parts = []
+        for s in indexed:
+            allowed = None if placed is None else placed.where(F.col("seg") == s.seg_id).select("id")
+            coded = sq8.Range(s.low, s.high) if s.coded else None
+            parts.append(hnsw.search_index(c.store.index(c.info, s), [(0, q)], k, plans[s.seg_id].ef, c.metric, allowed, coded, s.shards).select("id", "key"))
         if placed is not None:
             others = placed.where(~F.col("seg").isin([s.seg_id for s in indexed])).select("id")
             exact = wanted.join(others, "id", "left_semi").select("id", metrics.key(c.metric, F.col("vector"), metrics.literal(q)).alias("key"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +50,21 @@ def codes(v: list[float], r: Range) -> list[int]:
     return [max(0, min(255, math.floor(abs(t) + 0.5) * (1 if t >= 0 else -1))) for t in ((x - r.low) / r.scale for x in v)]
 
 
+def code_matrix(x: np.ndarray, r: Range) -> np.ndarray:
+    """Codes of a matrix of vectors."""
+    t = (x - r.low) / r.scale
+    return np.clip(np.copysign(np.floor(np.abs(t) + 0.5), t), 0, 255).astype(np.uint8)
+
+
+def keys_of_codes(codes: np.ndarray, q: np.ndarray, r: Range, metric: str) -> np.ndarray:
+    """Ranking keys of rows of codes against one row of codes, from sums of whole numbers."""
+    c, own = codes.astype(np.int64), q.astype(np.int64)
+    if check_metric(metric) == "l2":
+        d = c - own
+        return r.scale * r.scale * np.einsum("ij,ij->i", d, d)
+    return -(c.shape[1] * r.low * r.low + r.low * r.scale * (c.sum(axis=1) + own.sum()) + r.scale * r.scale * (c @ own))
+
+
 def _whole(v: Column) -> Column:
     return F.aggregate(v, F.lit(0).cast("long"), lambda s, x: s + x)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import Corrupted
-from ..functions import metrics
+from ..functions import metrics, sq8
 from ..types import HnswParams
 from .search import exact_keys, ranked
 
@@ -209,11 +209,13 @@ class Builder:
             g.entry = node
 
 
-INDEX = "shard int, n int, ids binary, vectors binary, dim int, graph binary"
+INDEX = "shard int, n int, ids binary, vectors binary, dim int, graph binary, codes binary"
+#: Walks by codes keep this many times k candidates for the exact keys.
+REFETCH = 4
 
 
-def build_index(df: DataFrame, metric: str, p: HnswParams = HnswParams(), shards: int = 1, id_col: str = "id", vector: str = "vector") -> DataFrame:  # noqa: B008
-    """One row for each shard: its sorted ids, vectors and graph. Shards are built side by side; rows are dealt by a hash
+def build_index(df: DataFrame, metric: str, p: HnswParams = HnswParams(), shards: int = 1, id_col: str = "id", vector: str = "vector", coded: sq8.Range | None = None) -> DataFrame:  # noqa: B008
+    """One row for each shard: its sorted ids, vectors, graph, and with coded the vectors' codes. Shards are built side by side; rows are dealt by a hash
     of their ids, so shards are of equal size. A shard's rows must fit a task: choose shards accordingly."""
     rows = df.select(F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int").alias("shard"), F.col(id_col).cast("long").alias("id"), metrics.doubles(F.col(vector)).alias("v"))
 
@@ -222,13 +224,14 @@ def build_index(df: DataFrame, metric: str, p: HnswParams = HnswParams(), shards
         order = np.argsort(ids.astype(np.uint64), kind="stable")
         x = np.stack(pdf["v"].to_numpy())[order].astype(np.float64)
         graph = Builder(x, metric, HnswParams(p.m, p.m0, p.ef_construction, p.ef_search, p.seed + int(key[0]), p.extend_candidates)).graph
-        return pd.DataFrame({"shard": [int(key[0])], "n": [len(ids)], "ids": [ids[order].tobytes()], "vectors": [x.astype("<f4").tobytes()], "dim": [x.shape[1]], "graph": [graph.to_bytes()]})
+        return pd.DataFrame({"shard": [int(key[0])], "n": [len(ids)], "ids": [ids[order].tobytes()], "vectors": [x.astype("<f4").tobytes()], "dim": [x.shape[1]], "graph": [graph.to_bytes()], "codes": [None if coded is None else sq8.code_matrix(x, coded).tobytes()]})
 
     return rows.groupBy("shard").applyInPandas(build, INDEX)
 
 
-def search_index(index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int, ef: int, metric: str, allowed: DataFrame | None = None) -> DataFrame:
-    """qid, id, key: every shard's k nearest of each query. allowed: ids that may be found (a filter's), joined to their
+def search_index(index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int, ef: int, metric: str, allowed: DataFrame | None = None, coded: sq8.Range | None = None, shards: int | None = None) -> DataFrame:
+    """qid, id, key: every shard's k nearest of each query. With coded, the range of the index's codes, the graph is
+    walked by codes and the best 4 k of it are compared exactly. shards: their number, else it is counted. allowed: ids that may be found (a filter's), joined to their
     shards' rows; without it all may."""
     if not queries:
         return index.sparkSession.createDataFrame([], "qid long, id long, key double")
@@ -244,21 +247,29 @@ def search_index(index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]
                 mask = None
                 if masked:
                     mask = np.isin(ids, np.array(list(r.allowed) if r.allowed is not None else [], np.int64))
+                codes = None if coded is None else np.frombuffer(r.codes, np.uint8).reshape(r.n, r.dim)
                 for qid, v in zip(qids, q, strict=True):
-                    found = np.array([node for _, node in search(graph, lambda rows: keys_to(x, v, rows, metric), k, ef, mask)], np.int64)  # noqa: B023
-                    yield pd.DataFrame({"qid": np.full(len(found), qid), "id": ids[found], "key": exact_keys(x[found], np.repeat(v[None], len(found), axis=0), metric)})
+                    if codes is None:
+                        found = search(graph, lambda rows: keys_to(x, v, rows, metric), k, ef, mask)  # noqa: B023
+                    else:
+                        own = sq8.code_matrix(v[None], coded)[0]
+                        found = search(graph, lambda rows: sq8.keys_of_codes(codes[rows], own, coded, metric), REFETCH * k, max(ef, REFETCH * k), mask)  # noqa: B023
+                    nodes = np.array([node for _, node in found], np.int64)
+                    keys = exact_keys(x[nodes], np.repeat(v[None], len(nodes), axis=0), metric)
+                    best = np.lexsort((ids[nodes].astype(np.uint64), keys))[:k]
+                    yield pd.DataFrame({"qid": np.full(len(best), qid), "id": ids[nodes[best]], "key": keys[best]})
 
     rows = index
     if masked:
-        shards = index.count()
+        shards = shards or index.count()
         own = allowed.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id")
         # a shard's allowed ids are at most its rows, which fit a task
         rows = index.join(own.groupBy("shard").agg(F.collect_list("id").alias("allowed")), "shard", "left")
     return rows.mapInPandas(run, "qid long, id long, key double")
 
 
-def nearest(index: DataFrame, query: Sequence[float], k: int, metric: str, ef: int = 64, allowed: DataFrame | None = None) -> DataFrame:
+def nearest(index: DataFrame, query: Sequence[float], k: int, metric: str, ef: int = 64, allowed: DataFrame | None = None, coded: sq8.Range | None = None) -> DataFrame:
     """rank, id, score of the k nearest rows over all shards."""
-    found = search_index(index, [(0, query)], k, ef, metric, allowed)
+    found = search_index(index, [(0, query)], k, ef, metric, allowed, coded)
     top = found.orderBy("key", *metrics.id_order("id")).limit(k)
     return ranked(top).select("rank", "id", metrics.score(metric, F.col("key")).alias("score"))

@@ -28,6 +28,21 @@ def overlaid(base: DataFrame, tail: DataFrame, tail_rows: int, most: int = 100_0
     return base.where("op = 'upsert'").join(ids, "id", "left_anti").unionByName(last.where("op = 'upsert'"))
 
 
+def stacked(sources: list[tuple[DataFrame, int]], most: int = 100_000) -> DataFrame:
+    """live over sources with unique ids, the newest first, each with its number of rows: of every source what no newer
+    one has. Only ids of newer sources meet a source's rows: up to ``most`` of them are sent to all tasks, so a large
+    old source under small new ones isn't shuffled; more are joined."""
+    out, ids, n = None, None, 0
+    for rows, size in sources:
+        own = rows.where("op = 'upsert'")
+        if ids is not None:
+            own = own.join(F.broadcast(ids) if n <= most else ids, "id", "left_anti")
+        out = own if out is None else out.unionByName(own)
+        ids = rows.select("id") if ids is None else ids.unionByName(rows.select("id"))
+        n += size
+    return out
+
+
 def deleted(ops: DataFrame) -> DataFrame:
     return newest(ops).where("op = 'delete'")
 

@@ -14,7 +14,7 @@ from ..functions import metrics
 from ..types import check_metric
 from .filters import Filter, MapSource, Source
 
-#: Numbers in one block of queries that is sent to all tasks.
+#: Numbers in one block of queries that is sent to all tasks, and in one matrix of a task's distances.
 BLOCK_NUMBERS = 4_000_000
 
 
@@ -90,22 +90,24 @@ def exact_keys(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
 def _block_nearest(base: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, metric: str, id_col: str, vector: str) -> DataFrame:
     squares = (matrix * matrix).sum(axis=1)
     schema = "qid long, id long, key double"
+    together = max(1, BLOCK_NUMBERS // max(len(matrix), matrix.shape[1]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b) or not k:
                 continue
-            own = b["id"].to_numpy(np.int64)
-            x = np.stack(b["v"].to_numpy()).astype(float)
-            near = -(x @ matrix.T)
-            if metric == "l2":
-                near = squares + (x * x).sum(axis=1)[:, None] + 2 * near
-            n = min(k, len(x))
-            edge = np.partition(near, n - 1, axis=0)[n - 1]
-            # products in another order may differ in the last digits: keep a margin
-            margin = 1e-9 * (1 + squares + (x * x).sum(axis=1).max())
-            r, c = np.nonzero(near <= edge + margin)
-            yield pd.DataFrame({"qid": ids[c], "id": own[r], "key": exact_keys(x[r], matrix[c], metric)})
+            for at in range(0, len(b), together):
+                own = b["id"].to_numpy(np.int64)[at : at + together]
+                x = np.stack(b["v"].to_numpy()[at : at + together]).astype(float)
+                near = -(x @ matrix.T)
+                if metric == "l2":
+                    near = squares + (x * x).sum(axis=1)[:, None] + 2 * near
+                n = min(k, len(x))
+                edge = np.partition(near, n - 1, axis=0)[n - 1]
+                # products in another order may differ in the last digits: keep a margin
+                margin = 1e-9 * (1 + squares + (x * x).sum(axis=1).max())
+                r, c = np.nonzero(near <= edge + margin)
+                yield pd.DataFrame({"qid": ids[c], "id": own[r], "key": exact_keys(x[r], matrix[c], metric)})
 
     rows = base.select(F.col(id_col).cast("long").alias("id"), metrics.doubles(F.col(vector)).alias("v"))
     return rows.mapInPandas(run, schema)

@@ -41,6 +41,16 @@ def sample(df: DataFrame, predicate: Column, n: int, id_col: str = "id") -> Data
     return placed.agg(F.coalesce(F.avg(F.col("_hit").cast("double")), F.lit(0.0)).alias("selectivity"))
 
 
+def sample_segment(rows: DataFrame, predicate: Column, n: int) -> DataFrame:
+    """One row, selectivity: the share of matching rows among every (n // 1000)th of each file of a segment of n rows.
+
+    A segment's files are sorted by id and hidden columns tell a row's place in its file, so nothing is sorted or
+    shuffled, and only what the predicate needs is read."""
+    stride = max(n // SAMPLE, 1)
+    picked = rows.where(F.col("_metadata.row_index") % stride == 0).select(F.col("op"), predicate.alias("_hit")).where("op = 'upsert'")
+    return picked.agg(F.coalesce(F.avg(F.col("_hit").cast("double")), F.lit(0.0)).alias("selectivity"))
+
+
 def strategy(selectivity: Column, ef: int) -> tuple[Column, Column]:
     """The strategy and the widened ef, as columns."""
     name = F.when(selectivity < EXACT_BELOW, F.lit("exact")).otherwise(F.lit("index"))

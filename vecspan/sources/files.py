@@ -49,25 +49,26 @@ def json_lines(lines: Iterable[str], batch: int = 1000) -> Iterator[list[Record]
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """key (string), numeric (whether the id is a number), vector, meta. Scalars keep their kinds: metadata is read as
-    text and told apart by its JSON spelling."""
-    text = spark.read.text(path).select(F.col("value"))
-    quoted = F.get_json_object("value", "$.id").isNotNull() & F.col("value").rlike(r'"id"\s*:\s*"')
-    fields = F.from_json(F.get_json_object("value", "$.meta"), "map<string,string>")
-    parsed = text.select(
-        F.get_json_object("value", "$.id").alias("key"), (~quoted).alias("numeric"), F.from_json(F.get_json_object("value", "$.vector"), "array<float>").alias("vector"), fields.alias("m"), "value"
-    )
-
-    def tagged(k, v):
-        # a text value stands in quotes behind its key
-        is_text = F.get(F.split(F.col("value"), F.concat(F.lit('"'), k, F.lit('"\\s*:\\s*'))), F.lit(1)).startswith('"')
-        whole = v.rlike(r"^-?\d+$")
+    """key (string), numeric (whether the id is a number), vector, meta. Lines become variants, in which every value keeps
+    its kind; whole numbers beyond 64 bits become floating ones. A blank line is passed over, a line that isn't JSON or
+    has no id fails the read."""
+    whole = spark.read.text(path).where(F.trim("value") != "").select(F.parse_json("value").alias("v"), "value")
+    kind = F.schema_of_variant(F.variant_get("v", "$.id", "variant"))
+    fields = F.from_json(F.get_json_object("value", "$.meta"), "map<string,variant>")
+
+    def tagged(_, v):
+        is_a = F.schema_of_variant(v)
+        number = v.cast("double")
         return F.struct(
-            F.when(is_text, v).alias("s"), F.when(~is_text & whole, v.try_cast("bigint")).alias("i"),
-            F.when(~is_text & (~whole | v.try_cast("bigint").isNull()), v.try_cast("double")).alias("f"), F.when(~is_text & v.isin("true", "false"), v.cast("boolean")).alias("b"),
+            F.when(is_a == "STRING", v.cast("string")).alias("s"), F.when(is_a == "BIGINT", v.cast("bigint")).alias("i"),
+            F.when((is_a == "DOUBLE") | is_a.startswith("DECIMAL"), number).alias("f"), F.when(is_a == "BOOLEAN", v.cast("boolean")).alias("b"),
         )
 
-    return parsed.where(F.trim("value") != "").select("key", "numeric", "vector", F.coalesce(F.transform_values("m", tagged), F.create_map().cast(META)).alias("meta"))
+    key = F.variant_get("v", "$.id", "string")
+    return whole.select(
+        F.when(key.isNull(), F.raise_error(F.lit("a line without an id"))).otherwise(key).alias("key"), (kind == "BIGINT").alias("numeric"), F.variant_get("v", "$.vector", "array<float>").alias("vector"),
+        F.coalesce(F.transform_values(fields, tagged), F.create_map().cast(META)).alias("meta"),
+    )
 
 
 def hits_json(hits: DataFrame) -> DataFrame:
