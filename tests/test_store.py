@@ -132,6 +132,7 @@ def test_recovery(spark, tmp_path):
     with Database(spark, base) as db:
         c = db.collection("c")
         assert len(c) == 3
+        assert last.with_suffix(".damaged").exists() and not last.exists()
         assert not list(base.rglob("*.tmp")) and not (base / "segments" / "1" / "9").exists()
         c.upsert(7, [7])
         db.flush()
@@ -144,6 +145,96 @@ def test_recovery(spark, tmp_path):
         Database(spark, base)
 
 
+def test_every_cut_of_the_log_keeps_what_came_before(spark, tmp_path):
+    base = tmp_path / "db"
+    with Database(spark, base) as db:
+        c = db.create_collection("c", 1, "l2")
+        for i in range(3):
+            c.upsert(i, [i])
+    last = sorted((base / "oplog").glob("*.parquet"))[-1]
+    whole = last.read_bytes()
+    for cut in (0, 1, len(whole) // 2, len(whole) - 1):
+        last.write_bytes(whole[:cut])
+        with Database(spark, base) as db:
+            assert sorted(r["id"] for r in db.collection("c").frame().collect()) == [0, 1]
+
+
+def test_opening_counts_rows_and_bytes(spark, tmp_path):
+    """Operations that are replayed count towards the next flush; a segment that lost rows is found on opening."""
+    base = tmp_path / "db"
+    with Database(spark, base, Options(flush_threshold_bytes=100)) as db:
+        c = db.create_collection("c", 4, "l2")
+        for i in range(5):
+            c.upsert(i, [i] * 4)
+        assert not c.segment_stats()
+    with Database(spark, base, Options(flush_threshold_bytes=100)) as db:
+        c = db.collection("c")
+        c.upsert(9, [9] * 4)
+        c.upsert(10, [9] * 4)
+        assert [s["record_count"] for s in c.segment_stats()] == [7] and len(c) == 7
+    rows = base / "segments" / "1" / "1" / "rows"
+    spark.read.parquet(str(rows)).where("id < 3").coalesce(1).write.parquet(str(tmp_path / "fewer"))
+    for p in rows.glob("*.parquet"):
+        p.unlink()
+    next((tmp_path / "fewer").glob("*.parquet")).rename(rows / "part-0.parquet")
+    with pytest.raises(errors.Corrupted, match="rows"):
+        Database(spark, base)
+
+
+def test_checksums_by_tasks(spark, tmp_path, monkeypatch):
+    from vecspan.sources import store
+
+    with Database(spark, tmp_path / "db") as db:
+        c = db.create_collection("c", 1, "l2")
+        c.upsert_batch(list(range(20)), [[i] for i in range(20)])
+        db.flush()
+        monkeypatch.setattr(store, "CHECKED_HERE", 0)
+        db.verify()
+        p = next((tmp_path / "db" / "segments").rglob("*.parquet"))
+        p.write_bytes(p.read_bytes() + b"x")
+        with pytest.raises(errors.Corrupted):
+            db.verify()
+
+
+def test_frames_with_names(spark, tmp_path):
+    """Text ids in a frame meet those of single upserts; new ones are numbered after them."""
+    meta = "map<string,struct<s:string,i:bigint,f:double,b:boolean>>"
+    with Database(spark, tmp_path / "db") as db:
+        c = db.create_collection("c", 1, "l2")
+        c.upsert("b", [1.0])
+        c.upsert("z", [2.0], {"k": 1})
+        frame = spark.createDataFrame([("a", [5.0], None), ("b", [6.0], {"x": ("y", None, None, None)}), ("c", [7.0], {}), ("a", [4.0], None)], f"id string, vector array<double>, meta {meta}")
+        c.upsert_frame(frame)
+        c.upsert("d", [8.0])
+        c.upsert("a", [9.0])
+    with Database(spark, tmp_path / "db") as db:
+        c = db.collection("c")
+        assert len(c) == 5 and [c.get(x).vector[0] for x in "abczd"] == [9.0, 6.0, 7.0, 2.0, 8.0]
+        assert c.get("b").meta == {"_ext_id": "b", "x": "y"} and len({r["id"] for r in c.frame().collect()}) == 5
+
+
+def test_filters_are_planned_by_segment(spark, tmp_path):
+    """A filter that few rows of one segment pass and all of another: the one is compared exactly, the other by its graph,
+    with and without codes, and what stands is found in both."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    x = r.uniform(-1, 1, (600, 6)).round(3)
+    for sq in (False, True):
+        with Database(spark, tmp_path / f"db{sq}", Options(hnsw_min_rows=100, sq8=sq, compaction_threshold=9)) as db:
+            c = db.create_collection("c", 6, "l2")
+            for lo, hi, kind in ((0, 300, lambda i: i == 5), (300, 600, lambda i: True)):
+                c.upsert_batch(range(lo, hi), x[lo:hi], [{"in": bool(kind(i))} for i in range(lo, hi)])
+                db.flush()
+            c.upsert(301, [9.0] * 6, {"in": True})
+            s = c.search(x[302]).k(8).filter(f.eq("in", True))
+            assert [p.strategy for p in s.plans().values()] == ["exact", "index"] and [p.strategy for p in c.search(x[0]).plans().values()] == ["index"] * 2
+            allowed = [i for i in [5, *range(300, 600)] if i != 301]
+            truth = sorted(allowed, key=lambda i: (((x[i] - x[302]) ** 2).sum(), i))[:8]
+            assert len(set(ids(c, x[302], 8, f.eq("in", True))) & set(truth)) >= 7
+            assert ids(c, x[5], 1, f.eq("in", True)) == [5]
+
+
 def test_damage_in_the_middle_of_the_log(spark, tmp_path):
     base = tmp_path / "db"
     with Database(spark, base) as db:

@@ -93,6 +93,16 @@ def prepared(v: Sequence[float], dim: int, metric: str) -> list[float]:
     return [x * inverse for x in v]
 
 
+def percentiles(df, column: str, shares: Sequence[float] = (0.5, 0.99, 0.999)):
+    """One row: the number of values, their nearest-rank percentiles (p50, p99, p99_9, ...) and the largest.
+
+    Values are counted first, so the sort is of distinct values; a rank is found by running counts of ranges of them.
+    """
+    name = lambda s: "p" + f"{100 * s:g}".replace(".", "_")
+    exact = [F.expr(f"percentile_disc({s}) WITHIN GROUP (ORDER BY `{column}`)").alias(name(s)) for s in shares]
+    return df.agg(F.count(column).alias("n"), *exact, F.max(column).alias("max"))
+
+
 def id_order(c: str | Column) -> list[Column]:
     """Sort columns for ids in unsigned order."""
     c = F.col(c) if isinstance(c, str) else c
