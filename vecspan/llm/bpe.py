@@ -5,10 +5,10 @@
 2. A bucket meets the words of all shards (of a slice of them, where there are very many), so that a word is folded once
    for the corpus and not once for each shard.
 3. Spark folds the merges: a word is an array of pieces, one for each byte; each step looks up the ranks of all adjacent
-   pairs and joins the leftmost pair of the lowest rank, until no pair has a rank. The ranks are a literal map. Spark
-   searches its own maps from end to end, so the map is two literal arrays, of 64-bit hashes and of ranks, in which a
-   piece has one of two places. (To keep the ranks in the state and renew those beside a merge was tried: arrays are cut
-   and joined so slowly that a word took twice as long.)
+   pairs and joins the leftmost pair of the lowest rank, until no pair has a rank. The ranks are a literal map: an array
+   of small maps chosen by a hash, as Spark searches a map from end to end. (Two ways that seemed shorter took longer: to
+   keep the ranks in the state and renew those beside a merge, as arrays are cut and joined slowly, and two flat arrays of
+   hashes and ranks in place of the maps.)
 4. The words' ids return to their shards, where the ids of a text are gathered by its words' numbers. The shards are a
    table bucketed by their number, so the texts stay where they are.
 
@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 from .common import bound_batches, release, releasing, shared_dir
 
-PLACES = 1 << 17
+BUCKETS = 1 << 14
 LONG = 1024
 SHARD_BYTES = 8 << 20
 GROUP_BYTES = 2 << 20
@@ -53,30 +53,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _hash(piece: bytes) -> int:
-    """Spark's xxhash64 of a piece, written with one Latin-1 letter for each byte."""
-    return xxhash.xxh64_intdigest(piece.decode("latin-1").encode(), seed=42)
-
-
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal: ``keys`` has the hash of each piece in one of its two places, ``ranks`` its rank there."""
-    rank_of = {_hash(piece): rank for piece, rank in ranks.items()}
-    if len(rank_of) < len(ranks) or 5 * len(ranks) > 2 * PLACES:
-        raise ValueError("the vocabulary doesn't fit the map")
-    place: dict[int, int] = {}
-    for h in rank_of:
-        at = h % PLACES
-        for _ in range(10_000):
-            # whoever stood here moves to its other place
-            place[at], h = h, place.get(at)
-            if h is None:
-                break
-            at = (h >> 32) % PLACES if at == h % PLACES else h % PLACES
-        else:
-            raise ValueError("the vocabulary doesn't fit the map")
-    keys = [place[k] - (place[k] >> 63 << 64) if k in place else 0 for k in range(PLACES)]
-    found = [rank_of[place[k]] if k in place else None for k in range(PLACES)]
-    return F.struct(F.from_json(F.lit(json.dumps(keys)), "array<long>").alias("keys"), F.from_json(F.lit(json.dumps(found)), "array<int>").alias("ranks"))
+    """The ranks as a literal: an array of maps from byte strings (one Latin-1 letter for each byte) to ranks."""
+    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    for piece, rank in ranks.items():
+        text = piece.decode("latin-1")
+        maps[xxhash.xxh64_intdigest(text.encode(), seed=42) % BUCKETS][text] = rank  # Spark's xxhash64
+    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
 
 
 def piece_array(ranks: dict[bytes, int]) -> Column:
@@ -95,25 +78,24 @@ def _bound(value: Column, use) -> Column:
 def encoded(word: Column, ranks: Column) -> Column:
     """The ids of a word (binary), by folding merges."""
 
-    def rank(x: Column) -> Column:  # null for null
-        def at(h: Column) -> Column:
-            one, two = (k.bitwiseAND(F.lit(PLACES - 1)).cast("int") for k in (h, F.shiftrightunsigned(h, 32)))
-            return F.when(F.get(ranks["keys"], one) == h, F.get(ranks["ranks"], one)).when(F.get(ranks["keys"], two) == h, F.get(ranks["ranks"], two))
-
-        return _bound(F.when(x.isNotNull(), F.xxhash64(x)), at)
+    def rank(x: Column) -> Column:
+        return F.try_element_at(F.get(ranks, F.xxhash64(x).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), x)
 
     def step(state: Column, _: Column) -> Column:
         pieces = state["pieces"]
-        # rank and place of each adjacent pair in one number; pairs without a rank are null
-        pairs = F.transform(pieces, lambda a, i: rank(F.concat(a, F.get(pieces, i + 1))).cast("long") * F.lit(1 << 32) + i)
+        closed = F.struct(pieces.alias("pieces"), F.lit(False).alias("open"))
+
+        def joined(at: Column) -> Column:
+            both = F.concat(F.get(pieces, at), F.get(pieces, at + 1))
+            return F.struct(F.concat(F.slice(pieces, F.lit(1), at), F.array(both), F.slice(pieces, at + 3, F.size(pieces))).alias("pieces"), F.lit(True).alias("open"))
 
-        def merged(best: Column) -> Column:
-            at = (best % F.lit(1 << 32)).cast("int")
-            joined = F.concat(F.slice(pieces, F.lit(1), at), F.array(F.concat(F.get(pieces, at), F.get(pieces, at + 1))), F.slice(pieces, at + 3, F.size(pieces)))
-            closed = F.struct(pieces.alias("pieces"), F.lit(False).alias("open"))
-            return F.when(best.isNull(), closed).otherwise(F.struct(joined.alias("pieces"), F.lit(True).alias("open")))
+        def merged(pairs: Column) -> Column:
+            lowest = lambda best: F.when(best.isNull(), closed).otherwise(_bound((F.array_position(pairs, best) - 1).cast("int"), joined))
+            return _bound(F.array_min(pairs), lowest)
 
-        return F.when(state["open"], _bound(F.array_min(pairs), merged)).otherwise(state)
+        # the ranks of adjacent pairs, null where a pair has none; the first of equal ones is the leftmost
+        pairs = F.transform(pieces, lambda a, i: rank(F.concat(a, F.get(pieces, i + 1))))
+        return F.when(state["open"], _bound(pairs, merged)).otherwise(state)
 
     def folded(text: Column) -> Column:
         letters = F.slice(F.split(text, "", -1), F.lit(1), F.length(text))
