@@ -89,6 +89,67 @@ def test_streaming(spark, tmp_path):
         assert len(said) == 1
 
 
+def test_streaming_takes_up_frames_and_flushed_files(spark, tmp_path):
+    """Rows that never were in the log, and log files that are gone before they are read."""
+    base = tmp_path / "db"
+    state = LatestState(spark, str(tmp_path / "state"), most=2)
+    with Database(spark, base) as db:
+        c = db.create_collection("c", 1, "l2")
+        c.upsert(1, [1.0])
+        c.upsert_frame(files.from_arrays(spark, [5, 6], [[5.0], [6.0]]))
+        c.upsert(9, [9.0])
+        db.flush()
+        db.vacuum()
+        for k in range(3):
+            c.upsert(20 + k, [k])
+            follow(spark, str(base), state, str(tmp_path / "ck")).awaitTermination()
+        c.delete_frame(spark.createDataFrame([(5,), (7,)], "id long"))
+        c.upsert(6, [60.0])
+        follow(spark, str(base), state, str(tmp_path / "ck")).awaitTermination()
+        want = {r.id: r.vector for r in c.frame().collect()}
+        assert sorted(want) == [1, 6, 9, 20, 21, 22] and {r.id: r.vector for r in state.live(1).collect()} == want
+        assert len(state._folders()) < 6
+
+
+def test_remote_follower(spark, tmp_path):
+    """Tail, flush, deletes, a log file that came in part, restart, an unreachable primary, and promotion."""
+    from vecspan.streaming.remote import RemoteFollower
+
+    with Database(spark, tmp_path / "db") as db:
+        s = server(db, 0, "secret")
+        threading.Thread(target=s.serve_forever, daemon=True).start()
+        url = f"http://127.0.0.1:{s.server_port}"
+        c = db.create_collection("docs", 2, "l2")
+        c.upsert_batch([1, 2, "a"], [[1, 0], [2, 0], [3, 0]], [{"lang": "ja"}, {}, {}])
+        f = RemoteFollower(spark, url, tmp_path / "copy", "secret")
+        read = lambda f: {r.id: r.vector[0] for r in f.database.collection("docs").frame().collect()}
+        assert f.sync_once() and sorted(read(f).values()) == [1, 2, 3] and not f.sync_once()
+        assert f.database.collection("docs").search([1, 0]).k(1).run()[0].meta == {"lang": "ja"}
+        with pytest.raises(errors.ReadOnlyReplica):
+            f.database.collection("docs").upsert(3, [3.0, 0])
+        db.flush()
+        c.delete(2)
+        c.upsert(1, [9, 0])
+        last = sorted((tmp_path / "db" / "oplog").glob("*.parquet"))[-1]
+        (tmp_path / "copy" / "oplog" / f"{last.stem}.part").write_bytes(last.read_bytes()[:50])
+        assert f.sync_once() and sorted(read(f).values()) == [3, 9] and not list((tmp_path / "copy" / "oplog").glob("*.part"))
+        f.database.close()
+        c.upsert_frame(files.from_arrays(spark, [7], [[7.0, 0.0]]))
+        f = RemoteFollower(spark, url, tmp_path / "copy", "secret")
+        assert f.sync_once() and sorted(read(f).values()) == [3, 7, 9] and read(f) == {r.id: r.vector[0] for r in c.frame().collect()}
+        with pytest.raises(errors.Unreachable):
+            RemoteFollower(spark, url, tmp_path / "other", "wrong").sync_once()
+        s.shutdown()
+        s.server_close()
+        with pytest.raises(errors.Unreachable):
+            f.sync_once()
+        assert sorted(read(f).values()) == [3, 7, 9]
+        f.database.close()
+    with Database(spark, tmp_path / "copy") as db:
+        db.collection("docs").upsert("a", [4, 0])
+        assert sorted(r.vector[0] for r in db.collection("docs").frame().collect()) == [4, 7, 9]
+
+
 def test_command_line(spark, tmp_path):
     out = []
 

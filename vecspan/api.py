@@ -126,6 +126,9 @@ class Collection:
     def upsert_frame(self, df: DataFrame, order: str | None = None) -> None:
         self.store.upsert_frame(self.info, df, order)
 
+    def delete_frame(self, df: DataFrame) -> None:
+        self.store.delete_frame(self.info, df)
+
     def delete(self, id: int | str) -> bool:
         return self.store.delete(self.info, id)
 
@@ -226,11 +229,19 @@ class Search:
         top = out.orderBy("key", *metrics.id_order("id")).limit(k)
         return search.ranked(top).select("rank", "id", metrics.score(c.metric, F.col("key")).alias("score"))
 
-    def run(self) -> list[Hit]:
-        """The hits with their metadata, nearest first."""
+    def planned(self) -> DataFrame | None:
+        """The hits with their metadata, not yet computed; None where none are wanted."""
         c = self.collection
         if self._k == 0:
             metrics.prepared(self.query, c.dim, c.metric)
-            return []
-        hits = search.with_rows(self.frame(), c.frame(), ["meta"]).collect()
+            return None
+        return search.with_rows(self.frame(), c.frame(), ["meta"])
+
+    def run(self) -> list[Hit]:
+        """The hits with their metadata, nearest first."""
+        return self.hits(self.planned())
+
+    @staticmethod
+    def hits(planned: DataFrame | None) -> list[Hit]:
+        hits = [] if planned is None else planned.collect()
         return [Hit(unsigned(r["id"]), r["score"], plain_meta(r["meta"])) for r in sorted(hits, key=lambda r: r["rank"])]

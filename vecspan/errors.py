@@ -49,3 +49,7 @@ class ReadOnlyReplica(VecspanError, RuntimeError):
 
 class StorageError(VecspanError, OSError):
     """The file system refused something."""
+
+
+class Unreachable(VecspanError, OSError):
+    """A primary that doesn't answer, or answers with an error."""

@@ -39,7 +39,7 @@ class Api:
 
     def __init__(self, db: Database, api_key: str | None = None):
         self.db, self.api_key = db, api_key
-        # one request at a time changes the database; Spark runs its jobs in parallel anyway
+        # one request at a time changes the database or plans a search; searches run, and files are read, side by side
         self.lock = threading.RLock()
         name = r"/collections/([^/]+)"
         self.routes: list[tuple[str, re.Pattern, Callable[..., Any]]] = [
@@ -49,10 +49,13 @@ class Api:
                 ("POST", name + r"/records", self.upsert), ("GET", name + r"/records/([^/]+)", self.get), ("DELETE", name + r"/records/([^/]+)", self.delete),
                 ("POST", name + r"/search", self.search), ("POST", r"/admin/flush", self.flush), ("POST", r"/admin/compact", self.compact),
                 ("GET", r"/replication/state", self.state), ("GET", r"/replication/manifest/(\d+)", self.manifest),
+                ("GET", r"/replication/files/(\d+)/(\d+)", self.files),
                 ("GET", r"/replication/segment/(\d+)/(\d+)/(.+)", self.segment), ("GET", r"/replication/wal/(\d+)", self.log),
             )
         ]
 
+        self.unlocked = (self.search, self.manifest, self.files, self.segment, self.log)
+
     def allowed(self, headers: dict[str, str]) -> bool:
         if self.api_key is None:
             return True
@@ -73,6 +76,8 @@ class Api:
                     try:
                         args = [unquote(g) for g in found.groups()]
                         extra = {"body": json.loads(body or b"null")} if method in ("PUT", "POST") else {"query": parse_qs(url.query)}
+                        if f in self.unlocked:
+                            return 200, f(*args, **extra)
                         with self.lock:
                             return 200, f(*args, **extra)
                     except Exception as e:  # noqa: BLE001
@@ -108,12 +113,14 @@ class Api:
         return {"deleted": self.db.collection(name).delete(path_id(key))}
 
     def search(self, name: str, body: dict) -> dict:
-        s = self.db.collection(name).search(body["vector"]).k(int(body.get("k", 10)))
-        if body.get("ef") is not None:
-            s = s.ef(int(body["ef"]))
-        if body.get("filter") is not None:
-            s = s.filter(body["filter"])
-        return {"hits": [h.as_json() for h in s.run()]}
+        with self.lock:
+            s = self.db.collection(name).search(body["vector"]).k(int(body.get("k", 10)))
+            if body.get("ef") is not None:
+                s = s.ef(int(body["ef"]))
+            if body.get("filter") is not None:
+                s = s.filter(body["filter"])
+            planned = s.planned()
+        return {"hits": [h.as_json() for h in s.hits(planned)]}
 
     def flush(self, body: Any) -> dict:
         self.db.flush()
@@ -145,6 +152,12 @@ class Api:
     def manifest(self, generation: str, query: dict) -> bytes:
         return self._file(self.db.store._manifest_name(int(generation)))
 
+    def files(self, cid: str, seg: str, query: dict) -> dict:
+        folder = self._base() / "segments" / cid / seg
+        if not folder.is_dir():
+            raise NotFound("no such segment")
+        return {"files": [{"name": str(p.relative_to(folder)), "bytes": p.stat().st_size} for p in sorted(folder.rglob("*")) if p.is_file() and not p.name.startswith(".")]}
+
     def segment(self, cid: str, seg: str, name: str, query: dict) -> bytes:
         if not _SEGMENT_FILE.fullmatch(name) or ".." in name:
             raise NotFound("no such file")
@@ -152,7 +165,12 @@ class Api:
 
     def log(self, seq: str, query: dict) -> bytes:
         offset = int(query.get("offset", ["0"])[0])
-        return self._file("oplog", f"{int(seq):020d}.parquet")[offset:]
+        p = self._base() / "oplog" / f"{int(seq):020d}.parquet"
+        if not p.is_file():
+            raise NotFound("no such file")
+        with open(p, "rb") as f:
+            f.seek(offset)
+            return f.read()
 
 
 def server(db: Database, port: int = 8080, api_key: str | None = None, host: str = "127.0.0.1") -> ThreadingHTTPServer:

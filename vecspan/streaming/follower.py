@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..api import Database
 from ..operators.live import newest
+from ..sources.store import Store
 from ..types import OPLOG
 
 
@@ -23,38 +24,67 @@ def log_stream(spark: SparkSession, base: str, files_a_trigger: int = 100) -> Da
 
 
 class LatestState:
-    """The newest operation of every (collection, id), kept in Parquet versions below a path.
+    """The newest operation of every (collection, id), kept in Parquet folders below a path.
 
-    Every micro-batch is merged by sequence number, so a batch that is replayed changes nothing. The version that counts
-    is named by the last batch's number, and only that and the one before stay.
+    Every micro-batch adds a folder with its own newest operations, named by the batch's number; a batch that is replayed
+    writes its folder again and changes nothing. Reads take the newest over all folders. After ``most`` folders they are
+    merged into one, so a batch costs its own size and now and then a merge.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, Path(path)
+    def __init__(self, spark: SparkSession, path: str, most: int = 16):
+        self.spark, self.path, self.most = spark, Path(path), most
         self.path.mkdir(parents=True, exist_ok=True)
 
-    def _versions(self) -> list[int]:
-        return sorted(int(p.name) for p in self.path.iterdir() if p.name.isdigit() and (p / "_SUCCESS").exists())
+    def _folders(self) -> list[Path]:
+        """Folders that are whole: a merged one (``to-<number>``) stands for all numbers up to its own."""
+        whole = [p for p in self.path.iterdir() if (p / "_SUCCESS").exists()]
+        merged = sorted((p for p in whole if p.name.startswith("to-")), key=lambda p: int(p.name[3:]))[-1:]
+        upto = int(merged[0].name[3:]) if merged else -1
+        return merged + sorted((p for p in whole if p.name.isdigit() and int(p.name) > upto), key=lambda p: int(p.name)) + [p for p in whole if p.name.startswith("segment-")]
 
     def ops(self) -> DataFrame:
-        v = self._versions()
-        return self.spark.read.schema(OPLOG).parquet(str(self.path / str(v[-1]))) if v else self.spark.createDataFrame([], OPLOG)
+        found = [str(p) for p in self._folders()]
+        return newest(self.spark.read.schema(OPLOG).parquet(*found), ("collection_id", "id")) if found else self.spark.createDataFrame([], OPLOG)
 
     def live(self, collection_id: int) -> DataFrame:
         return self.ops().where((F.col("collection_id") == collection_id) & (F.col("op") == "upsert")).select("id", "vector", "meta")
 
+    def _write(self, rows: DataFrame, name: str) -> None:
+        rows.write.mode("overwrite").parquet(str(self.path / name))
+
     def merge(self, batch: DataFrame, number: int) -> None:
-        v = [x for x in self._versions() if x < number]
-        old = self.spark.read.schema(OPLOG).parquet(str(self.path / str(v[-1]))) if v else self.spark.createDataFrame([], OPLOG)
-        rows = old.unionByName(batch.where(F.col("op").isin("upsert", "delete")).select(*OPLOG.fieldNames()))
-        newest(rows, ("collection_id", "id")).write.mode("overwrite").parquet(str(self.path / str(number)))
-        for x in v[:-1]:
-            shutil.rmtree(self.path / str(x), ignore_errors=True)
+        own = batch.where(F.col("op").isin("upsert", "delete")).select(*OPLOG.fieldNames())
+        self._write(newest(own, ("collection_id", "id")), str(number))
+        old = self._folders()
+        if len(old) > self.most:
+            self._write(self.ops(), f"to-{number}")
+            for p in old:
+                # that a segment has been taken up is remembered by its empty folder
+                shutil.rmtree(p, ignore_errors=True)
+                if p.name.startswith("segment-"):
+                    p.mkdir()
+
+    def take_segments(self, base: str) -> None:
+        """Takes up the segments of a database's generation in force: rows that went into one without the log, and log
+        files that were flushed and removed before they were read. Each segment is taken once."""
+        store = Store(self.spark, base, follower=True)
+        for info in store.collections.values():
+            for s in store.segments(info):
+                name = f"segment-{info.collection_id}-{s.seg_id}"
+                if not (self.path / name).exists():
+                    self._write(store.segment_rows(info, [s]), name)
 
 
 def follow(spark: SparkSession, base: str, state: LatestState, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Merges the log of a database into state; once over what is there, or again and again."""
-    writer = log_stream(spark, base).writeStream.foreachBatch(state.merge).option("checkpointLocation", checkpoint)
+    """Merges a database's operations into state; once over what is there, or again and again. What the log doesn't hold
+    any more, or never did, comes from the segments."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        state.merge(batch, number)
+        state.take_segments(base)
+
+    state.take_segments(base)
+    writer = log_stream(spark, base).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
