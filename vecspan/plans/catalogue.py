@@ -12,7 +12,7 @@ from ..functions import metrics, sq8
 from ..operators import filters, hnsw, live, quantised, search
 from ..operators.filters import ColumnSource, Filter
 from ..types import HnswParams
-from . import planner
+from . import lifecycle, planner
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -104,24 +104,24 @@ def topk_none(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _batch(key: str, score: str) -> str:
-    return f"""WITH {_S}, q AS (SELECT id AS qid, v AS qv FROM e WHERE id % 10 = 0),
+    return f"""WITH {_S}, q AS (SELECT id AS qid, v AS qv FROM e WHERE id % 50 = 0),
         k AS (SELECT qid, id, {key} AS key, row_number() OVER (PARTITION BY qid ORDER BY {key}, id) AS rank FROM e, q)
         SELECT qid, CAST(rank AS INTEGER) AS rank, id, {score} AS score FROM k WHERE rank <= {K}"""
 
 
-def _every_tenth(spark: SparkSession, d: str, metric: str) -> DataFrame:
+def _every_fiftieth(spark: SparkSession, d: str, metric: str) -> DataFrame:
     t = embeddings(spark, d, True)
-    return search.nearest_of_each(t.where("id % 10 = 0").withColumnRenamed("id", "qid"), t, K, metric)
+    return search.nearest_of_each(t.where("id % 50 = 0").withColumnRenamed("id", "qid"), t, K, metric)
 
 
 @query(_batch(_L2.format(a="v", b="qv"), "sqrt(key)"))
 def batch_knn_l2(spark: SparkSession, d: str) -> DataFrame:
-    return _every_tenth(spark, d, "l2")
+    return _every_fiftieth(spark, d, "l2")
 
 
 @query(_batch(f"-{_DOT.format(a='v', b='qv')}", "-key"))
 def batch_knn_dot(spark: SparkSession, d: str) -> DataFrame:
-    return _every_tenth(spark, d, "dot")
+    return _every_fiftieth(spark, d, "dot")
 
 
 @query(f"""WITH {_S}, {_U} SELECT e.id, sqrt({_DOT.format(a='e.v', b='e.v')}) AS norm_before, sqrt({_DOT.format(a='u.v', b='u.v')}) AS norm_after FROM e JOIN u ON e.id = u.id""")
@@ -349,31 +349,6 @@ def memtable_bytes(spark: SparkSession, d: str) -> DataFrame:
     return live.memory_bytes(embeddings(spark, d).join(docs, "id").select("id", "vector", meta.alias("meta")))
 
 
-@query("SELECT * FROM (VALUES (1, 'documents', 64, 'cosine'), (2, 'events', 1, 'l2')) AS t(collection_id, name, dim, metric)")
-def catalog(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, "documents", 64, "cosine"), (2, "events", 1, "l2")]
-    return spark.createDataFrame(rows, "collection_id int, name string, dim int, metric string").orderBy("name")
-
-
-def _graph(spark: SparkSession, d: str, ef: int, f: Filter | None = None) -> DataFrame:
-    t = described(spark, d) if f else embeddings(spark, d, True)
-    shards = max(1, t.count() // 250)
-    index = hnsw.build_index(t, "l2", HnswParams(ef_construction=64), shards)
-    allowed = t.where(f.where(ColumnSource(t))).select("id") if f else None
-    return hnsw.nearest(index, first_vector(spark, d, f is None), K, "l2", ef, allowed)
-
-
-@query()
-def hnsw_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Approximate; recall is tested."""
-    return _graph(spark, d, 64)
-
-
-@query()
-def hnsw_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d, 256, _EN)
-
-
 @query(_top(_S, "e", _L2.format(a="v", b="qv"), "sqrt(key)"))
 def hnsw_full_beam(spark: SparkSession, d: str) -> DataFrame:
     """A beam as wide as the table makes the graph search exact (stored vectors are the table's own 32-bit numbers)."""
@@ -381,3 +356,7 @@ def hnsw_full_beam(spark: SparkSession, d: str) -> DataFrame:
     index = hnsw.build_index(t, "l2", HnswParams(ef_construction=64), max(1, t.count() // 250))
     found = hnsw.search_index(index, [(0, first_vector(spark, d, True))], K, t.count(), "l2").select("id")
     return search.nearest(t.join(found, "id", "left_semi"), first_vector(spark, d, True), K, "l2")
+
+
+QUERIES |= lifecycle.QUERIES
+ORACLES |= lifecycle.ORACLES

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,10 +88,31 @@ def from_arrays(spark: SparkSession, ids: Sequence[int], vectors: np.ndarray | S
     return spark.createDataFrame(t).withColumn("meta", F.create_map().cast(META))
 
 
+def write_vecs(df: DataFrame, path: str, kind: str = "fvecs") -> None:
+    """Vectors (id, vector) in the order of ids as a folder of .fvecs or .ivecs files, one for each task, which the reader
+    takes as one. The folder is on a file system that driver and executors share."""
+    os.makedirs(path)
+    form = "<f4" if kind == "fvecs" else "<i4"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
+        tmp = f"{path}/.{part}.{uuid.uuid4().hex}"
+        with open(tmp, "wb") as f:
+            for b in batches:
+                for v in b.column("vector").to_pylist():
+                    f.write(np.int32(len(v)).tobytes() + np.array(v, form).tobytes())
+                    n += 1
+        # a task that runs again replaces its file
+        os.replace(tmp, f"{path}/part-{part:08d}.{kind}") if n else os.unlink(tmp)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    df.select("id", "vector").orderBy("id").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 class _Part(InputPartition):
-    def __init__(self, path: str, start: int, stop: int):
-        super().__init__((path, start, stop))
-        self.path, self.start, self.stop = path, start, stop
+    def __init__(self, path: str, start: int, stop: int, before: int):
+        super().__init__((path, start, stop, before))
+        self.path, self.start, self.stop, self.before = path, start, stop, before
 
 
 class VecsReader(DataSourceReader):
@@ -99,25 +122,32 @@ class VecsReader(DataSourceReader):
         self.rows = int(options.get("rowsperpartition", 50_000))
         self.kind = kind
 
-    def _shape(self) -> tuple[int, int]:
-        size = os.path.getsize(self.path)
+    @staticmethod
+    def _shape(path: str) -> tuple[int, int]:
+        size = os.path.getsize(path)
         if not size:
             return 0, 0
-        with open(self.path, "rb") as f:
+        with open(path, "rb") as f:
             dim = int(np.frombuffer(f.read(4), "<i4")[0])
         if dim <= 0 or size % (4 + 4 * dim):
-            raise Corrupted(f"{self.path} isn't a file of vectors of {dim} numbers")
+            raise Corrupted(f"{path} isn't a file of vectors of {dim} numbers")
         return dim, size // (4 + 4 * dim)
 
     def partitions(self) -> list[_Part]:
-        _, n = self._shape()
-        n = n if self.limit < 0 else min(n, self.limit)
-        return [_Part(self.path, s, min(s + self.rows, n)) for s in range(0, n, self.rows)] or [_Part(self.path, 0, 0)]
+        path = self.path.removeprefix("file://")
+        found = sorted(f"{path}/{x}" for x in os.listdir(path) if not x.startswith((".", "_"))) if os.path.isdir(path) else [path]
+        out, before = [], 0
+        for p in found:
+            _, n = self._shape(p)
+            n = n if self.limit < 0 else max(0, min(n, self.limit - before))
+            out += [_Part(p, s, min(s + self.rows, n), before) for s in range(0, n, self.rows)]
+            before += n
+        return out or [_Part(path, 0, 0, 0)]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        dim, _ = self._shape()
         if partition.start == partition.stop:
             return
+        dim, _ = self._shape(partition.path)
         width = 4 + 4 * dim
         with open(partition.path, "rb") as f:
             f.seek(partition.start * width)
@@ -125,7 +155,7 @@ class VecsReader(DataSourceReader):
         if (data[:, 0] != dim).any():
             raise Corrupted(f"vectors of different lengths in {partition.path}")
         values = data[:, 1:].copy().view("<f4" if self.kind == "fvecs" else "<i4")
-        for k, row in enumerate(values.tolist(), partition.start):
+        for k, row in enumerate(values.tolist(), partition.before + partition.start):
             yield k, row
 
 
