@@ -43,10 +43,12 @@ def materialise(df: DataFrame, name: str, codec: str | None = None) -> DataFrame
     return read
 
 
-def discard(df: DataFrame) -> None:
-    """Removes the files of a materialised table that nothing will read again."""
-    path = getattr(df, "_vecspan_path", None)
-    if path:
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of materialised tables that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_vecspan_path", None)
+        if not path:
+            continue
         jvm = df.sparkSession._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 BLOCK = 512
 
@@ -81,12 +81,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ties = materialise(ties, "ties")
     tied = heads.join(ties.hint("merge"), (F.col("n_bytes") == F.col("_n")) & (F.col("head") == F.col("_h"))).select("doc_id", "sha")
     tied = materialise(tied.groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("copies")), "tied")
+    discard(ties)
     whole = base.select(F.col("doc_id").alias("_d"), F.col("t"))
     texts = whole.join(tied.hint("merge"), F.col("_d").eqNullSafe(F.col("doc_id"))).where(F.sha2(F.col("t"), 256) == F.col("sha"))
     # repeated rows have one key and one text; the join has brought the rows of a key together
     first = F.row_number().over(Window.partitionBy("doc_id", "sha").orderBy("copies"))
     texts = materialise(texts.withColumn("_r", first).where("_r = 1").select("doc_id", "sha", "copies", F.octet_length("t").alias("n_bytes"), F.col("t").cast("binary").alias("bytes")), "texts")
+    discard(tied)
     named = identities(texts, ["doc_id", "sha", "copies"], block)
+    discard(texts)
     groups = named.groupBy("n_bytes", "name").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
     groups = materialise(groups.select(F.col("n_bytes").alias("_n"), F.col("name").alias("_m"), "keep_id", "group_size"), "groups")
     found = named.join(groups.hint("merge"), (F.col("n_bytes") == F.col("_n")) & (F.col("name") == F.col("_m")))

@@ -30,4 +30,5 @@ def components(edges: DataFrame) -> DataFrame:
         discard(old)
         old, labels = new, new.select("node", F.col("new").alias("label"))
         if new.where("new <> label").isEmpty():
+            discard(both)
             return labels.select("node", F.col("label").alias("component"))

@@ -260,9 +260,10 @@ def _reaching(rows: DataFrame, s: Settings) -> DataFrame:
     return rows.select("component", "key", "text", "m0", "tokens", "df").mapInArrow(run, "component long, key long, m0 long, n long, tokens binary, prefix array<long>")
 
 
-def _dealt(rows: DataFrame, s: Settings) -> DataFrame:
+def _dealt(rows: DataFrame, s: Settings, used: list[DataFrame]) -> DataFrame:
     """_reaching's rows with a part, in the order of min-hashes. A row weighs its share of a part's members or of its
-    tokens, whichever is more; parts are cut from the running sum of weights, the same for any number of tasks."""
+    tokens, whichever is more; parts are cut from the running sum of weights, the same for any number of tasks. used takes up the
+    tables behind the result."""
     ranges = max(1, -(-rows.count() // s.part))
     by = rows.withColumn("x", F.xxhash64("key")).repartitionByRange(ranges, "m0", "x").sortWithinPartitions("m0", "x")
     names = ["component", "key", "m0", "n", "tokens", "prefix", "range", "before", "after"]
@@ -280,6 +281,7 @@ def _dealt(rows: DataFrame, s: Settings) -> DataFrame:
     # one row for each range
     sums = placed.groupBy("range").agg(F.max("after").alias("sum")).withColumn("all", F.sum("sum").over(Window.orderBy("range")))
     first = materialise(sums.select(F.col("range").alias("_r"), (F.col("all") - F.col("sum")).alias("first")), "ranges")
+    used += [placed, first]
     out = placed.join(first.hint("merge"), F.col("range") == F.col("_r"))
     return out.withColumn("part", F.floor(F.col("first") + F.col("before"))).drop("range", "before", "after", "_r", "first")
 
@@ -345,7 +347,7 @@ class _Part:
 _ASKED = ["part", "slice", "query", "m0", "key", "component", "n", "tokens"]
 
 
-def _asked(parts: DataFrame, s: Settings) -> DataFrame:
+def _asked(parts: DataFrame, s: Settings, used: list[DataFrame]) -> DataFrame:
     """_dealt's rows → members of parts and the queries to them, by part and slice. Of two parts that share a token of a
     prefix the one asks the other; within a part all are asked."""
     matrix = parts.select("key", "part", F.explode("prefix").alias("token"))
@@ -353,6 +355,7 @@ def _asked(parts: DataFrame, s: Settings) -> DataFrame:
     asks = matrix.join(groups.hint("merge"), "token").where(F.col("p") >= F.col("part")).select(F.col("key").alias("_k"), "p").distinct()
     asks = materialise(asks, "asks")
     slices = materialise(asks.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / s.asked).alias("slices")), "slices")
+    used += [asks, slices]
     members = parts.join(slices.hint("merge"), F.col("part") == F.col("p")).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
     placed = asks.join(slices.select(F.col("p").alias("_p"), "slices").hint("merge"), F.col("p") == F.col("_p")).select("_k", "p", F.pmod(F.xxhash64("_k"), "slices").alias("slice"))
     queries = parts.drop("part").join(placed.hint("merge"), F.col("key") == F.col("_k")).withColumnRenamed("p", "part")
@@ -423,7 +426,7 @@ def _block_links(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.n
     return 100 * both >= percent * (na[:, None] + nb[None, :] - both)
 
 
-def _link_counts(few: DataFrame, classes: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
+def _link_counts(few: DataFrame, classes: DataFrame, found: DataFrame, s: Settings, used: list[DataFrame]) -> DataFrame:
     """n, p1, p2 (a set of tokens) → ``links``: the rows whose sets are other ones and linked with it.
 
     few are representatives, found their components. Each component is cut into blocks
@@ -434,6 +437,7 @@ def _link_counts(few: DataFrame, classes: DataFrame, found: DataFrame, s: Settin
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("all")).where("size > 1")
     blocks = F.greatest(F.ceil(F.col("size") / s.block), F.ceil(F.col("all") / s.block_tokens))
     sizes = materialise(sizes.select(F.col("component").alias("_c"), blocks.alias("blocks")), "sizes")
+    used.append(sizes)
     members = members.join(sizes.hint("merge"), F.col("component") == F.col("_c")).drop("_c")
     weights = classes.select(*[F.col(c).alias(f"_{c}") for c in _CLASS], "rows")
     same = (F.col("n") == F.col("_n")) & (F.col("p1") == F.col("_p1")) & (F.col("p2") == F.col("_p2"))
@@ -498,17 +502,27 @@ def _connected(numbered: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame,
     discard(texts)
     near = materialise(_grouped_links(few, "m0", s).unionByName(_grouped_links(few, "m1", s)), "grouped")
     placed = materialise(_with_components(few.select("key", "text", "m0"), components(near)), "placed", "zstd")
-    mixed = materialise(_mixed_tokens(placed, s, n_bytes), "mixed").select(F.col("component").alias("_c"), "tokens", "df")
-    reaching = materialise(_reaching(placed.join(mixed.hint("merge"), F.col("component") == F.col("_c")), s), "reaching")
-    discard(placed)
-    parts = materialise(_dealt(reaching, s), "parts")
-    far = _opened_links(_asked(parts, s), s)
-    found = components(materialise(near.unionByName(far), "links"))
-    classes = materialise(_with_components(classes, found, "first"), "classes")
+    mixed = materialise(_mixed_tokens(placed, s, n_bytes), "mixed")
+    own = mixed.select(F.col("component").alias("_c"), "tokens", "df")
+    reaching = materialise(_reaching(placed.join(own.hint("merge"), F.col("component") == F.col("_c")), s), "reaching")
+    discard(placed, mixed)
+    used: list[DataFrame] = []
+    parts = materialise(_dealt(reaching, s, used), "parts")
+    discard(reaching, *used)
+    used = [parts, near]
+    links = materialise(near.unionByName(_opened_links(_asked(parts, s, used), s)), "links")
+    discard(*used)
+    found = components(links)
+    discard(links)
+    placed = materialise(_with_components(classes, found, "first"), "classes")
+    discard(classes)
+    classes = placed
     least = classes.groupBy("component").agg(F.min("best").alias("least")).select(F.col("component").alias("_c"), "least")
     least = materialise(least, "least")
     classes = classes.drop("best").join(least.hint("merge"), F.col("component") == F.col("_c")).drop("_c").withColumnRenamed("least", "best")
-    return base, materialise(classes, "placed-classes"), few, found
+    placed = materialise(classes, "placed-classes")
+    discard(least)
+    return base, placed, few, found
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:  # noqa: B008
@@ -519,7 +533,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     numbered = materialise(numbered, "numbered", "zstd")
     base, classes, few, found = _connected(numbered, s)
     discard(numbered)
-    counts = materialise(_link_counts(few, classes, found, s), "counts")
+    used: list[DataFrame] = [few]
+    counts = materialise(_link_counts(few, classes, found, s, used), "counts")
+    discard(*used)
     # rows that can't have a partner don't take part: many may have the same, empty set
     total = classes.join(counts.hint("merge"), _CLASS, "left").select(*_CLASS, F.col("best.id").alias("component_id"), (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     total = materialise(total, "totals")
@@ -540,7 +556,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rest = [c for c in docs.columns if c != text_col]
     packed = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)], F.lit(True).alias("row"))
     numbered = materialise(docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("_id"), F.col(text_col).alias("text"), packed.alias("_row")), "numbered", "zstd")
-    base, classes, _, _ = _connected(numbered, s)
+    base, classes, few, _ = _connected(numbered, s)
+    discard(few)
     stays = classes.select(*_CLASS, F.col("best.key").alias("_stays"))
     gone = base.where("open").join(stays.hint("merge"), _CLASS).where("key <> _stays").select(F.col("key").alias("_gone"))
     kept = numbered.join(gone.hint("merge"), F.col("key") == F.col("_gone"), "left_anti")

@@ -136,8 +136,9 @@ def _phrases(s: Settings):
     return run
 
 
-def confirmed_phrases(texts: DataFrame, s: Settings, n_bytes: int) -> DataFrame:
-    """n, shard, _text → shard, phrase: every phrase that recurs, for each shard in which it was chosen."""
+def confirmed_phrases(texts: DataFrame, s: Settings, n_bytes: int, used: list[DataFrame]) -> DataFrame:
+    """n, shard, _text → shard, phrase: every phrase that recurs, for each shard in which it was chosen. used takes up the
+    tables behind the result."""
     found = recurring(texts.select("n", "_text"), _anchors(s), wide=False, n_bytes=n_bytes)
     flagged = texts.join(found.hint("merge"), F.col("n") == F.col("key")).select("shard", "_text", "found")
     placed = materialise(flagged.mapInArrow(_phrases(s), "shard long, phrase string, places long"), "phrases")
@@ -145,6 +146,7 @@ def confirmed_phrases(texts: DataFrame, s: Settings, n_bytes: int) -> DataFrame:
     # written, so that the join meets two plain shuffles, of which a common phrase's can be split; a shard may have a
     # phrase more than once
     again = materialise(again, "confirmed")
+    used += [placed, again]
     return placed.join(again.hint("merge"), F.col("phrase") == F.col("_p")).select("shard", "phrase")
 
 
@@ -161,7 +163,8 @@ def _cut(rows: DataFrame, s: Settings, keep_text: bool) -> DataFrame:
     n_bytes = text_bytes(numbered, "_text")
     shards = max(1, -(-n_bytes // SHARD_BYTES))
     texts = numbered.withColumn("shard", F.pmod(F.xxhash64("n"), F.lit(shards)))
-    phrases = confirmed_phrases(texts.select("n", "shard", "_text"), s, n_bytes)
+    used = [numbered]
+    phrases = confirmed_phrases(texts.select("n", "shard", "_text"), s, n_bytes, used)
     schema = texts.select("n", "_row", "_text").schema.add("runs", "binary").add("n_words", "long").add("sha", "string")
     bound_batches(rows.sparkSession)
 
@@ -189,7 +192,7 @@ def _cut(rows: DataFrame, s: Settings, keep_text: bool) -> DataFrame:
 
     dealt = texts.select("shard", "n", "_row", "_text").groupBy("shard").cogroup(phrases.groupBy("shard"))
     located = materialise(dealt.applyInArrow(scan, schema), "located", "zstd")
-    discard(numbered)
+    discard(*used)
     open_rows = located.where(F.col("runs").isNotNull())
     windows = recurring(open_rows.select("n", "_text", "runs"), _candidates(s), wide=True, n_bytes=n_bytes)
     windows = windows.mapInArrow(_compress, "key long, covered binary")
