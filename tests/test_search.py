@@ -72,8 +72,12 @@ def test_constant_vectors_quantise(spark):
     assert r.scale == 1 and sq8.codes([2.0, 2.4, 2.5, 900.0, -5.0], r) == [0, 0, 1, 255, 0]
 
 
-def _recall(x, q, metric, ef, p=HnswParams()):  # noqa: B008
-    g = hnsw.Graph.from_bytes(hnsw.Builder(x, metric, p).graph.to_bytes())
+def by_inserts(x, metric, p):
+    return hnsw.Builder(x, metric, p).graph
+
+
+def _recall(x, q, metric, ef, p=HnswParams(), build=by_inserts):  # noqa: B008
+    g = hnsw.Graph.from_bytes(build(x, metric, p).to_bytes())
     hits = 0
     for v in q:
         key = ((x - v) ** 2).sum(axis=1) if metric == "l2" else -(x @ v)
@@ -96,6 +100,30 @@ def test_graph_recall():
     assert _recall(z, z[:30], "dot", 64, fast)[0] >= 0.95
 
 
+def test_bulk_graphs():
+    """As many true neighbours as by single inserts, exact with a full beam whatever the shape of the data: clusters far
+    apart, rows that come many times, few rows."""
+    r = np.random.default_rng(5)
+    x = r.uniform(-1, 1, (3000, 24))
+    found, g = _recall(x, r.uniform(-1, 1, (40, 24)), "l2", 64, build=hnsw.bulk)
+    assert found >= 0.95 and max(map(len, g.links[0].values())) <= 40
+    centres = 1000 * r.uniform(-5, 5, (20, 32))
+    y = centres[r.integers(20, size=2000)] + 0.5 * r.standard_normal((2000, 32))
+    assert _recall(y, y[:30] + 0.1, "l2", 64, build=hnsw.bulk)[0] >= 0.95
+    z = r.standard_normal((2000, 32))
+    assert _recall(z, z[:30], "dot", 128, build=hnsw.bulk)[0] >= 0.85
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    assert _recall(z, r.standard_normal((30, 32)), "dot", 64, build=hnsw.bulk)[0] >= 0.95
+    for rows in (y[:900], np.repeat(r.standard_normal((30, 4)), 25, axis=0), x[:1], x[:2], x[:40], np.zeros((50, 3))):
+        g = hnsw.bulk(rows, "l2", HnswParams(seed=2))
+        for v in rows[:: max(1, len(rows) // 5)]:
+            key = ((rows - v) ** 2).sum(axis=1)
+            got = hnsw.search(g, lambda k: hnsw.keys_to(rows, v, k, "l2"), 10, len(rows))  # noqa: B023
+            assert [d for d, _ in got] == pytest.approx(np.sort(key)[:10].tolist())
+    assert hnsw.bulk(x[:500], "l2", HnswParams(seed=4)).to_bytes() == hnsw.bulk(x[:500], "l2", HnswParams(seed=4)).to_bytes()
+    assert hnsw.bulk(x[:0], "l2").n == 0
+
+
 def test_graph_mask_and_bytes():
     r = np.random.default_rng(6)
     x = r.uniform(-1, 1, (200, 4))
@@ -119,6 +147,8 @@ def test_index_in_spark(spark):
     r = np.random.default_rng(7)
     x = r.uniform(-1, 1, (400, 8)).astype(np.float32)
     df = from_arrays(spark, list(range(400)), x)
+    one = hnsw.build_index(df, "l2", HnswParams(ef_construction=60), 3, by_inserts=True).where("n > 0")
+    assert hnsw.nearest(one, x[3].tolist(), 5, "l2", 400).count() == 5
     index = hnsw.build_index(df, "l2", HnswParams(ef_construction=60), 3).cache()
     want = np.argsort(((x.astype(float) - x[3]) ** 2).sum(axis=1))[:5].tolist()
     assert [h.id for h in hnsw.nearest(index, x[3].tolist(), 5, "l2", 400).orderBy("rank").collect()] == want

@@ -5,7 +5,8 @@ node to neighbours that are spread out around it. A search walks down the levels
 with a beam of ``ef``. A mask keeps rows out of the results but not out of the walk. With ``ef`` at least the number of
 rows the result is exact.
 
-Shards are built and searched as Spark tasks: see ``build_index`` and ``search_index``.
+Shards are built and searched as Spark tasks: see ``build_index`` and ``search_index``. ``bulk`` builds a graph of all rows
+at once, ``Builder`` row by row.
 """
 
 from __future__ import annotations
@@ -209,21 +210,132 @@ class Builder:
             g.entry = node
 
 
+#: Numbers in one matrix of the bulk build.
+BULK_NUMBERS = 8_000_000
+
+
+def _candidates(x: np.ndarray, metric: str, c: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every row the c nearest other ones, nearest first, and their keys: products of blocks of rows."""
+    n = len(x)
+    squares = np.einsum("ij,ij->i", x, x)
+    ids, keys = np.zeros((n, c), np.int64), np.zeros((n, c))
+    step = max(1, BULK_NUMBERS // n)
+    for at in range(0, n, step):
+        part = slice(at, min(at + step, n))
+        d = -(x[part] @ x.T)
+        if metric == "l2":
+            d = np.maximum(squares[part, None] + squares + 2 * d, 0)
+        own = np.arange(part.start, part.stop)
+        d[own - at, own] = np.inf
+        near = np.argpartition(d, c - 1, axis=1)[:, :c] if c < n - 1 else np.argsort(d, axis=1)[:, :c]
+        k = np.take_along_axis(d, near, axis=1)
+        order = np.lexsort((near, k), axis=1)
+        ids[part], keys[part] = np.take_along_axis(near, order, axis=1), np.take_along_axis(k, order, axis=1)
+    return ids, keys
+
+
+def _spread_all(x: np.ndarray, ids: np.ndarray, keys: np.ndarray, m: int, metric: str) -> np.ndarray:
+    """Builder.spread for many rows side by side: which candidates (nearest first, keys infinite where there is none) of
+    each row are kept, at most m."""
+    n, c = ids.shape
+    kept = np.zeros((n, c), bool)
+    step = max(1, BULK_NUMBERS // (c * max(c, x.shape[1])))
+    for at in range(0, n, step):
+        part = slice(at, at + step)
+        v = x[ids[part]]
+        gram = -np.einsum("ncd,ned->nce", v, v, optimize=True)
+        if metric == "l2":
+            s = np.einsum("ncd,ncd->nc", v, v)
+            gram = s[:, :, None] + s[:, None, :] + 2 * gram
+        real = np.isfinite(keys[part])
+        nearest, chosen, own = np.full(real.shape, np.inf), np.zeros(real.shape, bool), keys[part]
+        for i in range(c):
+            take = real[:, i] & (chosen.sum(axis=1) < m) & (own[:, i] < nearest[:, i])
+            chosen[:, i] = take
+            nearest = np.where(take[:, None], np.minimum(nearest, gram[:, i]), nearest)
+        # then the nearest of the others, up to m
+        rest = real & ~chosen
+        room = m - chosen.sum(axis=1)
+        kept[part] = chosen | (rest & (np.cumsum(rest, axis=1) <= room[:, None]))
+    return kept
+
+
+def _level_links(x: np.ndarray, metric: str, p: HnswParams, most: int, entry: int) -> list[np.ndarray]:
+    """Links of one level over rows 0..n-1, all of which can be reached from entry."""
+    n = len(x)
+    if n == 1:
+        return [_NONE]
+    c = min(n - 1, p.ef_construction, 4 * p.m)
+    ids, keys = _candidates(x, metric, c)
+    kept = _spread_all(x, ids, keys, p.m, metric)
+    a, b, d = np.repeat(np.arange(n), kept.sum(axis=1)), ids[kept], keys[kept]
+    # both directions, each once, nearest first
+    a, b, d = np.append(a, b), np.append(b, a), np.append(d, d)
+    order = np.lexsort((b, d, a))
+    a, b, d = a[order], b[order], d[order]
+    pairs = np.unique(a * n + b, return_index=True)[1]
+    pairs.sort()
+    a, b, d = a[pairs], b[pairs], d[pairs]
+    starts = np.searchsorted(a, np.arange(n + 1))
+    links = [b[starts[k] : starts[k + 1]] for k in range(n)]
+    over = np.flatnonzero(np.diff(starts) > most)
+    if len(over):
+        width = min(int(np.diff(starts)[over].max()), 3 * most)
+        ids, keys = np.zeros((len(over), width), np.int64), np.full((len(over), width), np.inf)
+        for row, k in enumerate(over.tolist()):
+            s, e = starts[k], min(starts[k + 1], starts[k] + width)
+            ids[row, : e - s], keys[row, : e - s] = b[s:e], d[s:e]
+        for row, k in zip(_spread_all(x, ids, keys, most, metric), over.tolist(), strict=True):
+            links[k] = ids[np.searchsorted(over, k)][row]
+    # what can't be reached gets a link from, and to, the nearest row that can
+    seen = np.zeros(n, bool)
+    fresh = [entry]
+    while True:
+        while fresh:
+            seen[fresh] = True
+            fresh = [k for k in np.unique(np.concatenate([links[k] for k in fresh])).tolist() if not seen[k]]
+        left = np.flatnonzero(~seen)
+        if not len(left):
+            return links
+        there = np.flatnonzero(seen)
+        near = int(there[keys_to(x, x[left[0]], there, metric).argmin()])
+        links[near], links[left[0]] = np.append(links[near], left[0]), np.append(links[left[0]], near)
+        fresh = [int(left[0])]
+
+
+def bulk(matrix: np.ndarray, metric: str, p: HnswParams = HnswParams()) -> Graph:  # noqa: B008
+    """The graph of all rows at once: every level's candidates are the exact nearest rows, from products of blocks, and
+    are spread as single inserts do it. The same seed and rows give the same graph."""
+    n = len(matrix)
+    levels = draw_levels(n, p)
+    if not n:
+        return Graph(0, levels, [], -1)
+    entry = int(levels.argmax())
+    links = []
+    for level in range(int(levels[entry]) + 1):
+        rows = np.flatnonzero(levels >= level)
+        found = _level_links(matrix[rows], metric, p, p.m0 if level == 0 else p.m, int(np.searchsorted(rows, entry)))
+        links.append({int(rows[k]): rows[x] for k, x in enumerate(found)})
+    return Graph(n, levels, links, entry)
+
+
 INDEX = "shard int, n int, ids binary, vectors binary, dim int, graph binary, codes binary"
 #: Walks by codes keep this many times k candidates for the exact keys.
 REFETCH = 4
 
 
-def build_index(df: DataFrame, metric: str, p: HnswParams = HnswParams(), shards: int = 1, id_col: str = "id", vector: str = "vector", coded: sq8.Range | None = None) -> DataFrame:  # noqa: B008
+def build_index(df: DataFrame, metric: str, p: HnswParams = HnswParams(), shards: int = 1, id_col: str = "id", vector: str = "vector", coded: sq8.Range | None = None, by_inserts: bool = False) -> DataFrame:  # noqa: B008
     """One row for each shard: its sorted ids, vectors, graph, and with coded the vectors' codes. Shards are built side by side; rows are dealt by a hash
-    of their ids, so shards are of equal size. A shard's rows must fit a task: choose shards accordingly."""
+    of their ids, so shards are of equal size. A shard's rows must fit a task: choose shards accordingly. by_inserts
+    builds the graphs row by row in place of all at once."""
     rows = df.select(F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int").alias("shard"), F.col(id_col).cast("long").alias("id"), metrics.doubles(F.col(vector)).alias("v"))
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["id"].to_numpy(np.int64)
         order = np.argsort(ids.astype(np.uint64), kind="stable")
         x = np.stack(pdf["v"].to_numpy())[order].astype(np.float64)
-        graph = Builder(x, metric, HnswParams(p.m, p.m0, p.ef_construction, p.ef_search, p.seed + int(key[0]), p.extend_candidates)).graph
+        own = HnswParams(p.m, p.m0, p.ef_construction, p.ef_search, p.seed + int(key[0]), p.extend_candidates)
+        graph = Builder(x, metric, own).graph if by_inserts else bulk(x, metric, own)
         return pd.DataFrame({"shard": [int(key[0])], "n": [len(ids)], "ids": [ids[order].tobytes()], "vectors": [x.astype("<f4").tobytes()], "dim": [x.shape[1]], "graph": [graph.to_bytes()], "codes": [None if coded is None else sq8.code_matrix(x, coded).tobytes()]})
 
     return rows.groupBy("shard").applyInPandas(build, INDEX)
