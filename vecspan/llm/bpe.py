@@ -4,11 +4,10 @@
    keeps its texts as numbers of its own distinct words, which go to buckets by a hash.
 2. A bucket meets the words of all shards (of a slice of them, where there are very many), so that a word is folded once
    for the corpus and not once for each shard.
-3. Spark folds the merges: a word is an array of pieces, one for each byte; each step looks up the ranks of all adjacent
-   pairs and joins the leftmost pair of the lowest rank, until no pair has a rank. The ranks are a literal map: an array
-   of small maps chosen by a hash, as Spark searches a map from end to end. (Two ways that seemed shorter took longer: to
-   keep the ranks in the state and renew those beside a merge, as arrays are cut and joined slowly, and two flat arrays of
-   hashes and ranks in place of the maps.)
+3. Spark folds the merges: a word is an array of pieces, one for each byte, beside the ranks of adjacent pairs; each step
+   joins the leftmost pair of the lowest rank, looks up the ranks of the two pairs beside it and takes over the others by
+   their places, until no pair has a rank. The ranks are a literal map: an array of small maps chosen by a hash, as Spark
+   searches a map from end to end. (Two flat arrays of hashes and ranks in place of the maps took longer.)
 4. The words' ids return to their shards, where the ids of a text are gathered by its words' numbers. The shards are a
    table bucketed by their number, so the texts stay where they are.
 
@@ -81,27 +80,34 @@ def encoded(word: Column, ranks: Column) -> Column:
     def rank(x: Column) -> Column:
         return F.try_element_at(F.get(ranks, F.xxhash64(x).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), x)
 
+    def paired(pieces: Column):  # the rank of the pair that begins at a place, null where it has none
+        return lambda piece, i: rank(F.concat(piece, F.get(pieces, i + 1)))
+
+    def state_of(pieces: Column, pairs: Column, open_: bool) -> Column:
+        return F.struct(pieces.alias("pieces"), pairs.alias("pairs"), F.lit(open_).alias("open"))
+
     def step(state: Column, _: Column) -> Column:
-        pieces = state["pieces"]
-        closed = F.struct(pieces.alias("pieces"), F.lit(False).alias("open"))
+        pieces, pairs = state["pieces"], state["pairs"]
 
-        def joined(at: Column) -> Column:
+        def merged(at: Column) -> Column:
             both = F.concat(F.get(pieces, at), F.get(pieces, at + 1))
-            return F.struct(F.concat(F.slice(pieces, F.lit(1), at), F.array(both), F.slice(pieces, at + 3, F.size(pieces))).alias("pieces"), F.lit(True).alias("open"))
 
-        def merged(pairs: Column) -> Column:
-            lowest = lambda best: F.when(best.isNull(), closed).otherwise(_bound((F.array_position(pairs, best) - 1).cast("int"), joined))
-            return _bound(F.array_min(pairs), lowest)
+            def renewed(new: Column) -> Column:
+                own = lambda piece, i: F.when(i > at, F.get(pairs, i + 1)).when(i < at - 1, F.get(pairs, i)).otherwise(paired(new)(piece, i))
+                return state_of(new, F.transform(new, own), True)
 
-        # the ranks of adjacent pairs, null where a pair has none; the first of equal ones is the leftmost
-        pairs = F.transform(pieces, lambda a, i: rank(F.concat(a, F.get(pieces, i + 1))))
-        return F.when(state["open"], _bound(pairs, merged)).otherwise(state)
+            return _bound(F.concat(F.slice(pieces, F.lit(1), at), F.array(both), F.slice(pieces, at + 3, F.size(pieces))), renewed)
+
+        # the first of equal ranks is the leftmost pair
+        lowest = lambda best: F.when(best.isNull(), state_of(pieces, pairs, False)).otherwise(_bound((F.array_position(pairs, best) - 1).cast("int"), merged))
+        return F.when(state["open"], _bound(F.array_min(pairs), lowest)).otherwise(state)
 
     def folded(text: Column) -> Column:
-        letters = F.slice(F.split(text, "", -1), F.lit(1), F.length(text))
-        start = F.struct(letters.alias("pieces"), F.lit(True).alias("open"))
-        steps = F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1)))
-        return F.aggregate(steps, start, step, lambda state: F.transform(state["pieces"], rank))
+        def whole(letters: Column) -> Column:
+            steps = F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1)))
+            return F.aggregate(steps, state_of(letters, F.transform(letters, paired(letters)), True), step, lambda state: F.transform(state["pieces"], rank))
+
+        return _bound(F.slice(F.split(text, "", -1), F.lit(1), F.length(text)), whole)
 
     def one(text: Column) -> Column:
         return _bound(rank(text), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded(text)))
