@@ -213,6 +213,71 @@ def test_frames_with_names(spark, tmp_path):
         assert c.get("b").meta == {"_ext_id": "b", "x": "y"} and len({r["id"] for r in c.frame().collect()}) == 5
 
 
+def test_background_maintenance(spark, tmp_path, monkeypatch):
+    """Writes go on during a flush and are behind it; nothing is lost whenever the database is closed; a write waits where
+    the log has grown too long."""
+    import threading
+    import time
+
+    from vecspan.sources import store
+
+    with Database(spark, tmp_path / "db", Options(flush_threshold_bytes=64, compaction_threshold=3, background=True)) as db:
+        c = db.create_collection("c", 2, "l2")
+        begun, go = threading.Event(), threading.Event()
+        write = db.store._write_segment
+
+        def slow(*args):
+            begun.set()
+            go.wait(30)
+            return write(*args)
+
+        monkeypatch.setattr(db.store, "_write_segment", slow)
+        for i in range(9):
+            c.upsert(i, [i, 0])
+        assert begun.wait(30)
+        c.upsert(3, [33, 0])
+        c.delete(4)
+        assert not c.segment_stats() and len(c) == 8 and c.get(3).vector[0] == 33
+        go.set()
+        until = time.time() + 60
+        while not c.segment_stats() and time.time() < until:
+            time.sleep(0.05)
+        assert c.segment_stats() and len(c) == 8 and c.get(3).vector[0] == 33 and c.get(4) is None
+        for k in range(6):
+            c.upsert_batch(list(range(100, 109)), [[k, k]] * 9)
+        assert len(c) == 17
+    with Database(spark, tmp_path / "db") as db:
+        c = db.collection("c")
+        assert len(c) == 17 and c.get(100).vector == [5, 5] and c.get(3).vector[0] == 33 and c.get(4) is None
+        db.verify()
+    # single writes, frames, flushes and searches from several threads
+    with Database(spark, tmp_path / "many", Options(flush_threshold_bytes=100, compaction_threshold=3, background=True)) as db:
+        c = db.create_collection("c", 1, "l2")
+
+        def work(k):
+            for i in range(4):
+                c.upsert(10 * k + i, [k])
+                if k == 1 and i % 2:
+                    c.upsert_frame(spark.createDataFrame([(1000 + i, [5.0])], "id long, vector array<float>").selectExpr("id", "vector", "cast(null as map<string,struct<s:string,i:bigint,f:double,b:boolean>>) meta"))
+                elif k == 2:
+                    db.flush()
+                elif k == 3:
+                    c.search([1.0]).k(2).run()
+
+        threads = [threading.Thread(target=work, args=(k,)) for k in range(4)]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join(120)
+        assert not any(t.is_alive() for t in threads)
+        assert sorted(r["id"] for r in c.frame().collect()) == sorted([10 * k + i for k in range(4) for i in range(4)] + [1001, 1003])
+    monkeypatch.setattr(store, "STALL", 1)
+    with Database(spark, tmp_path / "other", Options(flush_threshold_bytes=64, background=True)) as db:
+        c = db.create_collection("c", 4, "l2")
+        c.upsert_batch(list(range(8)), [[1] * 4] * 8)  # more than a flush: this write waits for it
+        assert [s["record_count"] for s in c.segment_stats()] == [8] and not db.store.logs
+
+
 def test_filters_are_planned_by_segment(spark, tmp_path):
     """A filter that few rows of one segment pass and all of another: the one is compared exactly, the other by its graph,
     with and without codes, and what stands is found in both."""

@@ -130,7 +130,8 @@ class HnswParams:
 @dataclass(frozen=True)
 class Options:
     """Runtime options; they are never stored with the data. sync: "always", ("every", n) or "batch"; all three mean
-    that a write is visible, whole, once its file has been renamed into place."""
+    that a write is visible, whole, once its file has been renamed into place. background: flushes and compactions run in
+    a thread beside the writes."""
 
     sync: str | tuple[str, int] = "always"
     flush_threshold_bytes: int = 64 << 20
@@ -138,6 +139,7 @@ class Options:
     hnsw_min_rows: int = 1024
     compaction_threshold: int = 4
     sq8: bool = False
+    background: bool = False
 
     def __post_init__(self):
         if self.flush_threshold_bytes <= 0:
