@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vecspan.errors import Corrupted, InvalidConfig
 from vecspan.functions import metrics, sq8
 from vecspan.operators import hnsw, search
-from vecspan.plans import planner
+from vecspan.plans import catalogue, planner
 from vecspan.sources.files import from_arrays
 from vecspan.types import HnswParams
 
@@ -169,3 +169,14 @@ def test_index_in_spark(spark):
     got = hnsw.nearest(index, x[3].tolist(), 5, "l2", 400, odd).orderBy("rank").collect()
     assert [h.id for h in got] == [i for i in np.argsort(((x.astype(float) - x[3]) ** 2).sum(axis=1)).tolist() if i % 2][:5]
     assert math.isclose(got[0].score, 0.0)
+
+
+def test_plan_choice_of_many_partitions(spark, tmp_path):
+    """The plan of a table of which every sampled row matches, whatever the others do."""
+    lang = F.when(F.col("id") % 400 == 0, "en").otherwise("de")
+    spark.range(0, 400_000, 1, 8).select(F.col("id").alias("doc_id"), lang.alias("lang")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert catalogue.QUERIES["plan_choice"](spark, str(tmp_path)).first() == ("index", 64)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
