@@ -180,3 +180,21 @@ def test_plan_choice_of_many_partitions(spark, tmp_path):
         assert catalogue.QUERIES["plan_choice"](spark, str(tmp_path)).first() == ("index", 64)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_filtered_walks_are_bounded(spark):
+    """All that a filter lets through lies beyond all that it keeps out: a walk doesn't go through the latter."""
+    r = np.random.default_rng(23)
+    x = r.standard_normal((3000, 16))
+    x *= (np.where(np.arange(3000) % 2, 9.0, 1.0) / np.sqrt((x * x).sum(axis=1)))[:, None]
+    graph, mask, looked = hnsw.bulk(x, "l2"), np.arange(3000) % 2 == 1, []
+    distance = lambda rows, nodes: (looked.extend(nodes.tolist()), ((x[nodes] - x[0]) ** 2).sum(axis=1))[1]
+    hnsw.Walker(graph).search(distance, 1, 32, mask)
+    # of what is kept out, the way down the upper levels alone
+    assert all(graph.levels[n] > 0 for n in looked if not mask[n]) and len(looked) < 1500
+    df = from_arrays(spark, list(range(3000)), x.astype(np.float32))
+    odd = df.where("id % 2 = 1").select("id")
+    found = hnsw.search_index(hnsw.build_index(df, "l2", HnswParams(), 2), [(k, x[k].tolist()) for k in range(0, 60, 2)], 10, 64, "l2", odd).collect()
+    far = np.flatnonzero(mask)
+    hits = sum(len({f.id for f in found if f.qid == k} & set(far[np.argsort(((x[far] - x[k]) ** 2).sum(axis=1))[:10]].tolist())) for k in range(0, 60, 2))
+    assert hits >= 270

@@ -65,6 +65,15 @@ def keys_of_codes(codes: np.ndarray, q: np.ndarray, r: Range, metric: str) -> np
     return -(c.shape[1] * r.low * r.low + r.low * r.scale * (c.sum(axis=1) + own.sum()) + r.scale * r.scale * (c @ own))
 
 
+def keys_of_pairs(codes: np.ndarray, q: np.ndarray, r: Range, metric: str) -> np.ndarray:
+    """Ranking keys of rows of codes against the rows of codes beside them; doubles hold the sums exactly."""
+    c, own = codes.astype(float), q.astype(float)
+    if check_metric(metric) == "l2":
+        d = c - own
+        return r.scale * r.scale * np.einsum("ij,ij->i", d, d)
+    return -(c.shape[1] * r.low * r.low + r.low * r.scale * (c.sum(axis=1) + own.sum(axis=1)) + r.scale * r.scale * np.einsum("ij,ij->i", c, own))
+
+
 def _whole(v: Column) -> Column:
     return F.aggregate(v, F.lit(0).cast("long"), lambda s, x: s + x)
 

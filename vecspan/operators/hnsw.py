@@ -319,32 +319,220 @@ def bulk(matrix: np.ndarray, metric: str, p: HnswParams = HnswParams()) -> Graph
     return Graph(n, levels, links, entry)
 
 
-INDEX = "shard int, n int, ids binary, vectors binary, dim int, graph binary, codes binary"
-#: Walks by codes keep this many times k candidates for the exact keys.
+#: Queries that walk a graph side by side, and the open nodes of each that are followed in one step.
+SIDE_BY_SIDE, STEP = 256, 4
+#: Nodes that a filter keeps out and that are passed over, for each node followed.
+BRIDGES = 4
+
+
+class Walker:
+    """Walks of many queries side by side: the same best-first search as ``search``, except that a step follows the
+    nearest STEP open nodes of every query. distance(rows, nodes) gives the keys of pairs of a query and a node."""
+
+    def __init__(self, graph: Graph):
+        self.n, self.entry = graph.n, graph.entry
+        self.levels = []
+        for level in graph.links:
+            counts = np.zeros(graph.n + 1, np.int64)
+            for x, to in level.items():
+                counts[x + 1] = len(to)
+            order = sorted(level)
+            self.levels.append((np.cumsum(counts), np.concatenate([level[x] for x in order]) if order else _NONE))
+
+    def search(self, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], queries: int, ef: int, mask: np.ndarray | None = None, most: int | None = None, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of queries 0..queries-1 up to ef nodes and their keys (-1 and infinite where there are fewer), in no order, and
+        which walks were given up: with a mask, those that looked at more than most nodes or ended without ef. without: a
+        node for each query that its walk takes to be missing."""
+        nodes, keys = np.full((queries, 1), self.entry), np.zeros((queries, 1))
+        keys[:, 0] = distance(np.arange(queries), nodes[:, 0])
+        for level in range(len(self.levels) - 1, 0, -1):
+            nodes, keys, _ = self._beam(distance, nodes, keys, level, UPPER_BEAM, without=without)
+        nodes, keys, looked = self._beam(distance, nodes, keys, 0, ef, mask, most, without)
+        short = np.zeros(queries, bool) if mask is None else (nodes < 0).any(axis=1) & (looked < self.n)
+        return nodes, keys, short if most is None else short | (looked > most)
+
+    def _fresh(self, level: int, pairs: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """Links of nodes that weren't seen; a pair is the query's number times n plus the node."""
+        starts, flat = self.levels[level]
+        query, node = np.divmod(pairs, self.n)
+        count = starts[node + 1] - starts[node]
+        ends = np.cumsum(count)
+        to = np.repeat(query, count) * self.n + flat[np.repeat(starts[node] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
+        return np.unique(to[~seen[to]])
+
+    def _beam(self, distance, nodes, keys, level, width, mask=None, most=None, without=None):
+        n = self.n
+        q = len(nodes)
+        seen = np.zeros(q * n, bool)
+        looked = (nodes >= 0).sum(axis=1)
+        r, c = np.nonzero(nodes >= 0)
+        seen[r * n + nodes[r, c]] = True
+        if without is not None:
+            seen[np.arange(q) * n + without] = True
+        open_nodes, open_keys = _lowest(nodes, keys, max(width, keys.shape[1]))
+        best_nodes, best_keys = _lowest(nodes, keys if mask is None else np.where((nodes >= 0) & mask[nodes], keys, np.inf), width)
+        rows = np.arange(q)
+        while len(rows):
+            worst = best_keys[rows].max(axis=1)
+            own = open_keys[rows]
+            at = np.argpartition(own, STEP - 1, axis=1)[:, :STEP] if own.shape[1] > STEP else np.tile(np.arange(own.shape[1]), (len(rows), 1))
+            near = np.take_along_axis(own, at, axis=1)
+            go = np.isfinite(near) & (near <= worst[:, None])
+            if most is not None:
+                go &= (looked[rows] <= most)[:, None]
+            open_keys[rows[:, None], at] = np.inf
+            live = go.any(axis=1)
+            rows, at, go = rows[live], at[live], go[live]
+            if not len(rows):
+                break
+            i, j = np.nonzero(go)
+            pair = self._fresh(level, rows[i] * n + open_nodes[rows[i], at[i, j]], seen)
+            if mask is not None:
+                # what the filter keeps out is a bridge: the links of some of them, taken as by chance, are followed at once
+                fits = mask[pair % n]
+                bridges = pair[~fits]
+                bridges = bridges[np.lexsort((bridges % n * 0x9E3779B1 % 0xFFFFFFFB, bridges // n))]
+                nth = np.arange(len(bridges)) - np.searchsorted(bridges // n, bridges // n)
+                bridges = bridges[nth < BRIDGES * STEP]
+                seen[bridges] = True
+                beyond = self._fresh(level, bridges, seen)
+                pair = np.union1d(pair[fits], beyond[mask[beyond % n]])
+            seen[pair] = True
+            row, to = np.divmod(pair, n)
+            first = np.searchsorted(row, rows)
+            many = np.diff(np.append(first, len(row)))
+            looked[rows] += many
+            if not len(row):
+                continue
+            more_nodes, more_keys = np.full((len(rows), many.max()), -1), np.full((len(rows), many.max()), np.inf)
+            place = np.repeat(np.arange(len(rows)), many), np.arange(len(row)) - np.repeat(first, many)
+            more_nodes[place], more_keys[place] = to, distance(row, to)
+            best_nodes[rows], best_keys[rows] = _lowest(np.hstack([best_nodes[rows], more_nodes]), np.hstack([best_keys[rows], more_keys]), width)
+            worst = best_keys[rows].max(axis=1)
+            more_keys[more_keys > worst[:, None]] = np.inf
+            open_nodes[rows], open_keys[rows] = _lowest(np.hstack([open_nodes[rows], more_nodes]), np.hstack([open_keys[rows], more_keys]), open_keys.shape[1])
+        return best_nodes, best_keys, looked
+
+
+def _lowest(nodes: np.ndarray, keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The width nodes of lowest keys of each row, filled up with -1 at infinity."""
+    if keys.shape[1] > width:
+        at = np.argpartition(keys, width - 1, axis=1)[:, :width]
+        nodes, keys = np.take_along_axis(nodes, at, axis=1), np.take_along_axis(keys, at, axis=1)
+    out, own = np.full((len(keys), width), -1), np.full((len(keys), width), np.inf)
+    out[:, : keys.shape[1]], own[:, : keys.shape[1]] = np.where(np.isfinite(keys), nodes, -1), keys
+    return out, own
+
+
+def _pair_keys(x: np.ndarray, q: np.ndarray, metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    def keys(rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        if metric == "l2":
+            d = x[nodes] - q[rows]
+            return np.einsum("ij,ij->i", d, d)
+        return -np.einsum("ij,ij->i", x[nodes], q[rows])
+
+    return keys
+
+
+def _distances(x: np.ndarray, codes: np.ndarray | None, q: np.ndarray, metric: str, coded: sq8.Range | None) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Keys of pairs by vectors, or by codes where there are some."""
+    if codes is None:
+        return _pair_keys(x, q, metric)
+    own = sq8.code_matrix(q, coded)
+    return lambda rows, nodes: sq8.keys_of_pairs(codes[nodes], own[rows], coded, metric)
+
+
+def _exact_nodes(x: np.ndarray, q: np.ndarray, k: int, metric: str, allowed: np.ndarray) -> Iterator[np.ndarray]:
+    """For each query the allowed nodes that may be among its k nearest, by products of blocks."""
+    y = x[allowed].astype(float)
+    squares = np.einsum("ij,ij->i", y, y)
+    step = max(1, BULK_NUMBERS // max(1, len(y)))
+    for at in range(0, len(q), step):
+        part = q[at : at + step]
+        own = np.einsum("ij,ij->i", part, part)
+        near = -(part @ y.T)
+        if metric == "l2":
+            near = own[:, None] + squares + 2 * near
+        n = min(k, len(y))
+        edge = np.partition(near, n - 1, axis=1)[:, n - 1] if n else np.zeros(len(part))
+        # products in another order may differ in the last digits: keep a margin
+        edge = edge + 1e-9 * (1 + own + squares.max(initial=0))
+        for row, most in zip(near, edge, strict=True):
+            yield allowed[np.flatnonzero(row <= most)]
+
+
+#: A shard measures its recall on at most so many of its rows, for so many neighbours; beams are as wide as this recall needs.
+TRIED, TRIED_K, WANTED_RECALL = 256, 10, 0.92
+
+
+def needed_beam(graph: Graph, x: np.ndarray, metric: str, p: HnswParams, seed: int, coded: sq8.Range | None = None) -> int:
+    """The beam, p.ef_search or wider, that reaches WANTED_RECALL, measured by searches for a bounded sample of the rows
+    against comparing all. A row is taken to be missing while it is searched for, as most queries aren't rows of the
+    shard: from a row that is a node its links lead straight to its neighbours."""
+    k = min(TRIED_K, len(x) - 1)
+    if k < 1:
+        return p.ef_search
+    some = np.sort(np.random.default_rng(seed).choice(len(x), min(TRIED, len(x)), replace=False))
+    q = x[some].astype(float)
+    codes = None if coded is None else sq8.code_matrix(x.astype(float), coded)
+    distance, keys = _distances(x, codes, q, metric, coded), _pair_keys(x, q, metric)
+    walker, truth = Walker(graph), []
+    for row, nodes in enumerate(_exact_nodes(x, q, k + 1, metric, np.arange(len(x)))):
+        nodes = nodes[nodes != some[row]]
+        truth.append(nodes[np.argsort(keys(np.full(len(nodes), row), nodes), kind="stable")[:k]])
+    ef = p.ef_search
+    while True:
+        found = walker.search(distance, len(q), ef, without=some)[0]
+        hits = sum(len(np.intersect1d(t, f)) for t, f in zip(truth, found, strict=True))
+        if hits >= WANTED_RECALL * k * len(q) or ef >= len(x):
+            return ef
+        ef = math.ceil(ef * 1.25)
+
+
+INDEX = "shard int, n int, ids binary, vectors binary, dim int, graph binary, codes binary, starts binary, beam int"
+#: Walks by codes keep at least this many times k candidates for the exact keys.
 REFETCH = 4
 
 
 def build_index(df: DataFrame, metric: str, p: HnswParams = HnswParams(), shards: int = 1, id_col: str = "id", vector: str = "vector", coded: sq8.Range | None = None, by_inserts: bool = False) -> DataFrame:  # noqa: B008
-    """One row for each shard: its sorted ids, vectors, graph, and with coded the vectors' codes. Shards are built side by side; rows are dealt by a hash
+    """One row for each shard: its ids, distinct vectors, graph, and with coded the vectors' codes. Shards are built side by side; rows are dealt by a hash
     of their ids, so shards are of equal size. A shard's rows must fit a task: choose shards accordingly. by_inserts
-    builds the graphs row by row in place of all at once."""
+    builds the graphs row by row in place of all at once.
+
+    Rows of equal vectors are one node of the graph (starts: where each node's ids begin), so copies don't crowd out its
+    links. beam is what ``needed_beam`` measured."""
     rows = df.select(F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int").alias("shard"), F.col(id_col).cast("long").alias("id"), metrics.doubles(F.col(vector)).alias("v"))
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["id"].to_numpy(np.int64)
         order = np.argsort(ids.astype(np.uint64), kind="stable")
-        x = np.stack(pdf["v"].to_numpy())[order].astype(np.float64)
+        # stored numbers have 32 bits; + 0 makes -0 and 0 equal bytes
+        x = np.stack(pdf["v"].to_numpy())[order].astype("<f4") + np.float32(0)
+        ids, dim = ids[order], x.shape[1]
+        _, first, node = np.unique(x.view(f"V{4 * dim}").ravel(), return_index=True, return_inverse=True) if dim else (None, np.zeros(1, np.int64), np.zeros(len(x), np.int64))
+        # nodes in the order of their smallest ids
+        place = np.empty(len(first), np.int64)
+        place[np.argsort(first)] = np.arange(len(first))
+        node = place[node]
+        ids, x = ids[np.argsort(node, kind="stable")], x[np.sort(first)]
+        starts = np.append(0, np.cumsum(np.bincount(node)))
         own = HnswParams(p.m, p.m0, p.ef_construction, p.ef_search, p.seed + int(key[0]), p.extend_candidates)
-        graph = Builder(x, metric, own).graph if by_inserts else bulk(x, metric, own)
-        return pd.DataFrame({"shard": [int(key[0])], "n": [len(ids)], "ids": [ids[order].tobytes()], "vectors": [x.astype("<f4").tobytes()], "dim": [x.shape[1]], "graph": [graph.to_bytes()], "codes": [None if coded is None else sq8.code_matrix(x, coded).tobytes()]})
+        wide = x.astype(np.float64)
+        graph = Builder(wide, metric, own).graph if by_inserts else bulk(wide, metric, own)
+        codes = None if coded is None else sq8.code_matrix(wide, coded).tobytes()
+        kept = None if len(x) == len(ids) else starts.astype("<u4").tobytes()
+        return pd.DataFrame({"shard": [int(key[0])], "n": [len(ids)], "ids": [ids.tobytes()], "vectors": [x.tobytes()], "dim": [dim], "graph": [graph.to_bytes()], "codes": [codes], "starts": [kept], "beam": [needed_beam(graph, x, metric, p, own.seed, coded)]})
 
     return rows.groupBy("shard").applyInPandas(build, INDEX)
 
 
 def search_index(index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int, ef: int, metric: str, allowed: DataFrame | None = None, coded: sq8.Range | None = None, shards: int | None = None) -> DataFrame:
-    """qid, id, key: every shard's k nearest of each query. With coded, the range of the index's codes, the graph is
-    walked by codes and the best 4 k of it are compared exactly. shards: their number, else it is counted. allowed: ids that may be found (a filter's), joined to their
-    shards' rows; without it all may."""
+    """qid, id, key: every shard's k nearest of each query. A beam is at least as wide as the shard measured it to need. With coded, the range of
+    the index's codes, the graph is walked by codes and all that its beam holds are compared exactly. shards: their
+    number, else it is counted. allowed: ids that may be found (a filter's), joined to their shards' rows; without it all
+    may. A walk under a filter looks at as many nodes as it lets through or as twice its beam has links, whichever is
+    less; queries whose walks go beyond that (what is let through lies far from them) are compared with all rows that the
+    filter lets through, exactly."""
     if not queries:
         return index.sparkSession.createDataFrame([], "qid long, id long, key double")
     masked = allowed is not None
@@ -354,29 +542,50 @@ def search_index(index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]
         for b in batches:
             for r in b.itertuples():
                 ids = np.frombuffer(r.ids, np.int64)
-                x = np.frombuffer(r.vectors, "<f4").reshape(r.n, r.dim).astype(float)
+                starts = np.arange(r.n + 1) if r.starts is None else np.frombuffer(r.starts, "<u4").astype(np.int64)
+                nodes = len(starts) - 1
+                x = np.frombuffer(r.vectors, "<f4").reshape(nodes, r.dim)
                 graph = Graph.from_bytes(r.graph)
                 mask = None
                 if masked:
-                    mask = np.isin(ids, np.array(list(r.allowed) if r.allowed is not None else [], np.int64))
-                codes = None if coded is None else np.frombuffer(r.codes, np.uint8).reshape(r.n, r.dim)
-                for qid, v in zip(qids, q, strict=True):
-                    if codes is None:
-                        found = search(graph, lambda rows: keys_to(x, v, rows, metric), k, ef, mask)  # noqa: B023
-                    else:
-                        own = sq8.code_matrix(v[None], coded)[0]
-                        found = search(graph, lambda rows: sq8.keys_of_codes(codes[rows], own, coded, metric), REFETCH * k, max(ef, REFETCH * k), mask)  # noqa: B023
-                    nodes = np.array([node for _, node in found], np.int64)
-                    keys = exact_keys(x[nodes], np.repeat(v[None], len(nodes), axis=0), metric)
-                    best = np.lexsort((ids[nodes].astype(np.uint64), keys))[:k]
-                    yield pd.DataFrame({"qid": np.full(len(best), qid), "id": ids[nodes[best]], "key": keys[best]})
+                    own = np.isin(ids, np.array(list(r.allowed) if r.allowed is not None else [], np.int64))
+                    many = np.bincount(np.repeat(np.arange(nodes), np.diff(starts))[own], minlength=nodes)
+                    ids, starts, mask = ids[own], np.append(0, np.cumsum(many)), many > 0
+                if k and len(ids):
+                    codes = None if coded is None else np.frombuffer(r.codes, np.uint8).reshape(nodes, r.dim)
+                    width = min(nodes, max(ef, k if coded is None else REFETCH * k, 0 if pd.isna(r.beam) else int(r.beam)))
+                    walker, most = Walker(graph), None if mask is None else min(int(mask.sum()), 2 * HnswParams.m0 * width)
+                    for at in range(0, len(q), SIDE_BY_SIDE):
+                        yield answered(walker, x, ids, starts, codes, qids[at : at + SIDE_BY_SIDE], q[at : at + SIDE_BY_SIDE], width, mask, most)
+
+    def answered(walker, x, ids, starts, codes, names, part, width, mask, most) -> pd.DataFrame:
+        found, _, short = walker.search(_distances(x, codes, part, metric, coded), len(part), width, mask, most)
+        rest = iter(_exact_nodes(x, part[short], k, metric, np.flatnonzero(mask))) if short.any() else None
+        out = []
+        for row, near in enumerate(found):
+            near = next(rest) if short[row] else near[near >= 0]
+            keys = exact_keys(x[near].astype(float), np.repeat(part[row][None], len(near), axis=0), metric)
+            if len(keys) > k:
+                few = keys <= np.partition(keys, k - 1)[k - 1]
+                near, keys = near[few], keys[few]
+            # of equal vectors the first k ids
+            count = np.minimum(starts[near + 1] - starts[near], k)
+            ends = np.cumsum(count)
+            own = ids[np.repeat(starts[near] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
+            keys = np.repeat(keys, count)
+            best = np.lexsort((own.astype(np.uint64), keys))[:k]
+            out.append((np.full(len(best), names[row]), own[best], keys[best]))
+        return pd.DataFrame({c: np.concatenate([o[j] for o in out]) for j, c in enumerate(("qid", "id", "key"))})
 
     rows = index
+    for name, kind in (("starts", "binary"), ("beam", "int")):
+        if name not in index.columns:  # an index of before
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
     if masked:
         shards = shards or index.count()
         own = allowed.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id")
         # a shard's allowed ids are at most its rows, which fit a task
-        rows = index.join(own.groupBy("shard").agg(F.collect_list("id").alias("allowed")), "shard", "left")
+        rows = rows.join(own.groupBy("shard").agg(F.collect_list("id").alias("allowed")), "shard", "left")
     return rows.mapInPandas(run, "qid long, id long, key double")
 
 
