@@ -182,6 +182,17 @@ def test_plan_choice_of_many_partitions(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_index_of_copies(spark):
+    """Rows of equal vectors don't crowd each other out of the graph, and of equal ones the smallest ids are found."""
+    r = np.random.default_rng(21)
+    x = np.tile(r.standard_normal((150, 16)).astype(np.float32), (30, 1))
+    df = from_arrays(spark, list(range(len(x))), x)
+    index = hnsw.build_index(df, "l2", HnswParams(), 2)
+    found = hnsw.search_index(index, [(k, x[k].tolist()) for k in range(40)], 10, 64, "l2").orderBy("key", "id").collect()
+    for k in range(40):
+        assert [f.id for f in found if f.qid == k][:10] == list(range(k, len(x), 150))[:10]
+
+
 def test_filtered_walks_are_bounded(spark):
     """All that a filter lets through lies beyond all that it keeps out: a walk doesn't go through the latter."""
     r = np.random.default_rng(23)
