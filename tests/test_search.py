@@ -193,6 +193,20 @@ def test_index_of_copies(spark):
         assert [f.id for f in found if f.qid == k][:10] == list(range(k, len(x), 150))[:10]
 
 
+@pytest.mark.parametrize("coded", [False, True])
+def test_index_widens_its_beam(spark, coded):
+    """Vectors without any structure: the given beam is too narrow for a shard, and the index has measured that."""
+    r = np.random.default_rng(22)
+    x = (r.standard_normal((6000, 48)) * r.integers(1, 11, 6000)[:, None]).astype(np.float32)
+    df = from_arrays(spark, list(range(len(x))), x)
+    rng = sq8.fit(df) if coded else None
+    index = hnsw.build_index(df, "l2", HnswParams(ef_search=10), 1, coded=rng)
+    q = r.standard_normal((100, 48)) * r.integers(1, 11, 100)[:, None]
+    found = hnsw.search_index(index, [(k, v.tolist()) for k, v in enumerate(q)], 10, 10, "l2", coded=rng).collect()
+    hits = sum(len({f.id for f in found if f.qid == k} & set(np.argsort(((x - v) ** 2).sum(axis=1))[:10].tolist())) for k, v in enumerate(q))
+    assert hits >= 900
+
+
 def test_filtered_walks_are_bounded(spark):
     """All that a filter lets through lies beyond all that it keeps out: a walk doesn't go through the latter."""
     r = np.random.default_rng(23)
